@@ -19,6 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     round are written to the shared folder, so a lost executor costs one round.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _print(edges)
     while True:
         # Large star: each node's larger neighbours are linked to the least of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,9 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: each node and its smaller neighbours are linked to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small, "edges")
-        changed = new.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(new, ["u", "v"], "left_anti").limit(1).count()
-        edges = new
-        if not changed:
+        edges = written(small, "edges")
+        if (now := _print(edges)) == before:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        before = now
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _print(edges: DataFrame) -> tuple:
+    """Count and hash of a table of distinct edges, whatever their order."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())

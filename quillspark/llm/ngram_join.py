@@ -13,12 +13,13 @@ documents link when the Jaccard similarity of their sets is at least 0.75.
 3. The order puts shingles that many documents share last (their counts come
    from a hashed sample of the documents, and the order is only a matter of
    cost: any order gives all links).
-4. In each list every node is paired with a few leaders, drawn anew for each
-   list: a number of pairs that grows with the list, not its square. Verified
-   links give components. Only pairs of a list whose components still differ
-   are left, and all of those are verified too, so no link between components
-   is lost. A bound on the symmetric difference from bit parities (never too
-   large) drops most pairs before their sets are compared exactly.
+4. In some rounds every node of a list is paired with the list's leader (under
+   another order of nodes in each round): a number of pairs that grows with the
+   list, not its square. Verified links give components, and later rounds take
+   only pairs whose components still differ. All such pairs that are left after
+   the rounds are verified too, so no link between components is lost. A bound
+   on the symmetric difference from bit parities (never too large) drops most
+   pairs before their sets are compared exactly.
 
 Defined results: null and empty texts, and texts without a word, have an empty
 set and link with nothing; a text of fewer than five words has one shingle, its
@@ -45,10 +46,10 @@ SHINGLE, PERCENT = 5, 75
 #: One of so many documents (by digest) is counted for the order of shingles; a shingle found in so many of them counts
 #: as heavy; and at most so many heavy ones are known by name (8 bytes each in every task).
 SAMPLE, HEAVY, MOST_HEAVY = 16, 4, 250_000
-#: Leaders drawn for each list.
-LEADERS = 2
-#: Bits of the parity sketch.
-SKETCH = 512
+#: Rounds of leaders.
+ROUNDS = 2
+#: Least bits of the parity sketch; one of a set of n has the least power of two that is no less than n.
+LEAST_SKETCH = 256
 #: Ids up to this many are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Largest size that may count as small.
@@ -91,8 +92,17 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the set's members in SKETCH buckets: two sketches differ in no more bits than the sets in members."""
-    return np.packbits(np.bincount((mixed(shingles) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+    """Parities of the set's members in hash buckets: two sketches differ in no more bits than the sets in members."""
+    bits = max(LEAST_SKETCH, 1 << (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((mixed(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -195,21 +205,27 @@ def _linked(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Of the pairs u, v of keys those that link."""
+def _possible(pairs: DataFrame) -> DataFrame:
+    """u, v, doc_u and doc_v of pairs (with n_u, n_v, sketch_u, sketch_v) whose sketches allow a link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|) for linked sets, and the sketches differ in no more bits than that.
+            n, m, x, y = (batch.column(k).to_pylist() for k in range(4, 8))
+            keep = [differing(p, q) * (100 + PERCENT) <= (100 - PERCENT) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("u", "v", "doc_u", "doc_v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long, doc_u long, doc_v long")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs u, v of keys those that could link and were compared, and those that link."""
     side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("doc_id").alias(f"doc_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    differ = " + ".join(f"bit_count({_long('sketch_u', k)} ^ {_long('sketch_v', k)})" for k in range(SKETCH // 56 + 1))
-    possible = pairs.join(side("u"), "u").join(side("v"), "v").where(f"100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v) AND ({differ}) * {100 + PERCENT} <= {100 - PERCENT} * (n_u + n_v)")
-    possible = written(possible.select("u", "v", "doc_u", "doc_v"), f"{name}-pairs")
+    possible = written(_possible(pairs.join(side("u"), "u").join(side("v"), "v")), f"{name}-pairs")
     ids = possible.select(F.col("doc_u").alias("doc_id")).unionByName(possible.select(F.col("doc_v").alias("doc_id"))).distinct()
-    sets = written(_sets(docs, written(ids, f"{name}-ids")).dropDuplicates(["key"]), f"{name}-sets")
+    sets = written(_sets(docs, written(ids, f"{name}-ids")), f"{name}-sets")
     sets_of = lambda x: sets.select(F.col("key").alias(x), F.col("set").alias(f"set_{x}"))
-    return written(_linked(possible.select("u", "v").join(sets_of("u"), "u").join(sets_of("v"), "v")), f"{name}-links")
-
-
-def _long(column: str, k: int) -> str:
-    """SQL: bytes 7 k ... 7 k + 6 of a binary column as a non-negative long."""
-    return f"coalesce(CAST(conv(hex(substring({column}, {7 * k + 1}, 7)), 16, 10) AS BIGINT), 0)"
+    return possible.select("u", "v"), written(_linked(possible.select("u", "v").join(sets_of("u"), "u").join(sets_of("v"), "v")), f"{name}-links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -225,24 +241,30 @@ def classes(docs: DataFrame) -> DataFrame:
     small = boundary(sizes, SAMPLE * light / total)
 
     lists = Window.partitionBy("list")
-    posted = _postings(docs, np.sort(heavy), small).withColumn("size", F.count(F.lit(1)).over(lists)).where("size > 1").select("list", "key", "n").distinct()
-    posted = written(posted, "postings")
-    draws = [F.min(F.struct(F.xxhash64("key", "list", F.lit(k)).alias("h"), F.col("key").alias("key"))).alias(f"leader_{k}") for k in range(LEADERS)]
-    leaders = posted.groupBy("list").agg(*draws)
-    stars = posted.join(leaders, "list").select("key", F.explode(F.array_distinct(F.array(*(f"leader_{k}.key" for k in range(LEADERS))))).alias("leader")).where("key <> leader")
-    first = _verified(docs, nodes, stars.select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v")).distinct(), "star")
-
-    found = components(first)
-    part = F.coalesce("component", "key").alias("component")
-    placed = written(posted.join(found.withColumnRenamed("node", "key"), "key", "left").select("list", "key", "n", part), "placed")
-    # Lists that still hold more than one component; in those, pairs of different components.
-    open_lists = placed.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("list")
-    left = written(placed.join(open_lists, "list", "left_semi"), "open")
-    a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.component") > F.col("b.component")) & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n")))
-    rest = rest.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
-    links = first.unionByName(_verified(docs, nodes, rest, "rest"))
-    found = written(components(links), "components")
+    posted = _postings(docs, np.sort(heavy), small).withColumn("least", F.min("key").over(lists)).withColumn("most", F.max("key").over(lists))
+    placed = written(posted.where("least <> most").select("list", "key", "n").distinct(), "postings").withColumn("component", F.col("key"))
+    compared = links = found = None
+    for k in range(ROUNDS + 1):
+        if k < ROUNDS:
+            # Keys are random numbers: turned about by a constant, each order of them draws other leaders.
+            turned = F.col("key").bitwiseXOR(F.xxhash64(F.lit(k)))
+            leaders = placed.groupBy("list").agg(F.min(turned).bitwiseXOR(F.xxhash64(F.lit(k))).alias("leader"))
+            leaders = placed.join(leaders, "list").where("key = leader").select("list", "leader", F.col("component").alias("to"), F.col("n").alias("m"))
+            pairs = placed.join(leaders, "list").where("component <> to").select("key", "leader", "n", "m")
+        else:
+            a, b = placed.alias("a"), placed.alias("b")
+            pairs = a.join(b, F.expr("a.list = b.list AND a.component > b.component")).selectExpr("a.key", "b.key AS leader", "a.n", "b.n AS m")
+        pairs = pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["u", "v"], "left_anti")
+        tried, new = _verified(docs, nodes, pairs, f"round-{k}")
+        compared, links = (tried, new) if compared is None else (compared.unionByName(tried), links.unionByName(new))
+        found = components(links)
+        if k < ROUNDS:
+            placed = placed.drop("component").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+            # Lists that still hold more than one component.
+            still = placed.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("list")
+            placed = written(placed.join(still, "list", "left_semi"), "open")
 
     ids = nodes.select("key", "doc_id")
     joined = ids.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
