@@ -13,9 +13,10 @@ documents link when the Jaccard similarity of their sets is at least 0.75.
 3. The order puts shingles that many documents share last (their counts come
    from a hashed sample of the documents, and the order is only a matter of
    cost: any order gives all links).
-4. In some rounds every node of a list is paired with the list's leader (under
-   another order of nodes in each round): a number of pairs that grows with the
-   list, not its square. Verified links give components, and later rounds take
+4. In some rounds every node of a list is paired with the list's leader: first
+   with its most central node (the one found in most lists, as the text is that
+   its near copies were made from), then with a random one. These are pairs that
+   grow in number with the list, not its square. Verified links give components, and later rounds take
    only pairs whose components still differ. All such pairs that are left after
    the rounds are verified too, so no link between components is lost. A bound
    on the symmetric difference from bit parities (never too large) drops most
@@ -138,12 +139,12 @@ def boundary(sizes: dict[int, int], length: float) -> int:
 
 
 def _postings(docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
-    """list (a hash), key and n: where each node is found."""
+    """list (a hash), key, n and at: where each node is found, and the place of the (first) shingle in its order."""
     reach = needed(small + 1)  # the least set that a large one can link with
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            lists, keys, sizes = [], [], []
+            lists, keys, sizes, places = [], [], [], []
             for s in shingle_sets(batch.column(0)):
                 n = len(s)
                 if n < 2:  # a set of one links with its equals only, and those are one node
@@ -153,21 +154,24 @@ def _postings(docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
                     ordered = np.concatenate((s[~is_heavy], s[is_heavy]))
                 else:
                     ordered = s
-                made = []
+                made, at = [], []
                 if n <= small:
                     p = ordered[: prefix(n, 2)]
                     i, j = np.array(list(combinations(range(len(p)), 2))).T
                     made.append(mixed(np.minimum(p[i], p[j]) + mixed(np.maximum(p[i], p[j]))))
+                    at.append(i)
                 if n >= reach:
                     made.append(ordered[: prefix(n, 1)])
+                    at.append(np.arange(prefix(n, 1)))
                 made = np.concatenate(made)
                 lists.append(made)
                 keys.append(np.full(len(made), int.from_bytes(digest(s)[:8], "big", signed=True), np.int64))
-                sizes.append(np.full(len(made), n, np.int64))
+                sizes.append(np.full(len(made), n, np.int32))
+                places.append(np.concatenate(at).astype(np.int32))
             if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["list", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (keys, sizes, places))], names=["list", "key", "n", "at"])
 
-    return docs.select("text").mapInArrow(run, "list long, key long, n long")
+    return docs.select("text").mapInArrow(run, "list long, key long, n int, at int")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -228,6 +232,11 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) ->
     return possible.select("u", "v"), written(_linked(possible.select("u", "v").join(sets_of("u"), "u").join(sets_of("v"), "v")), f"{name}-links")
 
 
+#: SQL: sizes n and m allow a link, and so do the places at which two sets meet. If it is their first common shingle, the
+#: overlap is no more than what either set has from there on; and linked sets do meet in the list of their first one.
+_MEET = f"100 * least(n, m) >= {PERCENT} * greatest(n, m) AND {100 + PERCENT} * least(n - at, m - met) >= {PERCENT} * (n + m)"
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id: one row for each row of docs."""
     rows = written(_nodes(docs), "rows")
@@ -242,19 +251,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
     lists = Window.partitionBy("list")
     posted = _postings(docs, np.sort(heavy), small).withColumn("least", F.min("key").over(lists)).withColumn("most", F.max("key").over(lists))
-    placed = written(posted.where("least <> most").select("list", "key", "n").distinct(), "postings").withColumn("component", F.col("key"))
+    placed = written(posted.where("least <> most").select("list", "key", "n", "at").distinct(), "postings").withColumn("component", F.col("key"))
     compared = links = found = None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
-            # Keys are random numbers: turned about by a constant, each order of them draws other leaders.
-            turned = F.col("key").bitwiseXOR(F.xxhash64(F.lit(k)))
-            leaders = placed.groupBy("list").agg(F.min(turned).bitwiseXOR(F.xxhash64(F.lit(k))).alias("leader"))
-            leaders = placed.join(leaders, "list").where("key = leader").select("list", "leader", F.col("component").alias("to"), F.col("n").alias("m"))
-            pairs = placed.join(leaders, "list").where("component <> to").select("key", "leader", "n", "m")
+            # Keys are random numbers, so their low bits part equal ranks.
+            by_lists = F.count(F.lit(1)).over(Window.partitionBy("key")) if k == 0 else F.lit(0)
+            ranked = placed.withColumn("rank", by_lists * (1 << 40) + F.col("key").bitwiseAND((1 << 40) - 1))
+            best = ranked.groupBy("list").agg(F.max("rank").alias("rank"))
+            leaders = ranked.join(best, ["list", "rank"]).select("list", F.col("key").alias("leader"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("at").alias("met"))
+            pairs = placed.join(leaders, "list").where(f"component <> to AND {_MEET}").select("key", "leader")
         else:
-            a, b = placed.alias("a"), placed.alias("b")
-            pairs = a.join(b, F.expr("a.list = b.list AND a.component > b.component")).selectExpr("a.key", "b.key AS leader", "a.n", "b.n AS m")
-        pairs = pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v")).distinct()
+            b = placed.select("list", F.col("key").alias("leader"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("at").alias("met"))
+            pairs = placed.join(b, "list").where(f"component > to AND {_MEET}").select("key", "leader")
+        pairs = pairs.select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
         tried, new = _verified(docs, nodes, pairs, f"round-{k}")
