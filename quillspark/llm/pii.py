@@ -202,7 +202,12 @@ _HINT = regex.compile(r"[0-9@]|password=")
 
 def extra_columns(docs: DataFrame) -> list[str]:
     """Names of the two columns that `pseudonymised` adds; other ones if docs has such names."""
-    return [c if c not in docs.columns else f"{c}__new" for c in ("pii_kinds", "pii_spans")]
+    out = []
+    for name in ("pii_kinds", "pii_spans"):
+        while name.lower() in (c.lower() for c in docs.columns):
+            name += "_"
+        out.append(name)
+    return out
 
 
 def text_length() -> Column:

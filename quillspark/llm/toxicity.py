@@ -21,6 +21,7 @@ kept by `without_toxic` and not read.
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -36,9 +37,9 @@ from .common import documents, slices
 #: Bounds of the learning sample.
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1500, 3000, 20_000
 #: Words in a window; bytes of the ordinary and of the toxic dictionary.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 8, 4096, 2048
-#: A word is telling if this share of the toxic texts has it, and so many times the share of ordinary texts.
-TELLING_SHARE, TELLING_RATIO = 0.01, 20
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 5, 8192, 1024
+#: A word is telling if this share of the toxic texts, and one more, has it, and so many times the share of ordinary texts.
+TELLING_SHARE, TELLING_RATIO = 0.015, 20
 #: Saved bytes that are counted: windows that save at least 1, 2, ... of them.
 STEPS = 7
 THRESHOLD = 0.7
@@ -110,7 +111,7 @@ def _distinct(texts: list[str]) -> list[str]:
     kept: dict[int, str] = {}
     for text in texts:
         words = _words(text)
-        kept.setdefault(min((hash(tuple(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0), text)
+        kept.setdefault(min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0), text)
     return list(kept.values())
 
 
@@ -123,11 +124,11 @@ def fitted(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     if not toxic or not ordinary:
         return ToxicityModel()
     chance = random.Random(0)
-    cut = len(toxic) >= 200  # enough to calibrate on other texts than the dictionaries come from
+    cut = len(toxic) >= 600  # enough to calibrate on other texts than the dictionaries come from
     for_words = (toxic[: 2 * len(toxic) // 3], ordinary[: 2 * len(ordinary) // 3]) if cut else (toxic, ordinary)
     has = [Counter(w for t in texts for w in set(_words(t))) for texts in for_words]
     n, m = map(len, for_words)
-    telling = {w for w, k in has[0].items() if k >= max(2, TELLING_SHARE * n) and k / n > TELLING_RATIO * (has[1][w] + 0.5) / m}
+    telling = {w for w, k in has[0].items() if k >= max(2, 1 + TELLING_SHARE * n) and k / n > TELLING_RATIO * (has[1][w] + 0.5) / m}
     telling = telling or {w for w, k in has[0].items() if not has[1][w]}
     found = sorted(b" " + w + b" " for t in for_words[0] for w in _words(t) if w in telling)
     chance.shuffle(found)
@@ -141,12 +142,20 @@ def fitted(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
+    weight = np.where(y == 1, 1 / 3 / y.mean(), 2 / 3 / (1 - y.mean()))  # as if one text in three were toxic
     w, ridge = np.zeros(a.shape[1]), 0.3 * np.r_[np.ones(a.shape[1] - 1), 1e-3]
-    for _ in range(50):  # Newton steps of ridge logistic regression
+
+    def loss(v: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (a @ v))).sum() + (ridge * v * v).sum() / 2)
+
+    for _ in range(100):  # Newton steps of ridge logistic regression, halved until they help
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (weight * (p - y)) + ridge * w)
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     model.weights = w
     return model
@@ -164,7 +173,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     # At most MOST_TOXIC + MOST_ORDINARY ids: small enough to broadcast at every size.
     sample = docs.where(F.octet_length("text").between(1, MOST_BYTES)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: (hash(r["doc_id"] * 2654435761 % 2**32), r["doc_id"]))
+    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
     return fitted([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 
