@@ -35,7 +35,7 @@ from .common import documents, hashed_words, mixed, slices, text_bytes
 #: Share of an item's words that may be edited (inserted, deleted or replaced).
 MOST_EDITS = 0.2
 #: Walks, and sampled places in each. Recall of items with the most edits allowed: over 0.9 (see the tests).
-REPEATS, SAMPLED = 8, 3
+REPEATS, SAMPLED = 12, 3
 #: Steps between sampled places: at least and at most. A walk moves on at every other step or so, so
 #: places at some distance read different words.
 APART = (5, 9)
