@@ -288,11 +288,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of docs with the least doc_id of each class, with its columns; rows without doc_id stay, of rows that repeat one does."""
     kept = classes(docs).where("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__again"))
     kept = written(kept, "kept")
-    with_id = docs.join(kept, "doc_id")
-    once = with_id.where("NOT __again")
-    again = with_id.where("__again").withColumn("__number", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__number = 1").drop("__number")
+    few = kept.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    with_id = docs.join(F.broadcast(kept) if few else kept, "doc_id")
     names = docs.columns
-    return once.select(*names).unionByName(again.select(*names)).unionByName(docs.where("doc_id IS NULL").select(*names))
+    out = with_id.where("NOT __again").select(*names).unionByName(docs.where("doc_id IS NULL").select(*names))
+    if kept.where("__again").limit(1).count():
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.unionByName(with_id.where("__again").withColumn("__number", number).where("__number = 1").select(*names))
+    return out
 
 
 def op5_jaccard_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
