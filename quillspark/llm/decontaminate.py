@@ -2,15 +2,20 @@
 
 Texts and benchmark items are sequences of words (letters and digits, A-Z as
 a-z). A CGK random walk maps a sequence to a longer one: at step j it writes
-the word it stands on and moves on by a random bit of (j, word). Two sequences
-within a small edit distance then agree in most places (Hamming distance). Bit
-sampling LSH reads a few places of the walk: in each of `REPEATS` walks, a
-window of the text that starts at any word is a candidate for an item if their
-walks agree in all sampled places. Every candidate is verified: the item must be
-within `MOST_EDITS` of its words (edit distance) of some window of the text.
+the word it stands on and moves on by a random bit of (j, word). So equal
+sequences have equal walks, and a walk of j steps has read j words at most.
 
-All windows of a slice of texts walk at once in numpy, and a window leaves as
-soon as its next sampled place agrees with no item, so few walk far.
+An item with at most e edits, cut into e + 1 pieces, keeps one piece unchanged
+(pigeonhole). A walk starts at each piece of an item, wherever it lies in the
+item, and goes on until it leaves the piece: by then it has read all its words.
+A place of the text where the walk agrees with a piece's makes the item a
+candidate, with its start moved back by the piece's offset. So no item within
+its edits is missed, at whichever end or places they are. Every candidate is
+verified: the item must be within `MOST_EDITS` of its words (edit distance) of
+some window of the text.
+
+All places of a slice of texts walk at once in numpy, and a place leaves as
+soon as its next step agrees with no piece, so few walk far.
 
 The benchmark is small beside the corpus; it is read in blocks of `BLOCK_ITEMS`
 items, each of which goes over the corpus in the closure of the tasks.
@@ -34,11 +39,8 @@ from .common import documents, hashed_words, mixed, slices, text_bytes
 
 #: Share of an item's words that may be edited (inserted, deleted or replaced).
 MOST_EDITS = 0.2
-#: Walks, and sampled places in each. Recall of items with the most edits allowed: over 0.9 (see the tests).
-REPEATS, SAMPLED = 12, 3
-#: Steps between sampled places: at least and at most. A walk moves on at every other step or so, so
-#: places at some distance read different words.
-APART = (5, 9)
+#: Steps of a walk at most; a walk that still stands in its piece then stops there. A step's bit is one of 64.
+STEPS = 48
 #: Items shorter than this many words get no edits.
 SHORTEST = 8
 BLOCK_ITEMS = 5_000
@@ -46,26 +48,18 @@ BLOCK_ITEMS = 5_000
 _IS_WORD = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
 
-def _plan(repeat: int) -> list[int]:
-    """The sampled places of a walk, least first."""
-    chance = np.random.default_rng(repeat)
-    return np.cumsum([chance.integers(0, APART[0]), *chance.integers(APART[0], APART[1] + 1, SAMPLED - 1)]).tolist()
-
-
-def _bits(repeat: int, words: np.ndarray) -> np.ndarray:
+def _bits(words: np.ndarray) -> np.ndarray:
     """For each word its random bits, one for each step of a walk."""
-    return mixed(words ^ np.uint64(0xA24BAED4963EE407 * (repeat + 1) % 2**64))
+    return mixed(words ^ np.uint64(0xA24BAED4963EE407))
 
 
-def _walked(words: np.ndarray, bits: np.ndarray, at: np.ndarray, step: int, place: int) -> np.ndarray:
-    """Where walks stand at `place`, from where they stood at `step`."""
-    for k in range(step, place):
-        at = at + ((bits[at] >> np.uint64(k)) & np.uint64(1)).astype(np.int32)
-    return at
+def _moved(bits: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Where walks stand after `step`."""
+    return at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(at.dtype)
 
 
 class Items:
-    """A block of benchmark items with the tables of their walks."""
+    """A block of benchmark items with the tables of their pieces' walks."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         column = pa.array([t for _, t in rows], pa.string())
@@ -77,66 +71,77 @@ class Items:
                 self.words.append(words[firsts[k] : firsts[k + 1]])
         self.edits = [int(MOST_EDITS * len(w)) if len(w) >= SHORTEST else 0 for w in self.words]
         self.kinds = [np.unique(w) for w in self.words]
-        # For each walk and sampled place: the signatures so far of all items, and items by signature where an
-        # item's walk ends (at the last place, or at the last one inside a short item).
-        self.tables = []
-        for r in range(REPEATS):
-            levels: list[set[int]] = [set() for _ in range(SAMPLED)]
-            found: list[dict[int, list[int]]] = [{} for _ in range(SAMPLED)]
-            for k, w in enumerate(self.words):
-                bits, at, step, key, signature = _bits(r, w), 0, 0, np.zeros(1, np.uint64), []
-                for place in _plan(r):
-                    while step < place and at < len(w):
-                        at += int(bits[at] >> np.uint64(step)) & 1
-                        step += 1
-                    if at >= len(w):
-                        break
-                    key = mixed(key + w[at : at + 1])
-                    signature.append(int(key[0]))
-                for level, x in enumerate(signature):
-                    levels[level].add(x)
-                if signature:
-                    found[len(signature) - 1].setdefault(signature[-1], []).append(k)
-            self.tables.append(([np.sort(np.array(list(x) or [0], np.uint64)) for x in levels], found))
-
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(first word, item) of windows whose walk agrees with an item's. A walk may leave its text; verification doesn't."""
-        out: set[tuple[int, int]] = set()
-        padded = np.concatenate((words, np.zeros(APART[1] * SAMPLED + 1, np.uint64)))
-        for r, (levels, found) in enumerate(self.tables):
-            bits = _bits(r, padded)
-            starts = at = np.arange(len(words), dtype=np.int32)
-            key, step = np.zeros(len(words), np.uint64), 0
-            for level, place in enumerate(_plan(r)):
-                at = _walked(padded, bits, at, step, place)
-                step = place
-                key = mixed(key + padded[at])
-                table = levels[level]
-                keep = table[np.minimum(np.searchsorted(table, key), len(table) - 1)] == key
-                starts, key, at = starts[keep], key[keep], at[keep]
-                if found[level]:
-                    for s, x in zip(starts.tolist(), key.tolist(), strict=True) if level == SAMPLED - 1 else self._ending(starts, key, found[level]):
-                        out.update((s, k) for k in found[level].get(x, ()))
-                if not len(starts):
-                    break
+        # Pieces: item, offset in it, and first and last place (exclusive) among the words of all items.
+        pieces, base = [], 0
+        for k, w in enumerate(self.words):
+            cuts = [len(w) * j // (self.edits[k] + 1) for j in range(self.edits[k] + 2)]
+            pieces += [(k, c, base + c, base + d) for c, d in zip(cuts, cuts[1:], strict=False)]
+            base += len(w)
+        # For each step: the signatures so far of all pieces, and (item, offset) by signature where a walk ends.
+        self.tables: list[tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = []
+        if not pieces:
+            return
+        flat = np.concatenate([*self.words, np.zeros(1, np.uint64)])
+        bits, alive = _bits(flat), np.arange(len(pieces))
+        at, end = np.array([x[2] for x in pieces]), np.array([x[3] for x in pieces])
+        key = np.zeros(len(pieces), np.uint64)
+        for step in range(STEPS):
+            key = mixed(key + flat[at])
+            after = _moved(bits, at, step)
+            inside = (after < end) & (step < STEPS - 1)
+            found: dict[int, list[tuple[int, int]]] = {}
+            for k, x in zip(alive[~inside].tolist(), key[~inside].tolist(), strict=True):
+                found.setdefault(x, []).append(pieces[k][:2])
+            self.tables.append((np.unique(key), found))
+            alive, at, end, key = alive[inside], after[inside], end[inside], key[inside]
+            if not len(alive):
+                break
+
+    def candidates(self, words: np.ndarray) -> set[tuple[int, int, int]]:
+        """(place of a piece, item, start of the item) where a walk agrees with a piece's. A walk may leave its text; verification doesn't."""
+        out: set[tuple[int, int, int]] = set()
+        padded = np.concatenate((words, np.zeros(STEPS + 1, np.uint64)))
+        bits = _bits(padded)
+        starts = at = np.arange(len(words), dtype=np.int32)
+        key = np.zeros(len(words), np.uint64)
+        for step, (table, found) in enumerate(self.tables):
+            key = mixed(key + padded[at])
+            keep = table[np.minimum(np.searchsorted(table, key), len(table) - 1)] == key
+            starts, key, at = starts[keep], key[keep], at[keep]
+            if found and len(starts):
+                here = np.isin(key, np.array(list(found), np.uint64))
+                for s, x in zip(starts[here].tolist(), key[here].tolist(), strict=True):
+                    out.update((s, k, s - offset) for k, offset in found[x])
+            if not len(starts):
+                break
+            at = _moved(bits, at, step)
         return out
 
-    @staticmethod
-    def _ending(starts: np.ndarray, key: np.ndarray, found: dict[int, list[int]]) -> Iterable[tuple[int, int]]:
-        here = np.isin(key, np.array(list(found), np.uint64))
-        return zip(starts[here].tolist(), key[here].tolist(), strict=True)
-
-    def verified(self, words: np.ndarray, start: int, first: int, last: int, item: int) -> tuple[int, int, int] | None:
-        """Edits, first and last word of the item's best window near a candidate, if within bounds; the text is words[first:last]."""
-        w, most = self.words[item], self.edits[item]
-        a, b = max(first, start - most), min(last, start + len(w) + most)
-        text = words[a:b]
-        kinds = self.kinds[item]
+    def _near(self, words: np.ndarray, a: int, b: int, item: int) -> bool:
+        """Whether words[a:b] has as many of the item's kinds of word as a find needs: an edit takes one away at most."""
+        text, kinds = words[a:b], self.kinds[item]
         near = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
         hit = np.zeros(len(kinds), bool)
         hit[near[kinds[near] == text]] = True
-        if np.count_nonzero(hit) < len(kinds) - most:  # an edit takes one kind of word away at most
-            return None
+        return np.count_nonzero(hit) >= len(kinds) - self.edits[item]
+
+    def verified(self, words: np.ndarray, starts: list[int], first: int, last: int, item: int) -> tuple[int, int, int] | None:
+        """Edits, first and last word of the item's best window near candidates (ascending starts), if within bounds; the text is words[first:last]."""
+        n, most = len(self.words[item]), self.edits[item]
+        ranges: list[list[int]] = []
+        for start in starts:
+            a, b = max(first, start - most), min(last, start + n + most)
+            if a < b and self._near(words, a, b, item):
+                if ranges and a <= ranges[-1][1]:
+                    ranges[-1][1] = max(ranges[-1][1], b)
+                else:
+                    ranges.append([a, b])
+        best = min((self._best(words, a, b, item) for a, b in ranges), default=(most + 1, 0, 0))
+        return best if best[0] <= most else None
+
+    def _best(self, words: np.ndarray, a: int, b: int, item: int) -> tuple[int, int, int]:
+        """Edits, first and last word of the item's best window in words[a:b]."""
+        w, text = self.words[item], words[a:b]
         # Sellers' algorithm, a column for each text word: edits of the item's prefixes against a window that ends here.
         column, origin = np.arange(len(w) + 1), np.zeros(len(w) + 1, np.int64)
         best = (len(w) + 1, 0, 0)
@@ -155,7 +160,7 @@ class Items:
             column, origin = low + steps, new_origin[source]
             if column[-1] < best[0]:
                 best = (int(column[-1]), a + int(origin[-1]), a + k)
-        return best if best[0] <= most else None
+        return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -183,13 +188,13 @@ def _leaks(docs: DataFrame, items: Items) -> DataFrame:
             words, firsts = hashed_words(*text_bytes(batch.column(1)), _IS_WORD)
             if not len(words) or not items.ids:
                 continue
+            starts: dict[tuple[int, int], set[int]] = {}
+            for place, item, start in items.candidates(words):
+                row = int(np.searchsorted(firsts, place, side="right")) - 1
+                starts.setdefault((row, item), set()).add(start)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for start, item in sorted(items.candidates(words)):
-                row = int(np.searchsorted(firsts, start, side="right")) - 1
-                known = best.get((row, item))
-                if known and (not known[0] or known[1] <= start <= known[2]):
-                    continue
-                if (found := items.verified(words, start, int(firsts[row]), int(firsts[row + 1]), item)) and (not known or found < known):
+            for (row, item), x in starts.items():
+                if found := items.verified(words, sorted(x), int(firsts[row]), int(firsts[row + 1]), item):
                     best[row, item] = found
             if best:
                 keys = sorted(best)

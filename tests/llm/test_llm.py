@@ -217,6 +217,27 @@ def test_decontaminate(spark, odd):
     assert decontaminate.leaks(odd, items.where("false")).count() == 0
 
 
+def test_decontaminate_most_edits(spark):
+    """Every item with exactly the most edits allowed is found, wherever they are."""
+    chance = random.Random(4)
+    bench = {i: [f"b{chance.randrange(10**6)}" for _ in range(n)] for i, n in enumerate((8, 9, 10, 14, 15, 19, 25, 38, 59, 59))}
+    rows, wanted = [], {}
+    for i, words in bench.items():
+        e, n = len(words) // 5, len(words)
+        for where, places in {"head": list(range(e)), "tail": list(range(n - e, n)), "strewn": [n * k // e for k in range(e)], "chance": sorted(chance.sample(range(n), e))}.items():
+            for kind in ("replace", "insert", "delete"):
+                out = []
+                for k, w in enumerate(words):
+                    out += [w] * (k not in places or kind == "insert") + [f"q{chance.randrange(10**6)}"] * (k in places and kind != "delete")
+                wanted[len(rows)] = (i, where, kind)
+                rows.append((len(rows), " ".join([f"z{chance.randrange(10**6)}" for _ in range(30)] + out + [f"z{chance.randrange(10**6)}" for _ in range(30)])))
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert not [x for d, x in wanted.items() if (d, x[0]) not in found]
+    assert set(found) == {(d, x[0]) for d, x in wanted.items()}
+    assert all(e <= len(bench[i]) // 5 for (_, i), e in found.items())
+
+
 def test_hilbert_curve():
     side = 4
     places = {sharding.hilbert_index([a, b, c], 2): (a, b, c) for a in range(side) for b in range(side) for c in range(side)}
