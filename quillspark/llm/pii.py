@@ -8,9 +8,18 @@ walking to stay inside), so equal values get equal pseudonyms in all documents,
 different values never get the same one, and the key's owner can go back.
 Check digits are made anew, so a pseudonym is as valid as the value was.
 
+A match that its kind's check rejects uses up no text: at the same start the
+other kinds follow, then shorter matches, then the search goes on a character
+behind. A card that is a part of a longer run of digits is taken only after a
+phone at its start and in the usual groups of digits; in other groups, where
+nothing else was found. What a rejected match overlaps gets other digits, with
+which it may be accepted: in such runs of numbers the way back needs the spans
+(`restored`), as a new search can cut the run otherwise.
+
 Defined results: a null text stays null with no finds, an empty one stays
-empty; where kinds overlap, the one listed first wins; repeated rows are
-replaced alike; `pseudonymised` keeps all columns of docs.
+empty; where valid values overlap, the first one wins, at the same start the
+kind listed first; repeated rows are replaced alike; `pseudonymised` keeps all
+columns of docs.
 """
 
 from __future__ import annotations
@@ -49,6 +58,10 @@ PATTERN = regex.compile(
     """,
     regex.VERBOSE,
 )
+#: The kinds' patterns alone, in their order.
+_FORMS = {m[1]: regex.compile(m[0].strip().lstrip("|"), regex.VERBOSE) for m in regex.finditer(r"^ *\|?\(\?P<(\w+)>.*$", PATTERN.pattern, regex.MULTILINE)}
+#: Usual groups of a card's digits.
+_GROUPS = regex.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
 
 
 @lru_cache(100_000)
@@ -181,21 +194,94 @@ def _secret(key: bytes, text: str, back: bool) -> str:
     return _replaced(key, "secret", text, back, lambda i: i < fixed)
 
 
+def _card_ends(text: str, start: int) -> tuple[int | None, list[int]]:
+    """Ends of the 13 to 19 digits from a start on: the end of the run of digits, if it has no more, and the ends inside the run, last first."""
+    ends, at, n = [], start, 0
+    while n < 20 and at < len(text) and "0" <= text[at] <= "9":
+        n, at = n + 1, at + 1
+        inside = at < len(text) and "0" <= text[at] <= "9"
+        if 13 <= n <= 19 and not inside:
+            ends.append(at)
+        if not inside and text[at : at + 1] in (" ", "-") and "0" <= text[at + 1 : at + 2] <= "9":
+            at += 1
+    whole = ends.pop() if 13 <= n <= 19 and ends and ends[-1] == at else None
+    return whole, ends[::-1]
+
+
+def _iban_ends(text: str, start: int, end: int) -> Iterator[int]:
+    """Ends of the shorter matches at a start, last first."""
+    for e in range(end - 1, start + 11, -1):
+        if not (text[e].isalnum() or text[e] == "_") and _FORMS["iban"].fullmatch(text, start, e):
+            yield e
+
+
+def _tried(text: str, m: regex.Match) -> Iterator[tuple[str, int]]:
+    """Kinds and ends of what may stand at a match's start, in the order in which they are tried."""
+    start, kinds = m.start(), list(_FORMS)
+    cut: list[int] = []
+    for kind in kinds[kinds.index(m.lastgroup) :]:
+        if kind == "card":
+            whole, cut = _card_ends(text, start) if _FORMS[kind].match(text, start) else (None, [])
+            if whole is not None:
+                yield kind, whole
+        elif found := m if kind == m.lastgroup else _FORMS[kind].match(text, start):
+            yield kind, found.end()
+            if kind == "iban":
+                yield from ((kind, e) for e in _iban_ends(text, start, found.end()))
+    yield from (("card", e) for e in cut if _GROUPS.fullmatch(text, start, e))
+
+
+def _values(text: str, key: bytes, back: bool) -> list[tuple[int, int, str, str]]:
+    """Start, end, kind and pseudonym of the values, by start."""
+    out, left, at = [], [], 0
+    while m := PATTERN.search(text, at):
+        start = m.start()
+        for kind, end in _tried(text, m):
+            if (new := KINDS[kind](key, text[start:end], back)) is not None:
+                out.append((start, end, kind, new))
+                at = end
+                break
+        else:
+            at = start + 1
+            if m.lastgroup == "card" or _FORMS["card"].match(text, start):
+                left.append(start)
+    # Cards in unusual groups, in what is left.
+    before, k = 0, 0
+    for start in left:
+        while k < len(out) and out[k][0] < start:
+            before = max(before, out[k][1])
+            k += 1
+        if start < before:
+            continue
+        behind = out[k][0] if k < len(out) else len(text)
+        for end in _card_ends(text, start)[1]:
+            if end <= behind and (new := _card(key, text[start:end], back)) is not None:
+                out.insert(k, (start, end, "card", new))
+                break
+    return out
+
+
 def replaced(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and kind, start and end of each in it."""
     out, spans, end, length = [], [], 0, 0
-    for m in PATTERN.finditer(text):
-        new = KINDS[m.lastgroup](key, m.group(), back)
-        if new is None:
-            continue
-        out += [text[end : m.start()], new]
-        length += m.start() - end
-        spans.append((m.lastgroup, length, length + len(new)))
+    for start, stop, kind, new in _values(text, key, back):
+        out += [text[end:start], new]
+        length += start - end
+        spans.append((kind, length, length + len(new)))
         length += len(new)
-        end = m.end()
+        end = stop
     return ("".join([*out, text[end:]]), spans) if out else (text, spans)
 
 
+def restored(text: str, spans: list[tuple[str, int, int]], key: bytes = KEY) -> str:
+    """The text before its values at these spans were replaced."""
+    out, end = [], 0
+    for kind, a, b in spans:
+        out += [text[end:a], KINDS[kind](key, text[a:b], True) or text[a:b]]
+        end = b
+    return "".join([*out, text[end:]])
+
+
 #: Without one of these characters a text holds nothing that PATTERN finds.
 _HINT = regex.compile(r"[0-9@]|password=")
 

@@ -89,6 +89,32 @@ def test_pii():
     assert a[0][2:] == b[0][2:18]
 
 
+def test_pii_neighbours():
+    """A rejected match hides no valid value inside it or behind its start."""
+    for text, wanted in {
+        "555-123-4567 555-987-6543": ["phone", "phone"],
+        "2024 4111 1111 1111 1111": ["card"],
+        "4111 1111 1111 1111 12": ["card"],
+        "555-123-4567 1234": ["phone"],
+        "12 555-123-4567 555-987-6543 555-111-2223": ["phone"] * 3,
+        "7 41 11 11 11 11 11 11 11 55 66 77": ["card"],
+        "GB82 WEST 1234 5698 7654 32": ["iban"],
+        "AT61 1904 3002 3457 3201 ABCD": ["iban"],
+        "AB12 4111 1111 1111 1111": ["card"],
+        "4111 1111 1111 1111 4111 1111 1111 1111": ["card", "card"],
+    }.items():
+        new, spans = pii.replaced(text)
+        assert [k for k, _, _ in spans] == wanted and len(new) == len(text), text
+        assert pii.restored(new, spans) == text
+    assert pii.replaced("2024 4111 1111 1111 1111")[0][:5] == "2024 " and pii.replaced("AT61 1904 3002 3457 3201 ABCD")[0][-5:] == " ABCD"
+    chance = random.Random(6)
+    for _ in range(300):  # lists of phones: none stays
+        phones = ["-".join(str(chance.randrange(10 ** (n - 1), 10**n)) for n in (3, 3, 4)) for _ in range(chance.randrange(2, 6))]
+        text = " ".join(phones)
+        new, spans = pii.replaced(text)
+        assert {k for k, _, _ in spans} == {"phone"} and len(spans) == len(phones) and pii.restored(new, spans) == text
+
+
 def test_pii_table(spark, odd):
     out = pii.pseudonymised(odd)
     assert out.columns[: len(odd.columns)] == odd.columns and out.count() == odd.count()
