@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on
-the words of toxic text that ordinary text hardly has. A window (a few words) is
+the words of toxic text that ordinary text hardly has, as large as they need (on
+windows of toxic text it hardly tells the kinds apart, see the README). A window (a few words) is
 compressed once with the ordinary dictionary and once with the toxic one laid on
 top of it; the bytes that the toxic dictionary saves are its distance. A text's
 score is a logistic function, calibrated on labelled texts, of how many windows
@@ -36,7 +37,7 @@ from .common import documents, slices
 
 #: Bounds of the learning sample.
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1500, 3000, 20_000
-#: Words in a window; bytes of the ordinary and of the toxic dictionary.
+#: Words in a window; bytes of the ordinary dictionary, and of the toxic one at least: it grows with its words.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 5, 8192, 1024
 #: A word is telling if this share of the toxic texts, and one more, has it, and so many times the share of ordinary texts.
 TELLING_SHARE, TELLING_RATIO = 0.015, 20
@@ -136,7 +137,9 @@ def fitted(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     chance.shuffle(plain)
     if not found or not plain:
         return ToxicityModel()
-    model = ToxicityModel(_trained(ORDINARY_BYTES, _packed(plain, 60_000)), _trained(TOXIC_BYTES, _packed(found * (1 + 40_000 // len(found)), 40_000)))
+    content = _trained(max(TOXIC_BYTES, sum(map(len, set(found)))), _packed(found * (1 + 40_000 // len(found)), 40_000))
+    missing = b"".join(w for w in sorted(set(found)) if w not in content)
+    model = ToxicityModel(_trained(ORDINARY_BYTES, _packed(plain, 60_000)), missing + content)
     rest = (toxic[len(for_words[0]) :], ordinary[len(for_words[1]) :]) if cut else (toxic, ordinary)
     x = np.array([model.features(t) for texts in rest for t in texts])
     y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])

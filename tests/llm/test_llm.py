@@ -67,6 +67,13 @@ def test_toxicity(spark, odd, labels):
     assert toxicity.without_toxic(odd.where("false"), labels).columns == odd.columns
 
 
+def test_toxicity_holds_all_telling_words():
+    words = [f"slur{hashlib.md5(str(k).encode()).hexdigest()[:8]}" for k in range(300)]
+    chance = random.Random(7)
+    model = toxicity.fitted([" ".join(chance.sample(words[k % 5 :: 5], 60)) for k in range(60)], [" ".join(f"w{chance.randrange(10**6)}" for _ in range(20)) for _ in range(120)])
+    assert all(f" {w} ".encode() in model.toxic for w in words)
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     found = toxicity.op2_toxicity_zstd(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("toxic IS NOT NULL")
