@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lexical import ranked
+
 #: Questions that one pass over the vectors answers at once (their matrix goes to every task).
 BLOCK = 1024
 
@@ -53,3 +58,29 @@ def batch_search(vectors: DataFrame, questions: list[tuple[int, list[float]]], k
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(order))), pa.array(keys[order].ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
 
     return vectors.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
+
+
+def block_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score and rank of the k best for any number of questions (id, vector), a block at a time.
+
+    Of several blocks the best of each are written (to the shared folder) before the next one is read, and ranked again at
+    the end: the driver holds one block, and the plan is that of one table.
+    """
+    spark = vectors.sparkSession
+    rows = ((r["id"], r["vector"]) for r in questions.select("id", "vector").toLocalIterator(prefetchPartitions=True))
+    block, path = list(islice(rows, BLOCK)), ""
+    while True:
+        best = ranked(batch_search(vectors, block, k), k, "id")
+        block = list(islice(rows, BLOCK))
+        if not block and not path:
+            return best
+        path = path or f"{_shared_dir(spark)}/block-search-{uuid.uuid4().hex}"
+        best.drop("rank").write.mode("append").parquet(path)
+        if not block:
+            return ranked(spark.read.schema(best.drop("rank").schema).parquet(path), k, "id")
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/") if path else f"file://{tempfile.mkdtemp(prefix='quill-')}"

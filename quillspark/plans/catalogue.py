@@ -120,17 +120,8 @@ def cosine_top_k(spark, d):
 @query(f"WITH {_VECTORS}, scores AS (SELECT a.id AS query_id, b.id, list_dot_product(a.v, b.v) AS score FROM vectors a, vectors b WHERE a.id % 50 = 0) SELECT query_id, id, rank, round(score, 5) AS score FROM ({_top('scores', 5, 'id')})")
 def dense_batch_top_k(spark, d):
     found = tables.vectors(spark, d)
-    asked = found.where("id % 50 = 0")
-    blocks = [[]]
-    for r in asked.select("id", "vector").toLocalIterator():
-        if len(blocks[-1]) == vectors.BLOCK:
-            blocks.append([])
-        blocks[-1].append((r["id"], r["vector"]))
-    parts = [vectors.batch_search(found, b, K.TOP_K) for b in blocks]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return lexical.ranked(union, K.TOP_K, "id").select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+    best = vectors.block_search(found, found.where("id % 50 = 0"), K.TOP_K)
+    return best.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
 # --- fusion and retrieval ---
@@ -208,9 +199,9 @@ def _retrieved(spark, d):
     """Hybrid retrieval for all questions in one job: vectors and terms, fused, without near duplicates, five each."""
     docs, questions = _docs(spark, d), tables.questions(spark, d)
     found = tables.vectors(spark, d).select("id", "vector")
-    asked = [(r["id"], r["vector"]) for r in found.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi").limit(vectors.BLOCK + 1).collect()]
+    asked = found.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi")
     known = found.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    dense = lexical.ranked(vectors.batch_search(known, asked, K.CANDIDATES), K.CANDIDATES, "id").withColumnRenamed("id", "doc_id")
+    dense = vectors.block_search(known, asked, K.CANDIDATES).withColumnRenamed("id", "doc_id")
     lists = [dense, lexical.ranked(lexical.bm25(docs, questions), K.CANDIDATES)]
     fused = fusion.fused(lists).join(docs.select("doc_id", "text"), "doc_id")
     kept = fusion.deduped(fused.select("query_id", "doc_id", "position", "text"))

@@ -118,3 +118,14 @@ def test_stream(spark):
     running.processAllAvailable()
     running.stop()
     assert spark.sql("SELECT sum(requests) FROM summary").first()[0] == events.count()
+
+
+def test_more_questions_than_a_block(spark):
+    """2,500 questions, in three blocks."""
+    rows = spark.range(2500).selectExpr("id", "array(cast(cos(id) AS float), cast(sin(id) AS float)) AS vector")
+    found = {}
+    for r in vectors.block_search(rows, rows, 2).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["score"])
+    assert sorted(found) == list(range(2500)) and all(sorted(x) == [1, 2] for x in found.values())
+    assert all(x[1][1] > 0.999999 and x[1][1] >= x[2][1] - 1e-6 for x in found.values())
+    assert vectors.block_search(rows, rows.where("false"), 2).count() == 0
