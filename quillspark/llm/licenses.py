@@ -56,7 +56,8 @@ def parts(notice: str, errors: int) -> list[tuple[int, bytes]]:
 class Scanner:
     def __init__(self, phrases: dict[str, str] | None = None, notices: tuple = NOTICES):
         self.phrases = [(f" {p} ".encode(), label) for p, label in (phrases or PHRASES).items()]
-        self.notices = [(n, label, e, parts(n, e), regex.compile(rf"(?b)(?:{regex.escape(n)}){{e<={e}}}")) for n, label, e in notices]
+        # (?e) finds the next match and improves it; (?b) then takes the best one inside its bounds, but would skip to a later one outside them.
+        self.notices = [(n, label, e, parts(n, e), *(regex.compile(rf"(?{f})(?:{regex.escape(n)}){{e<={e}}}") for f in "eb")) for n, label, e in notices]
 
     def places(self, words: bytes) -> list[tuple[int, int, str]]:
         """First word, last word and label of each phrase; words: with one space before and after each."""
@@ -72,7 +73,7 @@ class Scanner:
     def fuzzy(self, words: bytes) -> list[tuple[int, int, str, int, float]]:
         """First word, last word, label, errors and similarity of each notice found with errors or without."""
         out = []
-        for notice, label, errors, seeds, pattern in self.notices:
+        for notice, label, errors, seeds, following, best in self.notices:
             spans = []
             for offset, seed in seeds:
                 at = words.find(seed)
@@ -82,7 +83,8 @@ class Scanner:
             for a, b in _joined(spans):
                 text = words[a:b].decode("utf-8", "replace")
                 start = 0
-                while m := pattern.search(text, start):
+                while m := following.search(text, start):
+                    m = best.search(text, m.start(), m.end()) or m
                     wrong = sum(m.fuzzy_counts)
                     left = a + len(text[: m.start()].encode())
                     first = words.count(b" ", 0, left + 1) - 1 + (text[m.start()] == " ")

@@ -303,6 +303,13 @@ def test_licenses(spark, odd):
     assert licenses.op9_license_fuzzy(spark, FOLDER).count() == 200
 
 
+def test_licenses_neighbours():
+    """A notice with errors beside a better one is found too."""
+    text = b" licensed under teh mit license a licensed under the mit license licensed undr the mit license "
+    found = [(a, b) for a, b, label, _, _ in licenses.Scanner(notices=(("licensed under the mit license", "mit", 3),)).fuzzy(text)]
+    assert found == [(0, 4), (6, 10), (11, 15)]
+
+
 def test_langid(spark, odd):
     out = langid.op10_langid_nb(spark, FOLDER).join(docs(spark).select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.9
