@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,10 +17,12 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a new local one; a cluster is refused."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='quill-')}"
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -30,7 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once all that was derived from them is written too."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def inner(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with doc_id and text under these names and all other columns under plain ones (by place, so that no name of theirs clashes or needs quotes), and the names to give back."""
+    names = docs.columns
+    return docs.toDF(*(n if n in ("doc_id", "text") else f"column_{i}" for i, n in enumerate(names))), names
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-
+from .common import discarded, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round relinks every node to a smaller one it can reach; the rounds end
     when all edges are stars around their least nodes (a number of rounds that
     grows with the square of the logarithm of the nodes at most). The edges of a
-    round are written to the shared folder, so a lost executor costs one round.
+    round are written to the shared folder, so a lost executor costs one round;
+    those of the round before are deleted. A hub's edges are joined with its one
+    row of `least`, so the planner may split them among tasks.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _print(edges)
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: each node and its smaller neighbours are linked to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
+        old, edges = edges, written(small, "edges")
+        discarded(old)
         if (now := _print(edges)) == before:
             break
         before = now

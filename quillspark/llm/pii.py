@@ -6,7 +6,9 @@ secrets are replaced by values of the same format. A replacement is a keyed
 permutation (a balanced Feistel network over the format's numbers, with cycle
 walking to stay inside), so equal values get equal pseudonyms in all documents,
 different values never get the same one, and the key's owner can go back.
-Check digits are made anew, so a pseudonym is as valid as the value was.
+Check digits are made anew, so a pseudonym is as valid as the value was. A date
+is one value in all notations. Ten digits without any mark are an ordinary
+number, not a phone.
 
 A match that its kind's check rejects uses up no text: at the same start the
 other kinds follow, then shorter matches, then the search goes on a character
@@ -25,17 +27,18 @@ columns of docs.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .common import documents, slices
+from .common import documents, inner, slices
 
 #: Key of the registered queries; a real one comes from a secret store.
 KEY = b"quillspark registered queries"
@@ -54,7 +57,7 @@ PATTERN = regex.compile(
     |(?P<date>(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]))
     |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
     |(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))
-    |(?P<phone>(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9]))
+    |(?P<phone>(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9]))
     """,
     regex.VERBOSE,
 )
@@ -109,11 +112,16 @@ def iban_rest(value: str) -> int:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
+#: First digits of payment cards: one of 3 to 6, or 2221 to 2720. A pseudonym keeps them.
+_ISSUER = regex.compile(r"[3-6]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720")
+
+
 def _card(key: bytes, text: str, back: bool) -> str | None:
-    digits = [c for c in text if c.isdigit()]
-    if luhn("".join(digits)) or len(set(digits)) == 1:
+    digits = "".join(c for c in text if c.isdigit())
+    if luhn(digits) or len(set(digits)) == 1 or not _ISSUER.match(digits):
         return None
-    body = _replaced(key, "card", "".join(digits[:-1]), back)
+    fixed = 4 if digits[0] == "2" else 1
+    body = digits[:fixed] + _replaced(key, f"card:{digits[:fixed]}", digits[fixed:-1], back)
     check = next(d for d in "0123456789" if not luhn(body + d))
     new = iter(body + check)
     return "".join(next(new) if c.isdigit() else c for c in text)
@@ -136,30 +144,40 @@ def _ip(key: bytes, text: str, back: bool) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _shape(when: date) -> tuple[bool, int]:
+    """What keeps a date's notation: whether month and day have two digits, and whether the day may be a month."""
+    return when.month > 9, (when.day > 9) + (when.day > 12)
+
+
+@lru_cache(1)
+def _days() -> dict[tuple[bool, int], list[date]]:
+    """The dates of each shape, in order."""
+    out: dict[tuple[bool, int], list[date]] = {}
+    for n in range((_LAST - _FIRST).days + 1):
+        when = _FIRST + timedelta(n)
+        out.setdefault(_shape(when), []).append(when)
+    return out
+
+
 def _date(key: bytes, text: str, back: bool) -> str | None:
+    """One permutation for all notations, so a date in two of them stays linked; with a slash the month comes first if it can.
+
+    A date becomes one of its own shape, so a pseudonym is written and read as the date was.
+    """
     mark = next(c for c in text if not c.isdigit())
-    x = [int(p) for p in text.split(mark)]
-    year, month, day = x if mark == "-" else (x[2], x[0], x[1]) if mark == "/" and x[0] <= 12 else (x[2], x[1], x[0])
+    parts = text.split(mark)
+    x = [int(p) for p in parts]
+    order = (0, 1, 2) if mark == "-" else (2, 0, 1) if mark == "/" and x[0] <= 12 else (2, 1, 0)  # places of year, month and day
     try:
-        when = date(year, month, day)
+        when = date(*(x[i] for i in order))
     except ValueError:
         return None
     if not _FIRST <= when <= _LAST:
         return None
-    american = mark == "/" and x[0] <= 12
-    # A day-first date with a slash has a day over 12; its pseudonym is such a date again.
-    days = [d for d in _slash_days()] if mark == "/" and not american else None
-    ordinal, size = (days.index(when), len(days)) if days else ((when - _FIRST).days, (_LAST - _FIRST).days + 1)
-    new = permuted(key, "date" + "d" * bool(days), ordinal, size, back)
-    when = days[new] if days else _FIRST + timedelta(new)
-    wide = [len(p) for p in text.split(mark)]
-    order = (when.year, when.month, when.day) if mark == "-" else (when.month, when.day, when.year) if american else (when.day, when.month, when.year)
-    return mark.join(f"{v:0{2 if any(len(p) == 2 and p[0] == '0' for p in text.split(mark)) or w == 2 else w}d}" for v, w in zip(order, wide, strict=True))
-
-
-@lru_cache(1)
-def _slash_days() -> list[date]:
-    return [d for n in range((_LAST - _FIRST).days + 1) if (d := _FIRST + timedelta(n)).day > 12]
+    days = _days()[_shape(when)]
+    when = days[permuted(key, f"date{_shape(when)}", bisect_left(days, when), len(days), back)]
+    new = dict(zip(order, (when.year, when.month, when.day), strict=True))
+    return mark.join(f"{new[i]:0{len(p)}d}" for i, p in enumerate(parts))
 
 
 def _email(key: bytes, text: str, back: bool) -> str:
@@ -296,19 +314,14 @@ def extra_columns(docs: DataFrame) -> list[str]:
     return out
 
 
-def text_length() -> Column:
-    return F.length("text").cast("long")
-
-
 def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
     """docs with pseudonyms in `text`, and two more columns: pii_kinds (one for each replacement) and pii_spans ("start-end" in code points)."""
-    names = docs.columns
-    at = names.index("text")
-    extra = extra_columns(docs)
-    schema = StructType([*docs.schema.fields, *(StructField(c, ArrayType(StringType())) for c in extra)])
+    rows, names = inner(docs)
+    at, extra = rows.columns.index("text"), ["kinds_found", "spans_found"]
+    schema = StructType([*rows.schema.fields, *(StructField(c, ArrayType(StringType())) for c in extra)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, names[at]):
+        for batch in slices(batches, "text"):
             texts, kinds, places = [], [], []
             for text in batch.column(at).to_pylist():
                 new, spans = replaced(text, key, back) if text and _HINT.search(text) else (text, [])
@@ -317,9 +330,19 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> Data
                 places.append([f"{a}-{b}" for _, a, b in spans])
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string()))], names=[*names, *extra])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string()))], names=[*batch.schema.names, *extra])
+
+    return rows.mapInArrow(run, schema).toDF(*names, *extra_columns(docs))
+
 
-    return docs.mapInArrow(run, schema)
+def replaced_in(docs: DataFrame) -> DataFrame:
+    """docs with pseudonyms in `text`, and its length in `n_chars` if there is such a column."""
+    rows, names = inner(docs)
+    out = pseudonymised(rows).select(*rows.columns)
+    if "n_chars" in names:
+        at = rows.columns[names.index("n_chars")]
+        out = out.withColumn(at, F.length("text").cast(rows.schema[at].dataType))
+    return out.toDF(*names)
 
 
 def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
