@@ -8,7 +8,7 @@ reported as they stand, by word number.
 
 Texts are scanned whole, lower-cased (A-Z) and with words joined by one space.
 Defined results: a null or empty text has no words, no places and score 0;
-overlapping places each count; repeated rows are scanned each; other columns
+overlapping places each count, overlapping notices of one label once; repeated rows are scanned each; other columns
 are not read.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slices
+from .common import documents, inner, slices
 
 #: Phrases that count as they stand (words joined by one space), with their labels.
 PHRASES = {
@@ -32,65 +32,101 @@ PHRASES = {
 NOTICES = (
     ("released under the mit license", "mit", 3),
     ("licensed under the mit license", "mit", 3),
+    ("distributed under the mit license", "mit", 3),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
     ("licensed under the apache license version 2", "apache-2", 4),
+    ("you may not use this file except in compliance with the license", "apache-2", 6),
     ("licensed under cc by nc", "cc-by-nc", 2),
     ("creative commons attribution noncommercial", "cc-by-nc", 4),
     ("creative commons attribution sharealike", "cc-by-sa", 4),
+    ("creative commons attribution noderivatives", "cc-by-nd", 4),
+    ("creative commons attribution 4 0 international", "cc-by", 4),
+    ("cc0 1 0 universal public domain dedication", "cc0", 4),
     ("under the terms of the gnu general public license", "gpl", 5),
+    ("under the terms of the gnu lesser general public license", "lgpl", 5),
+    ("under the terms of the gnu affero general public license", "agpl", 5),
     ("redistribution and use in source and binary forms with or without modification", "bsd", 6),
     ("subject to the terms of the mozilla public license", "mpl", 5),
+    ("under the terms of the eclipse public license", "epl", 4),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 6),
+    ("distributed under the boost software license", "bsl", 4),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 6),
+    ("altered source versions must be plainly marked as such", "zlib", 5),
 )
 
 #: Every ASCII byte that isn't a letter or a digit becomes a space, A-Z becomes a-z; bytes of other characters stay.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def parts(notice: str, errors: int) -> list[tuple[int, bytes]]:
+def parts(notice: str, errors: int) -> list[tuple[int, str]]:
     """errors + 1 parts of about equal length that cover the notice, with their offsets."""
     n = errors + 1
     cuts = [len(notice) * k // n for k in range(n + 1)]
-    return [(a, notice[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def words_of(text: str | None) -> list[str]:
+    return text.encode().translate(_TO_WORDS).decode().split(" ") if text else []
 
 
 class Scanner:
+    """Finds phrases and notices in words joined by one space, with one more before and after; windows, spans and errors are in characters."""
+
     def __init__(self, phrases: dict[str, str] | None = None, notices: tuple = NOTICES):
-        self.phrases = [(f" {p} ".encode(), label) for p, label in (phrases or PHRASES).items()]
+        self.phrases = [(f" {p} ", label) for p, label in (phrases or PHRASES).items()]
         # (?e) finds the next match and improves it; (?b) then takes the best one inside its bounds, but would skip to a later one outside them.
         self.notices = [(n, label, e, parts(n, e), *(regex.compile(rf"(?{f})(?:{regex.escape(n)}){{e<={e}}}") for f in "eb")) for n, label, e in notices]
 
-    def places(self, words: bytes) -> list[tuple[int, int, str]]:
-        """First word, last word and label of each phrase; words: with one space before and after each."""
+    def places(self, words: str) -> list[tuple[int, int, str]]:
+        """First word, last word and label of each phrase."""
         out = []
         for phrase, label in self.phrases:
             at = words.find(phrase)
             while at >= 0:
-                first = words.count(b" ", 0, at)
-                out.append((first, first + phrase.count(b" ") - 2, label))
+                first = words.count(" ", 0, at)
+                out.append((first, first + phrase.count(" ") - 2, label))
                 at = words.find(phrase, at + 1)
         return sorted(out)
 
-    def fuzzy(self, words: bytes) -> list[tuple[int, int, str, int, float]]:
-        """First word, last word, label, errors and similarity of each notice found with errors or without."""
+    def matches(self, words: str, notice: int, windows: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+        """Start, end and errors of a notice's matches inside windows (the whole text), one after the other."""
+        following, best = self.notices[notice][4:]
+        out = []
+        for a, b in windows or [(0, len(words))]:
+            while m := following.search(words, a, b):
+                m = best.search(words, m.start(), m.end()) or m
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                a = max(m.end(), a + 1)
+        return out
+
+    def windows(self, words: str, notice: int) -> list[tuple[int, int]]:
+        """Where a notice can stand: around each part of it that stands unchanged."""
+        text, _, errors, seeds = self.notices[notice][:4]
+        spans = []
+        for offset, seed in seeds:
+            at = words.find(seed)
+            while at >= 0:
+                spans.append((max(0, at - offset - errors - 1), at - offset + len(text) + errors + 1))
+                at = words.find(seed, at + 1)
+        return _joined(spans)
+
+    def fuzzy(self, words: str) -> list[tuple[int, int, str, int, float]]:
+        """First word, last word, label, errors and similarity of each notice found with errors or without.
+
+        Of overlapping finds of one label the most similar one counts, then the longest, then the first.
+        """
+        found = []
+        for k, (notice, label, *_) in enumerate(self.notices):
+            if windows := self.windows(words, k):
+                found += [(-(1 - wrong / len(notice)), a - b, a, b, label, wrong) for a, b, wrong in self.matches(words, k, windows)]
+        taken: dict[str, list[tuple[int, int]]] = {}
         out = []
-        for notice, label, errors, seeds, following, best in self.notices:
-            spans = []
-            for offset, seed in seeds:
-                at = words.find(seed)
-                while at >= 0:
-                    spans.append((max(0, at - offset - errors - 1), at - offset + len(notice) + errors + 1))
-                    at = words.find(seed, at + 1)
-            for a, b in _joined(spans):
-                text = words[a:b].decode("utf-8", "replace")
-                start = 0
-                while m := following.search(text, start):
-                    m = best.search(text, m.start(), m.end()) or m
-                    wrong = sum(m.fuzzy_counts)
-                    left = a + len(text[: m.start()].encode())
-                    first = words.count(b" ", 0, left + 1) - 1 + (text[m.start()] == " ")
-                    last = first + m.group().strip().count(" ")
-                    out.append((max(0, first), last, label, wrong, 1 - wrong / len(notice)))
-                    start = max(m.end(), start + 1)
+        for score, _, a, b, label, wrong in sorted(found):
+            spans = taken.setdefault(label, [])
+            if all(b <= x or a >= y for x, y in spans):
+                spans.append((a, b))
+                first = max(0, words.count(" ", 0, a + 1) - 1 + (words[a] == " ") * (a > 0))
+                out.append((first, first + words[a:b].strip().count(" "), label, wrong, -score))
         return sorted(out)
 
 
@@ -116,14 +152,14 @@ def scanned(docs: DataFrame, phrases: dict[str, str] | None = None, notices: tup
         for batch in slices(batches, "text"):
             n, exact, fuzzy = [], [], []
             for text in batch.column(1).to_pylist():
-                words = text.encode().translate(_TO_WORDS).split() if text else []
-                joined = b" " + b" ".join(words) + b" " if words else b""
+                words = [w for w in words_of(text) if w]
+                joined = f" {' '.join(words)} " if words else ""
                 n.append(len(words))
                 exact.append([{"first_word": a, "last_word": b, "label": label, "errors": 0, "score": 1.0} for a, b, label in scanner.places(joined)])
                 fuzzy.append([dict(zip(("first_word", "last_word", "label", "errors", "score"), x, strict=True)) for x in scanner.fuzzy(joined)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(exact, kind), pa.array(fuzzy, kind)], names=["doc_id", "n_words", "places", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_words long, places array<{SPAN}>, spans array<{SPAN}>")
+    return inner(docs)[0].select("doc_id", "text").mapInArrow(run, f"doc_id long, n_words long, places array<{SPAN}>, spans array<{SPAN}>")
 
 
 def op9_license_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,4 +174,5 @@ def op9_license_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels.format("concat(places.label, spans.label)") + " AS labels",
         "coalesce(array_max(concat(places.score, spans.score)), 0D) AS score",
         "CAST(size(spans) AS long) AS n_spans",
+        "spans",
     )
