@@ -39,10 +39,6 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-#: Positions that fit into a packed number of 64 bits beside 44 bits of a hash.
-_PLACES = 1 << 20
-
-
 def hashed(words: str = "words") -> Column:
     return F.expr(f"transform({words}, w -> xxhash64(w))")
 
@@ -58,15 +54,10 @@ def base_columns(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with `hashes` of the words and the base rules' columns."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select("doc_id", "text", words().alias("words")).select("doc_id", "text", hashed().alias("hashes"))
-    # Word triples as hashes; each packed with its place and sorted, so that equal triples are neighbours.
+    # Word triples as 64-bit hashes; those of a text that repeats one are sorted with their places, so that equal triples are neighbours.
     rows = rows.withColumn("triples", F.expr("transform(slice(hashes, 1, greatest(size(hashes) - 2, 0)), (h, i) -> xxhash64(h, get(hashes, i + 1), get(hashes, i + 2)))"))
-    packed = f"sort_array(transform(triples, (h, i) -> (h & {-_PLACES}L) | i))"
-    structs = "array_sort(transform(triples, (h, i) -> struct(h as h, i as i)))"
-    rows = rows.withColumn("packed", F.expr(f"if(size(triples) < {_PLACES}, {packed}, array())")).withColumn("structs", F.expr(f"if(size(triples) < {_PLACES}, array(), {structs})"))
-    again = f"(get(packed, k - 1) & {-_PLACES}L) = (x & {-_PLACES}L) or (get(packed, k + 1) & {-_PLACES}L) = (x & {-_PLACES}L)"
-    places = f"sort_array(transform(filter(packed, (x, k) -> {again}), x -> cast(x & {_PLACES - 1} as int)))"
-    long_places = "sort_array(transform(filter(structs, (x, k) -> get(structs, k - 1).h = x.h or get(structs, k + 1).h = x.h), x -> x.i))"
-    rows = rows.withColumn("places", F.expr(f"if(size(triples) < {_PLACES}, {places}, {long_places})"))
+    rows = rows.withColumn("sorted", F.expr("if(size(array_distinct(triples)) = size(triples), array(), sort_array(transform(triples, (h, i) -> struct(h as h, i as i))))"))
+    rows = rows.withColumn("places", F.expr("sort_array(transform(filter(sorted, (x, k) -> get(sorted, k - 1).h = x.h or get(sorted, k + 1).h = x.h), x -> x.i))"))
     # A repeated triple covers three words, or as many as there are before the next one.
     covered = "aggregate(transform(places, (p, k) -> least(3, coalesce(get(places, k + 1) - p, 3))), 0L, (n, x) -> n + x)"
     return rows.select(
