@@ -14,7 +14,8 @@ every text whole. Only texts and labels.toxic are used to learn; the score sees
 the text alone.
 
 Defined results: a null or empty text has score 0; if no text of either kind
-is labelled, every score is 0; rows that repeat are scored each; a document
+is labelled, every score is 0; with fewer labelled texts of a kind than parts there
+are fewer parts, with one the dictionaries' own texts; rows that repeat are scored each; a document
 labelled twice counts as toxic if one label says so; other columns of docs are
 kept by `without_toxic` and not read.
 """
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, inner, slices
 
 #: Bounds of the learning sample.
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1500, 3000, 20_000
@@ -43,6 +44,8 @@ WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 5, 8192, 1024
 TELLING_SHARE, TELLING_RATIO = 0.015, 20
 #: Saved bytes that are counted: windows that save at least 1, 2, ... of them.
 STEPS = 7
+#: Parts for calibration; samples that the trainer of the toxic dictionary gets at least.
+FOLDS, LEAST_SAMPLES = 3, 40_000
 THRESHOLD = 0.7
 
 _LOWER = bytes(range(256)).lower()
@@ -99,12 +102,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary's content; if there are too few samples to choose from, the samples themselves."""
+def _trained(size: int, pieces: list[bytes]) -> bytes:
+    """A dictionary's content; if there are too few pieces to choose from, the pieces themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+        return zstandard.train_dictionary(size, [b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)], k=64, d=6, level=3).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size]
+        return b"".join(dict.fromkeys(pieces))[:size]
 
 
 def _distinct(texts: list[str]) -> list[str]:
@@ -116,33 +119,40 @@ def _distinct(texts: list[str]) -> list[str]:
     return list(kept.values())
 
 
-def _packed(pieces: list[bytes], most: int) -> list[bytes]:
-    return [b"".join(pieces[i : i + 8]) for i in range(0, min(len(pieces), most), 8)]
-
-
-def fitted(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
-    if not toxic or not ordinary:
-        return ToxicityModel()
+def dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    """A model with its two dictionaries, yet without weights."""
     chance = random.Random(0)
-    cut = len(toxic) >= 600  # enough to calibrate on other texts than the dictionaries come from
-    for_words = (toxic[: 2 * len(toxic) // 3], ordinary[: 2 * len(ordinary) // 3]) if cut else (toxic, ordinary)
-    has = [Counter(w for t in texts for w in set(_words(t))) for texts in for_words]
-    n, m = map(len, for_words)
+    has = [Counter(w for t in texts for w in set(_words(t))) for texts in (toxic, ordinary)]
+    n, m = len(toxic), len(ordinary)
     telling = {w for w, k in has[0].items() if k >= max(2, 1 + TELLING_SHARE * n) and k / n > TELLING_RATIO * (has[1][w] + 0.5) / m}
     telling = telling or {w for w, k in has[0].items() if not has[1][w]}
-    found = sorted(b" " + w + b" " for t in for_words[0] for w in _words(t) if w in telling)
+    found = sorted(b" " + w + b" " for t in toxic for w in _words(t) if w in telling)
     chance.shuffle(found)
-    plain = [w for t in for_words[1] for w in windows(t)]
+    plain = [w for t in ordinary for w in windows(t)]
     chance.shuffle(plain)
     if not found or not plain:
         return ToxicityModel()
-    content = _trained(max(TOXIC_BYTES, sum(map(len, set(found)))), _packed(found * (1 + 40_000 // len(found)), 40_000))
+    # The trainer wants many samples: the words are repeated until there are enough.
+    content = _trained(max(TOXIC_BYTES, sum(map(len, set(found)))), found * (1 + LEAST_SAMPLES // len(found)))
     missing = b"".join(w for w in sorted(set(found)) if w not in content)
-    model = ToxicityModel(_trained(ORDINARY_BYTES, _packed(plain, 60_000)), missing + content)
-    rest = (toxic[len(for_words[0]) :], ordinary[len(for_words[1]) :]) if cut else (toxic, ordinary)
-    x = np.array([model.features(t) for texts in rest for t in texts])
-    y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
+    return ToxicityModel(_trained(ORDINARY_BYTES, plain), missing + content)
+
+
+def fitted(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    """The model of labelled texts: each part of them is calibrated on with dictionaries that come from the other parts, whatever their number."""
+    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
+    model = dictionaries(toxic, ordinary) if toxic and ordinary else ToxicityModel()
+    if not model.toxic:
+        return model
+    folds = min(FOLDS, len(toxic), len(ordinary))
+    rows, y = [], []
+    for k in range(folds):
+        others = [[t for i, t in enumerate(texts) if folds == 1 or i % folds != k] for texts in (toxic, ordinary)]
+        other = dictionaries(*others)
+        for label, texts in ((1.0, toxic[k::folds]), (0.0, ordinary[k::folds])):
+            rows += [(other if other.toxic else model).features(t) for t in texts]
+            y += [label] * len(texts)
+    x, y = np.array(rows), np.array(y)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     weight = np.where(y == 1, 1 / 3 / y.mean(), 2 / 3 / (1 - y.mean()))  # as if one text in three were toxic
@@ -174,32 +184,34 @@ def learned(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MOST_ORDINARY))
     # At most MOST_TOXIC + MOST_ORDINARY ids: small enough to broadcast at every size.
-    sample = docs.where(F.octet_length("text").between(1, MOST_BYTES)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    docs = docs.select("doc_id", "text")
+    sample = docs.where(F.octet_length("text").between(1, MOST_BYTES)).join(F.broadcast(ids), "doc_id")
     rows = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
     return fitted([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 
 def scored(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """The columns in `keep` (doc_id) of every row of docs, and `score`."""
+    """The columns in `keep` (doc_id) of every row of docs, and `score`, which no kept column may be called."""
     keep = keep or ["doc_id"]
-    columns = [F.col(c) for c in keep] + [F.col("text").alias("__text")]
-    schema = docs.select(*keep).schema.add("__score", "double")
+    rows = docs.select(*keep, F.col("text").alias("text_to_score"))
+    schema = docs.select(*keep).schema.add("score", "double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "text_to_score"):
             scores = [model.score(t) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below the threshold, with their columns."""
-    return scored(docs, learned(docs, labels), docs.columns).where(F.col("__score") < THRESHOLD).drop("__score")
+    rows, names = inner(docs)
+    return scored(rows, learned(rows, labels), rows.columns).where(F.col("score") < THRESHOLD).drop("score").toDF(*names)
 
 
 def op2_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = scored(docs, learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return out.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
