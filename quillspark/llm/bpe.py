@@ -1,6 +1,7 @@
 """Byte-level BPE by a monoid tree reduction.
 
-A piece (one match of the pattern) is encoded by halves, and two encodings are
+A piece (one match of the pattern) is encoded by halves (the first a power of two
+long, so that a repeating piece has few different parts, each encoded once), and two encodings are
 joined at their border. The join rests on this fact about rank-ordered BPE: a
 token sequence is the encoding of its bytes exactly if every two neighbours
 are the encoding of their joined bytes. So a join re-encodes a window of tokens
@@ -17,17 +18,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slices
+from .common import documents, inner, slices
 
 #: Bytes up to which a piece's part is merged directly.
 LEAF_BYTES = 16
+#: Bytes up to which a window's pairs are searched one after the other; longer ones are kept in a heap.
+WINDOW_BYTES = 256
 #: Encoded pieces in each of the two generations that a task keeps: a full young one becomes the old one.
 CACHE_PIECES = 250_000
 
@@ -50,6 +55,8 @@ class MonoidBpe:
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: again and again the neighbours whose joined bytes rank lowest are merged, leftmost first."""
+        if len(data) > WINDOW_BYTES:
+            return self._merged_by_heap(data)
         get, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
@@ -65,6 +72,30 @@ class MonoidBpe:
                 ranks[at - 1] = get(parts[at - 1] + parts[at], none)
         return [self.ranks[p] for p in parts]
 
+    def _merged_by_heap(self, data: bytes) -> list[int]:
+        """The same for long windows: pairs wait in a heap by rank and place, parts in a linked list."""
+        get, n = self.ranks.get, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by a part's first byte: its end (0: merged away) and the part before
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != stop:  # a pair that is no more
+                continue
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := get(data[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if (p := before[i]) >= 0 and (r := get(data[p:stop])) is not None:
+                heapq.heappush(heap, (r, p, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : end[i]]])
+            i = end[i]
+        return out
+
     def _stable(self, left: int, right: int) -> bool:
         return self.merged(self.token[left] + self.token[right]) == [left, right]
 
@@ -84,13 +115,17 @@ class MonoidBpe:
             if not right_ok:
                 j = min(len(right), 2 * j)
 
-    def piece(self, data: bytes) -> list[int]:
-        if (known := self.ranks.get(data)) is not None:
-            return [known]
+    def piece(self, data: bytes, known: dict[bytes, list[int]] | None = None) -> list[int]:
+        """Encoding by two parts, the first a power of two long: equal parts of a repeating piece are encoded once (known)."""
+        if (one := self.ranks.get(data)) is not None:
+            return [one]
         if len(data) <= LEAF_BYTES:
             return self.merged(data)
-        half = len(data) // 2
-        return self.join(self.piece(data[:half]), self.piece(data[half:]))
+        known = {} if known is None else known
+        if (ids := known.get(data)) is None:
+            half = 1 << (len(data) - 1).bit_length() - 1
+            ids = known[data] = self.join(self.piece(data[:half], known), self.piece(data[half:], known))
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
@@ -122,34 +157,42 @@ def public_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _task(path: str, pattern: str, keep: list[str], with_ids: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _task(path: str, pattern: str, with_ids: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = MonoidBpe.from_file(path, pattern)
-        name = [str(i) for i in range(max(bpe.token) + 1)]
-        for batch in slices(batches, "__text"):
+        most = max(bpe.token)
+        name, kind = [str(i) for i in range(most + 1)], "<u2" if most < 1 << 16 else "<u4"
+        for batch in slices(batches, "text"):
             n, ids_sha, decoded_sha, all_ids = [], [], [], []
-            for text in batch.column(batch.schema.get_field_index("__text")).to_pylist():
+            for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+                    all_ids.append(np.array(ids, kind).tobytes())
             made = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                made.append(pa.array(all_ids, pa.list_(pa.int32())))
+                made.append(pa.array(all_ids, pa.binary()))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays([*columns, *made], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
 
     return run
 
 
 def tokenized(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: one row for each row of docs."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.selectExpr("doc_id", "text AS __text").mapInArrow(_task(path, pattern, ["doc_id"], with_ids), schema)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: one row for each row of docs.
+
+    ids are packed little-endian numbers, of two bytes each if the vocabulary
+    allows it, else of four (`unpacked` gives them back).
+    """
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return inner(docs)[0].select("doc_id", "text").mapInArrow(_task(path, pattern, with_ids), schema)
+
+
+def unpacked(ids: bytes, n_tokens: int) -> list[int]:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n_tokens else "<u4").tolist()
 
 
 def op6_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
