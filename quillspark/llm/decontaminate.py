@@ -27,15 +27,16 @@ repeated rows match each; other columns of docs are kept by `clean` and not read
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hashed_words, mixed, slices, text_bytes
+from .common import documents, hashed_words, inner, mixed, shared_dir, slices, text_bytes, written
 
 #: Share of an item's words that may be edited (inserted, deleted or replaced).
 MOST_EDITS = 0.2
@@ -44,6 +45,8 @@ STEPS = 48
 #: Items shorter than this many words get no edits.
 SHORTEST = 8
 BLOCK_ITEMS = 5_000
+#: Ids of documents with a find up to this many are broadcast (8 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 _IS_WORD = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
@@ -163,23 +166,27 @@ class Items:
         return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, edits, first_word and last_word (from 0) of every item found in a text: its best place."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    parts = [_leaks(docs, block) for block in _blocks(items)]
-    schema = "doc_id long, item_id long, edits int, first_word long, last_word long"
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+LEAKS = "doc_id long, item_id long, edits int, first_word long, last_word long"
+
 
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, edits, first_word and last_word (from 0) of every item found in a text: its best place near a candidate.
 
-def _blocks(items: DataFrame) -> Iterator[Items]:
-    rows: list[tuple[int, str]] = []
-    for r in items.toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        if len(rows) == BLOCK_ITEMS:
-            yield Items(rows)
-            rows = []
-    if rows:
-        yield Items(rows)
+    Of several blocks of items each one's finds are written before the next
+    block is read: the driver holds one block, whatever the benchmark's size.
+    """
+    spark, docs = docs.sparkSession, inner(docs)[0]
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator()
+    block, path = list(islice(items, BLOCK_ITEMS)), ""
+    while True:
+        found = _leaks(docs, Items([(r["item_id"], r["text"]) for r in block]))
+        block = list(islice(items, BLOCK_ITEMS))
+        if not block and not path:
+            return found
+        path = path or f"{shared_dir(spark)}/leaks-{uuid.uuid4().hex}"
+        found.write.mode("append").parquet(path)
+        if not block:
+            return spark.read.schema(LEAKS).parquet(path)
 
 
 def _leaks(docs: DataFrame, items: Items) -> DataFrame:
@@ -210,16 +217,19 @@ def _leaks(docs: DataFrame, items: Items) -> DataFrame:
                     names=["doc_id", "item_id", "edits", "first_word", "last_word"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits int, first_word long, last_word long")
+    return docs.select("doc_id", "text").mapInArrow(run, LEAKS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without an item of the benchmark, with their columns.
+    """The rows of docs without an item of the benchmark, with their columns; a row without doc_id stays.
 
-    Only ids of documents with a find are joined; a row without doc_id stays.
+    Only ids of documents with a find are joined: they are written and counted,
+    and broadcast if they are few enough, so that no text is shuffled.
     """
-    found = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows, names = inner(docs)
+    found = written(leaks(rows, benchmark).select("doc_id").distinct(), "leaking")
+    few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*rows.columns).toDF(*names)
 
 
 def op7_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
