@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, hashed_words, mixed, slices, text_bytes, written
+from .common import discarded, documents, hashed_words, inner, mixed, slices, text_bytes, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -139,21 +139,26 @@ def boundary(sizes: dict[int, int], length: float) -> int:
 
 
 def _postings(docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
-    """list (a hash), key, n and at: where each node is found, and the place of the (first) shingle in its order."""
+    """list (a hash), key, n and at: where each node is found, and the place of the (first) shingle in its order; and whether all shingles of the list are heavy."""
     reach = needed(small + 1)  # the least set that a large one can link with
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # a task posts equal sets once
         for batch in slices(batches, "text"):
-            lists, keys, sizes, places = [], [], [], []
+            lists, keys, sizes, places, hot = [], [], [], [], []
             for s in shingle_sets(batch.column(0)):
                 n = len(s)
                 if n < 2:  # a set of one links with its equals only, and those are one node
                     continue
+                key = int.from_bytes(digest(s)[:8], "big", signed=True)
+                if key in seen:
+                    continue
+                seen.add(key)
                 if len(heavy):
                     is_heavy = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
-                    ordered = np.concatenate((s[~is_heavy], s[is_heavy]))
+                    ordered, first_heavy = np.concatenate((s[~is_heavy], s[is_heavy])), n - int(np.count_nonzero(is_heavy))
                 else:
-                    ordered = s
+                    ordered, first_heavy = s, n
                 made, at = [], []
                 if n <= small:
                     p = ordered[: prefix(n, 2)]
@@ -165,13 +170,14 @@ def _postings(docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
                     at.append(np.arange(prefix(n, 1)))
                 made = np.concatenate(made)
                 lists.append(made)
-                keys.append(np.full(len(made), int.from_bytes(digest(s)[:8], "big", signed=True), np.int64))
+                keys.append(np.full(len(made), key, np.int64))
                 sizes.append(np.full(len(made), n, np.int32))
                 places.append(np.concatenate(at).astype(np.int32))
+                hot.append(places[-1] >= first_heavy)  # the least place of a list's shingles: the other one is heavy too
             if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (keys, sizes, places))], names=["list", "key", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (keys, sizes, places, hot))], names=["list", "key", "n", "at", "hot"])
 
-    return docs.select("text").mapInArrow(run, "list long, key long, n int, at int")
+    return docs.select("text").mapInArrow(run, "list long, key long, n int, at int, hot boolean")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -226,10 +232,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) ->
     """Of the pairs u, v of keys those that could link and were compared, and those that link."""
     side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("doc_id").alias(f"doc_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     possible = written(_possible(pairs.join(side("u"), "u").join(side("v"), "v")), f"{name}-pairs")
-    ids = possible.select(F.col("doc_u").alias("doc_id")).unionByName(possible.select(F.col("doc_v").alias("doc_id"))).distinct()
-    sets = written(_sets(docs, written(ids, f"{name}-ids")), f"{name}-sets")
+    ids = written(possible.select(F.col("doc_u").alias("doc_id")).unionByName(possible.select(F.col("doc_v").alias("doc_id"))).distinct(), f"{name}-ids")
+    sets = written(_sets(docs, ids), f"{name}-sets")
     sets_of = lambda x: sets.select(F.col("key").alias(x), F.col("set").alias(f"set_{x}"))
-    return possible.select("u", "v"), written(_linked(possible.select("u", "v").join(sets_of("u"), "u").join(sets_of("v"), "v")), f"{name}-links")
+    links = written(_linked(possible.select("u", "v").join(sets_of("u"), "u").join(sets_of("v"), "v")), f"{name}-links")
+    discarded(ids, sets)
+    return possible.select("u", "v"), links
 
 
 #: SQL: sizes n and m allow a link, and so do the places at which two sets meet. If it is their first common shingle, the
@@ -239,6 +247,7 @@ _MEET = f"100 * least(n, m) >= {PERCENT} * greatest(n, m) AND {100 + PERCENT} *
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id: one row for each row of docs."""
+    docs = inner(docs)[0].select("doc_id", "text")
     rows = written(_nodes(docs), "rows")
     nodes = written(rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     counted = rows.where("sampled IS NOT NULL").dropDuplicates(["key"]).select(F.explode("sampled").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("k"))
@@ -249,9 +258,12 @@ def classes(docs: DataFrame) -> DataFrame:
     total = rows.where("sampled IS NOT NULL").agg(F.sum("n")).first()[0] or 1
     small = boundary(sizes, SAMPLE * light / total)
 
-    lists = Window.partitionBy("list")
-    posted = _postings(docs, np.sort(heavy), small).withColumn("least", F.min("key").over(lists)).withColumn("most", F.max("key").over(lists))
-    placed = written(posted.where("least <> most").select("list", "key", "n", "at").distinct(), "postings").withColumn("component", F.col("key"))
+    # Postings of lists with one node go. Lists of heavy shingles have more than one for sure: theirs are spread by key and stay.
+    posted = _postings(docs, np.sort(heavy), small).withColumn("spread", F.when(F.col("hot"), F.col("key")))
+    lists = Window.partitionBy("list", "spread")
+    shared = posted.withColumn("least", F.min("key").over(lists)).withColumn("most", F.max("key").over(lists)).where("hot OR least <> most")
+    table = written(shared.select("list", "spread", "key", "n", "at").distinct().drop("spread"), "postings")
+    placed = table.withColumn("component", F.col("key"))
     compared = links = found = None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
@@ -274,7 +286,9 @@ def classes(docs: DataFrame) -> DataFrame:
             placed = placed.drop("component").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
             # Lists that still hold more than one component.
             still = placed.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("list")
-            placed = written(placed.join(still, "list", "left_semi"), "open")
+            old, table = table, written(placed.join(still, "list", "left_semi"), "open")
+            placed = table
+            discarded(old)
 
     ids = nodes.select("key", "doc_id")
     joined = ids.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -286,16 +300,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of docs with the least doc_id of each class, with its columns; rows without doc_id stay, of rows that repeat one does."""
-    kept = classes(docs).where("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__again"))
+    rows, names = inner(docs)
+    kept = classes(rows).where("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("again"))
     kept = written(kept, "kept")
     few = kept.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    with_id = docs.join(F.broadcast(kept) if few else kept, "doc_id")
-    names = docs.columns
-    out = with_id.where("NOT __again").select(*names).unionByName(docs.where("doc_id IS NULL").select(*names))
-    if kept.where("__again").limit(1).count():
+    with_id = rows.join(F.broadcast(kept) if few else kept, "doc_id").select(*rows.columns, "again")
+    out = with_id.where("NOT again").drop("again").unionByName(rows.where("doc_id IS NULL"))
+    if kept.where("again").limit(1).count():
         number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.unionByName(with_id.where("__again").withColumn("__number", number).where("__number = 1").select(*names))
-    return out
+        out = out.unionByName(with_id.where("again").withColumn("number", number).where("number = 1").drop("again", "number"))
+    return out.toDF(*names)
 
 
 def op5_jaccard_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
