@@ -7,9 +7,10 @@ reader can skip files by any of them. Law `rows`: shards differ by one row at
 most.
 
 The global place of a row is the rows in earlier cells, plus those in earlier
-buckets of its cell, plus its number inside its bucket: cells and buckets are
-counted first (a fixed number of cells, a fixed number of buckets in a cell),
-so neither a hot cell nor the whole table is ever sorted by one task. Only ids
+buckets of its cell, plus its number inside its bucket: cells are counted first
+(there is a fixed number of them), each gets as many buckets as its rows need,
+and these are counted, so neither a hot cell nor the whole table is ever sorted
+by one task. Only ids
 and sizes are shuffled, never texts.
 
 Defined results: null lang, source or text have a step of their own (0) and a
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import documents, written
 
 SHARDS = 40
-#: Bits of each of the three dimensions; buckets of a cell.
-BITS, BUCKETS = 4, 256
+#: Bits of each of the three dimensions; rows that a bucket of a cell has on average at most.
+BITS, BUCKET_ROWS = 4, 100_000
 
 
 def hilbert_index(point: list[int], bits: int) -> int:
@@ -73,11 +74,13 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         size.alias("size"),
         F.coalesce(F.crc32(F.col("text")), F.lit(0)).cast("long").alias("text_crc32"),
         curve_place([step("lang"), step("source"), length]).alias("cell"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
-    rows = written(rows, "shard-rows")  # read twice below; without texts
+    )
+    rows = written(rows, "shard-rows")  # read again below; without texts
+    # At most 2 ** (3 * BITS) cells: small enough to broadcast and for one window at every size.
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    of = rows.join(F.broadcast(cells.select("cell", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))), "cell")
+    rows = of.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("buckets")).cast("int")).drop("buckets")
     counts = rows.groupBy("cell", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    cells = counts.groupBy("cell").agg(F.sum("n").alias("n"))
-    # At most 2 ** (3 * BITS) rows in the one window over all cells.
     whole = Window.partitionBy(F.lit(0))
     cells = cells.select("cell", (F.sum("n").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("cell_start"), F.sum("n").over(whole).alias("total"))
     inside = Window.partitionBy("cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
