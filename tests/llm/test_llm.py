@@ -2,18 +2,27 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import struct
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quillspark.llm import bpe, components, decontaminate, langid, licenses, ngram_join, pii, quality, sharding, token_counts, toxicity
+from quillspark.llm import bpe, common, components, decontaminate, langid, licenses, ngram_join, pii, quality, sharding, token_counts, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long, shard int, key long, component string, ids string"
+#: Extra columns with names that operators use themselves, or that need quotes.
+EXTRA = ("score", "n_words", "shard", "key", "component", "ids", "a.b", "__text", "__score", "__again", "__number", "again", "number", "text_to_score", "column_3", "spaced name", "tick`ed")
+SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType()), *(StructField(c, StringType()) for c in EXTRA)])
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -21,8 +30,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def odd(spark):
     """Rows that every operator must take: nulls, empty and long texts, repeats, ties, extra columns with the operators' own names."""
     texts = ["", None, "one", "two words", "a b c d e", " \n\t ", "long " * 30_000, "x" * 50_000, "Ünïcödé 中文 \U0001f600 text", "repeat me now please again", "repeat me now please again"]
-    rows = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "src", None, 0.5, 3, 1, i, "c", "i") for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, rows[-1], (None, "no id here at all ok", "en", "src", 1, 0.1, 1, 1, 1, "c", "i")], SCHEMA)
+    extra = [f"{c} of it" for c in EXTRA]
+    rows = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "src", None, *extra) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[-1], (None, "no id here at all ok", "en", "src", 1, *extra)], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -57,14 +67,68 @@ def test_quality(spark, odd, labels):
     assert quality.judged(odd.where("false"), quality.log_ratios(odd.where("false"), labels)).count() == 0
 
 
+def _signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _buckets(text):
+    """Buckets of all words and pairs of neighbours, hash by hash."""
+    hashes = [_signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text or "")]
+    pair = lambda a, b: _signed(xxhash.xxh64_intdigest(struct.pack("<q", b), xxhash.xxh64_intdigest(struct.pack("<q", a), 42)))
+    return [h % quality.BUCKETS for h in hashes] + [pair(a, b) % quality.BUCKETS for a, b in zip(hashes, hashes[1:], strict=False)]
+
+
+def test_quality_verdicts(spark):
+    """The whole query against counts and logarithms in Python."""
+    good = {r["doc_id"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1").collect()}
+    grams = {i: _buckets(t) for i, t in texts(spark).items()}
+    raw, trusted = Counter(b for g in grams.values() for b in g), Counter(b for i, g in grams.items() if i in good for b in g)
+    share = lambda n, b: (n[b] + quality.SMOOTHING * n.total() / quality.BUCKETS) / (n.total() * (1 + quality.SMOOTHING))
+    ratio = [math.log(share(trusted, b) / share(raw, b)) for b in range(quality.BUCKETS)]
+    verdicts = set()
+    for r in quality.op1_quality_llr(spark, FOLDER).collect():
+        g = grams[r["doc_id"]]
+        llr = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        assert abs(r["llr"] - llr) < 1e-6
+        if abs(llr - quality.THRESHOLD) > 1e-6:
+            assert r["kept"] == (not r["base_failed"] and llr >= quality.THRESHOLD)
+        verdicts.add((r["kept"], r["base_failed"]))
+    assert verdicts == {(True, False), (False, False), (False, True)}
+
+
+def test_quality_long_text(spark):
+    """Over 2 ** 20 triples, of which only the first repeats."""
+    text = " ".join(f"w{i}" for i in range(1_050_000)) + " w0 w1 w2"
+    r = quality.base_columns(spark.createDataFrame([(1, text)], "doc_id long, text string")).drop("hashes").first()
+    assert (r["n_words"], r["n_repeat_words"]) == (1_050_003, 6)
+
+
 def test_toxicity(spark, odd, labels):
     out = toxicity.op2_toxicity_zstd(spark, FOLDER).collect()
     assert len(out) == 200 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
     model = toxicity.fitted(["you idiot scum %d and more words" % i for i in range(30)], ["plain words number %d and more words" % i for i in range(60)])
     assert model.score("you idiot scum and other words") > model.score("plain words and other words")
     scores = toxicity.scored(odd, toxicity.learned(odd, labels)).collect()
-    assert len(scores) == 13 and all(0 <= r["__score"] <= 1 for r in scores)
+    assert len(scores) == 13 and all(0 <= r["score"] <= 1 for r in scores)
     assert toxicity.without_toxic(odd.where("false"), labels).columns == odd.columns
+    assert sorted(map(str, toxicity.without_toxic(odd, labels.where("false")).collect())) == sorted(map(str, odd.collect()))
+
+
+def test_toxicity_scores(spark):
+    """Scores of the query, made again from the two dictionaries and the weights."""
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = toxicity.learned(docs(spark), labels)
+    kind = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=6, min_match=3, target_length=24, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False)
+    zip_with = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=kind) for x in (model.ordinary, model.ordinary + model.toxic)]
+    all_texts = texts(spark)
+    for r in toxicity.op2_toxicity_zstd(spark, FOLDER).collect():
+        words = re.split(r"\s+", re.sub("[A-Z]", lambda m: m[0].lower(), all_texts[r["doc_id"]]).strip())
+        saved = [len(zip_with[0].compress(w)) - len(zip_with[1].compress(w)) for k in range(0, len(words), 5) for w in [f" {' '.join(words[k : k + 5])} ".encode()]]
+        counts = [sum(x >= k for x in saved) for k in range(1, 8)]
+        x = [*(math.log1p(c) for c in counts), *(c / len(saved) for c in counts), math.log1p(len(saved))]
+        z = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=False)) + model.weights[-1]
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-6
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
 
 
 def test_toxicity_holds_all_telling_words():
@@ -122,7 +186,44 @@ def test_pii_neighbours():
         assert {k for k, _, _ in spans} == {"phone"} and len(spans) == len(phones) and pii.restored(new, spans) == text
 
 
+def test_pii_dates():
+    """A date is one value in all notations, and each notation stays what it was."""
+    for iso, others in {"1999-12-31": ("31/12/1999", "12/31/1999", "31.12.1999"), "2004-02-03": ("02/03/2004", "03.02.2004", "2/3/2004", "3.2.2004")}.items():
+        year, month, day = map(int, pii.replaced(iso)[0].split("-"))
+        assert (year, month, day) != tuple(map(int, iso.split("-"))) and (day > 12) == (int(iso[-2:]) > 12)
+        for text in others:
+            new = pii.replaced(text)[0]
+            a, b, c = map(int, re.split(r"[./]", new))
+            assert c == year and (b, a) == (month, day) if "." in text or text.startswith("31") else (a, b) == (month, day), text
+            assert pii.replaced(new, back=True)[0] == text
+
+
+def test_pii_next_to_anything():
+    """Each kind of value, valid and with digits or capitals before and after it, is replaced."""
+    values = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "378282246310005", "2223003122003222", "BE68 5390 0754 7034", "BE68539007547034", "DE89 3704 0044 0532 0130 00", "10.0.255.1", "1999-12-31", "123-45-6789", "jo.doe@example.com", "+1 (555) 666-0570", "555-123-4567"]
+    for value in values:
+        for before in ("", "12 ", "call 2024 ", "A1 ", "ABCD ", "AB12 ", "x, ", "no. 7\n", "(", "1234 5678 "):
+            for after in ("", " 12", " THE end", " 99 bottles", ",", ".", "\n4", ")", " 1234 5678", " ABCD"):
+                text = before + value + after
+                new, spans = pii.replaced(text)
+                assert value not in new, text
+                assert pii.restored(new, spans) == text
+    for text in ("user id 1234567890", "order 7992739871300001 of 9", "12 000 000 000 000"):
+        assert pii.replaced(text) == (text, [])
+
+
+def test_pii_query(spark):
+    expected = {i: pii.replaced(t) if t else (t, []) for i, t in texts(spark).items()}
+    rows = pii.op3_pii_feistel(spark, FOLDER).collect()
+    assert len(rows) == len(expected) and any(r["n_replaced"] for r in rows)
+    for r in rows:
+        new, spans = expected[r["doc_id"]]
+        assert (r["text"], r["n_replaced"], r["pii_kinds"], r["pii_spans"]) == (new, len(spans), [k for k, _, _ in spans], [f"{a}-{b}" for _, a, b in spans])
+
+
 def test_pii_table(spark, odd):
+    assert pii.replaced_in(odd).columns == odd.columns
+    assert {r["doc_id"]: r["n_chars"] for r in pii.replaced_in(odd).collect()} == {r["doc_id"]: None if r["text"] is None else len(r["text"]) for r in odd.collect()}
     out = pii.pseudonymised(odd)
     assert out.columns[: len(odd.columns)] == odd.columns and out.count() == odd.count()
     again = pii.pseudonymised(pii.pseudonymised(odd.withColumnRenamed("ids", "pii_kinds")))
@@ -144,6 +245,21 @@ def test_token_counts(spark):
     assert token_counts.histogram(lengths.where("false")).count() == 0
 
 
+def test_token_query(spark, odd):
+    """The whole query, nulls, empty and long texts too, against the library's encoder."""
+    import tiktoken
+
+    path, pattern = bpe.public_ranks()
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    for found, frame in ((token_counts.op4_token_histogram(spark, FOLDER), docs(spark)), (token_counts.histogram(token_counts.lengths(odd, path, pattern)), odd)):
+        n = Counter(len(other.encode_ordinary(r["text"] or "")) for r in frame.select("text").collect())
+        rows = found.collect()
+        assert {r["n_tokens"]: r["n_docs"] for r in rows} == n
+        for r in rows:
+            assert r["docs_within"] == sum(c for k, c in n.items() if k <= r["n_tokens"]) and r["tokens_within"] == sum(k * c for k, c in n.items() if k <= r["n_tokens"])
+            assert (r["all_docs"], r["all_tokens"]) == (n.total(), sum(k * c for k, c in n.items()))
+
+
 def _brute_classes(rows):
     sets = {}
     for i, t in rows.items():
@@ -225,8 +341,26 @@ def test_bpe(spark, odd):
         assert ids == other.encode_ordinary(t) and own.decode(ids) == t.encode()
     rows = bpe.tokenized(odd, path, pattern).collect()
     assert len(rows) == odd.count()
+    assert [c for c in bpe.tokenized(odd, path, pattern, with_ids=False).columns] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    given = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
     for r in rows:
-        assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
+        ids = bpe.unpacked(r["ids"], r["n_tokens"])
+        assert ids == other.encode_ordinary(given[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(given[r["doc_id"]].encode()).hexdigest()
+
+
+def test_bpe_long_runs():
+    """A few million of one character, or of a few, take seconds; the heap and the plain search agree."""
+    own = bpe.MonoidBpe.from_file(*bpe.public_ranks())
+    began = time.time()
+    for text in ("x" * 5_000_000, " " * 3_000_000, "=-" * 1_000_000, "abc" * 700_000):
+        assert own.decode(own.encode(text)) == text.encode()
+    assert time.time() - began < 30
+    chance = random.Random(9)
+    for a in ("ab", "etaoin shrdlu", "=-_"):
+        data = "".join(chance.choice(a) for _ in range(250)).encode()
+        assert own._merged_by_heap(data) == own.merged(data)
 
 
 def test_decontaminate(spark, odd):
@@ -250,6 +384,47 @@ def test_decontaminate(spark, odd):
     assert decontaminate.leaks(odd, items.where("false")).count() == 0
 
 
+def _least_edits(item, text):
+    """Least edit distance of the item to any window of the text, word by word."""
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        new = [i]
+        for j, x in enumerate(text, 1):
+            new.append(min(row[j - 1] + (w != x), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontaminate_equals_brute_force(spark):
+    """All finds and their edits, against edit distances of all items to all texts: items with words of their own and with common ones."""
+    chance = random.Random(8)
+    common = [f"c{k}" for k in range(40)]
+    items = {i: [chance.choice(common) if chance.random() < 0.5 else f"i{chance.randrange(10**6)}" for _ in range(n)] for i, n in enumerate((1, 3, 7, 8, 12, 20, 33, 50))}
+    rows = {}
+    for d in range(60):
+        words = [chance.choice(common) for _ in range(chance.randrange(0, 40))]
+        for _ in range(chance.randrange(0, 3)):
+            copy = list(chance.choice(list(items.values())))
+            for _ in range(chance.randrange(0, 1 + len(copy) * 3 // 10)):
+                at = chance.randrange(len(copy) + 1)
+                copy[at : at + chance.randrange(2)] = [chance.choice(common)] * chance.randrange(2)
+            words += copy + [chance.choice(common) for _ in range(chance.randrange(0, 10))]
+        rows[d] = words
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    most = {i: int(decontaminate.MOST_EDITS * len(w)) if len(w) >= decontaminate.SHORTEST else 0 for i, w in items.items()}
+    wanted = {(d, i): e for d, w in rows.items() for i, x in items.items() if (e := _least_edits(x, w)) <= most[i]}
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(frame, benchmark).collect()}
+    assert found == wanted and len({e for e in wanted.values()}) > 3
+
+
+def test_decontaminate_blocks(spark, monkeypatch):
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    whole = Counter(map(str, decontaminate.leaks(docs(spark), benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 9)
+    assert Counter(map(str, decontaminate.leaks(docs(spark), benchmark).collect())) == whole and whole
+
+
 def test_decontaminate_most_edits(spark):
     """Every item with exactly the most edits allowed is found, wherever they are."""
     chance = random.Random(4)
@@ -291,9 +466,30 @@ def test_sharding(spark, odd):
     assert sharding.sharded(odd.where("false")).count() == 0
 
 
+def test_sharding_follows_the_curve(spark, monkeypatch):
+    """Shards take cells in the curve's order, whether cells have one bucket or many, so a reader of one language skips most of them."""
+    cells, side = {}, 1 << sharding.BITS
+    for a in range(side):
+        for b in range(side):
+            for c in range(side):
+                cells[sharding.hilbert_index([a, b, c], sharding.BITS)] = (a, b, c)
+    for most in (sharding.BUCKET_ROWS, 3):
+        monkeypatch.setattr(sharding, "BUCKET_ROWS", most)
+        rows = sharding.sharded(docs(spark)).join(docs(spark).select("doc_id", "lang"), "doc_id").collect()
+        spans = [(min(x), max(x)) for k in range(40) if (x := [r["cell"] for r in rows if r["shard"] == k])]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert all(r["size"] == 16 or cells[r["cell"]][2] == min(side - 1, int(math.log2(r["size"])) - 3) for r in rows)
+        touched = [len({r["shard"] for r in rows if r["lang"] == lang}) for lang in {r["lang"] for r in rows}]
+        assert sum(touched) < 2 * 40
+
+
+def _joined_words(text):
+    return f" {' '.join(w for w in licenses.words_of(text) if w)} "
+
+
 def test_licenses(spark, odd):
     s = licenses.Scanner()
-    scan = lambda t: b" " + b" ".join(t.encode().translate(licenses._TO_WORDS).split()) + b" "
+    scan = _joined_words
     assert s.places(scan("x Under the MIT License, under the mit license")) == [(1, 4, "mit"), (5, 8, "mit")]
     found = s.fuzzy(scan("so Relaesed under the MIT Licence now"))
     assert [(a, b, label) for a, b, label, _, _ in found] == [(1, 5, "mit")] and 0 < found[0][4] < 1
@@ -305,19 +501,127 @@ def test_licenses(spark, odd):
 
 def test_licenses_neighbours():
     """A notice with errors beside a better one is found too."""
-    text = b" licensed under teh mit license a licensed under the mit license licensed undr the mit license "
+    text = " licensed under teh mit license a licensed under the mit license licensed undr the mit license "
     found = [(a, b) for a, b, label, _, _ in licenses.Scanner(notices=(("licensed under the mit license", "mit", 3),)).fuzzy(text)]
     assert found == [(0, 4), (6, 10), (11, 15)]
 
 
+def test_licenses_equal_the_regex_alone(spark):
+    """Around the seeds the scanner finds what the notices' expressions find in whole texts; and each notice within its errors."""
+    s, chance = licenses.Scanner(), random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz 中é"
+    tried = list(texts(spark).values())[:40]
+    for k, (notice, _, errors, *_) in enumerate(s.notices):
+        for _ in range(12):
+            made = notice
+            for _ in range(chance.randrange(errors + 2)):
+                at = chance.randrange(len(made))
+                made = made[:at] + chance.choice(letters) * chance.randrange(2) + made[at + chance.randrange(2) :]
+            tried.append(f"{'Zür ' * chance.randrange(3)}{made} {chance.choice(['', 'x y', notice])} and more")
+    for text in tried:
+        words = _joined_words(text)
+        for k in range(len(s.notices)):
+            windows = s.windows(words, k)
+            assert (s.matches(words, k, windows) if windows else []) == s.matches(words, k), (text, s.notices[k][0])
+    assert [x[2:4] for x in s.fuzzy(_joined_words("r中中中ased under the mit license"))] == [("mit", 3)]
+    assert [x[:3] for x in s.fuzzy(_joined_words("a released under the mit license b"))] == [(1, 5, "mit")]
+
+
+def test_licenses_query(spark):
+    """Base columns of the whole table against a plain search; labels, spans and score against the scanner."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    s, all_texts = licenses.Scanner(), texts(spark)
+    for r in licenses.op9_license_fuzzy(spark, FOLDER).collect():
+        words = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), all_texts[r["doc_id"]] or ""))
+        base = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        spans = s.fuzzy(f" {' '.join(words)} ") if words else []
+        assert (r["n_words"], r["n_base"], r["n_spans"]) == (len(words), len(base), len(spans))
+        assert (r["first_word"], r["last_word"]) == ((min(base)[0], max(base)[0]) if base else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in base})) and r["labels"] == ",".join(sorted({x for _, x in base} | {x[2] for x in spans}))
+        assert abs(r["score"] - max([1.0] * bool(base) + [x[4] for x in spans], default=0.0)) < 1e-12
+        assert [tuple(x) for x in r["spans"]] == spans
+
+
+def _brute_sums(text, matrix):
+    """By dictionaries and whole numbers, an n-gram at a time."""
+    chars = [c if c >= 65 else 32 for c in map(ord, f" {text.lower()} ")]
+    total = np.zeros(matrix.shape[1])
+    for n in langid.ORDERS:
+        for k in range(len(chars) - n + 1):
+            h = n
+            for j in range(n):
+                h = (h ^ chars[k + j]) * int(langid._MULTIPLIER[j]) % 2**32
+                h ^= h >> 15
+            total += matrix[h % langid.BUCKETS]
+    return total
+
+
+def test_langid_equals_brute_force(spark, monkeypatch):
+    """The matrix from counts in Python, sums an n-gram at a time; one block of languages, and several."""
+    chance = random.Random(12)
+    rows = [(k, "".join(chance.choice("abcdefgh "[(k % 7) :] + "äé中") for _ in range(60)), f"l{k % 7}") for k in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fitted(frame)
+    assert len(model) == 1 and model[0].names == [f"l{k}" for k in range(7)]
+    eye = np.eye(langid.BUCKETS, dtype=np.float32)[:, :0]
+    assert langid.sums(["abc", None], eye).shape == (2, 0)
+    for k, name in enumerate(model[0].names):
+        found = np.full(langid.BUCKETS, langid.SMOOTHING)
+        for _, text, lang in rows:
+            if lang == name:
+                for buckets, _ in langid._grams([text]):
+                    np.add.at(found, buckets, 1)
+        assert np.allclose(model[0].matrix[:, k], np.log(found / found.sum()), atol=1e-5)
+    asked = spark.createDataFrame([*rows[:20], (None, "abc abc", "x"), (99, None, "x"), (100, "123 !", "x"), (101, "", "x")], frame.schema)
+    got = langid.predicted(asked, model).collect()
+    for (_, text, _), r in zip(rows[:20], got, strict=False):
+        sums = _brute_sums(text, model[0].matrix)
+        assert r["lang_pred"] == model[0].names[int(sums.argmax())]
+        assert abs(r["score"] - 1 / np.exp((sums - sums.max()) / math.sqrt(3 * len(text) + 3)).sum()) < 1e-6
+    assert [r["lang_pred"] for r in got[-3:]] == ["und"] * 3
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 3)
+    blocks = langid.fitted(frame)
+    assert [len(x.names) for x in blocks] == [3, 3, 1]
+    for a, b in zip(got, langid.predicted(asked, blocks).collect(), strict=True):
+        assert (a["doc_id"], a["lang_pred"]) == (b["doc_id"], b["lang_pred"]) and abs(a["score"] - b["score"]) < 1e-9
+
+
+def test_langid_many_languages(spark):
+    """More languages than a block takes, and than a task counts at once."""
+    n = langid.BLOCK_LANGUAGES + 3
+    rows = [(k, f"{chr(0x4E00 + k)}{chr(0x7000 + k)} " * 5, f"x{k:05d}") for k in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = langid.predicted(frame, langid.fitted(frame)).collect()
+    assert sum(r["lang_pred"] == f"x{r['doc_id']:05d}" for r in got) > 0.95 * n
+
+
 def test_langid(spark, odd):
     out = langid.op10_langid_nb(spark, FOLDER).join(docs(spark).select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.9
     model = langid.fitted(docs(spark))
-    rows = {r["doc_id"]: r for r in langid.predicted(odd, *model).collect()}
+    rows = {r["doc_id"]: r for r in langid.predicted(odd, model).collect()}
     assert rows[0]["lang_pred"] == rows[1]["lang_pred"] == rows[5]["lang_pred"] == "und" and rows[2]["lang_pred"] != "und"
     assert all(0 <= r["score"] <= 1 for r in rows.values())
-    assert {r["lang_pred"] for r in langid.predicted(odd, *langid.fitted(odd.where("false"))).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.predicted(odd, langid.fitted(odd.where("false"))).collect()} == {"und"}
+
+
+def test_stages_take_odd_rows(spark, odd):
+    """Every stage of the pipeline on nulls, empty and long texts, repeats and clashing names, and on no rows at all."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, FOLDER)
+        assert name == "bpe" or out.columns == odd.columns
+        assert 0 < out.count() <= odd.count()
+        assert stage(spark, odd.where("false"), FOLDER).count() == 0
+
+
+def test_shared_folder(spark):
+    df = common.written(spark.range(3).toDF("x"), "three")
+    assert df.count() == 3
+    common.discarded(df)
+    with pytest.raises(Exception):
+        df.count()
 
 
 def test_pipeline(spark):
@@ -331,4 +635,4 @@ def test_pipeline(spark):
     kept = {r["doc_id"]: r["text"] for r in frame.collect()}
     final = corpus_pipeline.run(spark, FOLDER)
     own = bpe.MonoidBpe.from_file(*bpe.public_ranks())
-    assert {r["doc_id"]: r["n_tokens"] for r in final.select("doc_id", F.col("n_tokens")).collect()} == {i: len(own.encode(t)) for i, t in kept.items()}
+    assert {r["doc_id"]: bpe.unpacked(r["ids"], r["n_tokens"]) for r in final.select("doc_id", F.col("n_tokens"), "ids").collect()} == {i: own.encode(t) for i, t in kept.items()}
