@@ -32,13 +32,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced in the texts; n_chars follows."""
-    out = pii.pseudonymised(docs).select(*docs.columns)
-    return out.withColumn("n_chars", pii.text_length()) if "n_chars" in docs.columns else out
+    return pii.replaced_in(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
-    return bpe.tokenized(docs, *bpe.public_ranks(), with_ids=False)
+    """doc_id, n_tokens, the digests of the ids and of the decoded bytes, and the ids, packed."""
+    return bpe.tokenized(docs, *bpe.public_ranks())
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
