@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import public_ranks
-from .common import documents, slices
+from .common import documents, slices, written
 
 #: Lengths in a block.
 BLOCK = 256
@@ -46,7 +46,8 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def histogram(lengths: DataFrame) -> DataFrame:
     """Lengths (n_tokens) counted, with the answers for a limit of each length."""
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    counted = written(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")  # read three times below; texts are encoded once
+    counts = counted.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     tokens = F.col("n_tokens") * F.col("n_docs")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("tokens"))
     # Blocks of blocks keep the top window small: one row for each 65,536 lengths.
