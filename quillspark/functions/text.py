@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.unicode import nfkc as normal_form
 from . import constants as K
 
 
@@ -13,12 +14,18 @@ def sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def nfkc(text: Column) -> Column:
+    """The NFKC form. Only texts with a character that it may change go through Python; for the others that side is null."""
+    return F.coalesce(normal_form(F.when(text.rlike(f"[^{K.NFKC_STABLE}]"), text)), text)
+
+
 def tokens(text: Column) -> Column:
-    """Bigrams of CJK runs, then lower-cased Latin words with inner marks; null gives none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """Of the lower-cased NFKC form: bigrams of CJK runs, then Latin words with inner marks; null gives none."""
+    low = F.lower(nfkc(F.coalesce(text, F.lit(""))))
+    words = lambda x: F.regexp_extract_all(x, F.lit(K.WORD), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(f"{K.CJK}+"), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))))
-    return F.concat(pairs, F.regexp_extract_all(F.regexp_replace(low, K.CJK, " "), F.lit(K.WORD), F.lit(0)))
+    return F.when(low.rlike(K.CJK), F.concat(pairs, words(F.regexp_replace(low, K.CJK, " ")))).otherwise(words(low))
 
 
 def collapsed(text: Column) -> Column:
@@ -55,32 +62,26 @@ def transcript_clean(text: Column) -> Column:
 
 
 def speech(markdown: Column) -> Column:
-    """Markdown as it would be read aloud."""
-    out = markdown
-    for pattern, new in (
-        (r"```[\s\S]*?```", " "),
-        (r"`([^`]*)`", "$1"),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^\s{0,3}#{1,6}\s*", ""),
-        (r"(?m)^\s{0,3}>\s?", ""),
-        (r"(?m)^\s*[-*+]\s+", ""),
-        (r"(\*\*|__)(.*?)\1", "$2"),
-        (r"(\*|_)(.*?)\1", "$2"),
-        (r"(?m)^\s*([-*_]\s*){3,}$", ""),
-        (r"\|", " "),
-        (r"https?://\S+", ""),
-        (r"[ \t]+", " "),
-    ):
-        out = F.regexp_replace(out, pattern, new)
-    return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    """Markdown as it would be read aloud, line by line: without fenced code, marks, rules and addresses, with the labels of links and images."""
+
+    def spoken(line: Column) -> Column:
+        line = F.regexp_replace(line, K.LINE_MARKS, "")
+        for pattern in (K.EMPHASIS, K.EMPHASIS):  # outer marks, then inner ones
+            line = F.regexp_replace(line, pattern, "$1$2$3$4")
+        line = F.regexp_replace(F.regexp_replace(line, K.RULE, ""), K.UNSPOKEN, " ")
+        return F.trim(F.regexp_replace(line, "[ \t]+", " "))
+
+    plain = F.regexp_replace(F.regexp_replace(markdown, K.FENCE, " "), K.CODE, "$1")
+    lines = F.split(F.regexp_replace(plain, K.LABELLED, "$1"), "\n")
+    return F.array_join(F.filter(F.transform(lines, spoken), lambda x: x != ""), "\n")
 
 
 def shortened(text: Column, most: int = K.BULLET_CHARS) -> Column:
+    """At most so many characters: cut at the last space of them, without marks at the end; uncut if nothing else is left."""
     flat = collapsed(text)
     head = F.substr(flat, F.lit(1), F.lit(most))
-    cut = F.when(head.rlike(r"(?U)\s"), F.regexp_extract(head, r"^(.*) ", 1)).otherwise(head)
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(cut, "[ ,;:-]+$", ""), F.lit("…")))
+    cut = F.regexp_replace(F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"^(.*) ", 1)).otherwise(head), "[ ,;:-]+$", "")
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.when(cut == "", head).otherwise(cut), F.lit("…")))
 
 
 def leading_sentences(text: Column, most: int = K.BULLETS) -> Column:
@@ -97,9 +98,11 @@ def prompt_tokens(text: Column) -> Column:
 
 
 def extract_answer(prompt: Column) -> Column:
-    """The answer without a model: the first three pieces of what stands between the first "Context:" and the first "Question:"."""
+    """The answer without a model: the first three pieces of what stands between the first "Context:" and the first "Question:", announced if it cites a source."""
     context = F.trim(F.regexp_extract(prompt, r"(?s)Context:(.*?)Question:", 1))
-    return F.concat(F.array_join(F.slice(F.split(context, r"\. "), 1, 3), ". "), F.lit("."))
+    answer = F.concat(F.array_join(F.slice(F.split(context, r"\. "), 1, 3), ". "), F.lit("."))
+    announced = F.when(F.contains(answer, F.lit("[Source")), F.concat(F.lit(K.ANSWER_HEAD), answer, F.lit(K.ANSWER_NOTE))).otherwise(answer)
+    return F.when(F.contains(prompt, F.lit("Context:")) & F.contains(prompt, F.lit("Question:")), announced).otherwise(F.lit(K.NO_ANSWER))
 
 
 def token_ceiling(message: Column) -> Column:
@@ -117,5 +120,32 @@ def video_id(url: Column) -> Column:
 
 
 def cache_key(question: Column, scope: Column, *settings: Column) -> Column:
-    """SHA-256 of the question, the sorted scope (none: any) and the settings."""
-    return F.sha2(F.concat_ws("|", question, F.coalesce(F.array_join(F.array_sort(scope), ","), F.lit("any")), *settings), 256)
+    """SHA-256 of the question, the sorted scope (none: any) and the settings, a null one as None."""
+    named = [F.coalesce(x.cast("string"), F.lit("None")) for x in settings]
+    return F.sha2(F.concat_ws("|", question, named[0], F.coalesce(F.array_join(F.array_sort(scope), ","), F.lit("any")), *named[1:]), 256)
+
+
+def squashed(text: Column) -> Column:
+    """NFKC and lower case, without any white space."""
+    return F.lower(F.regexp_replace(nfkc(text), r"(?U)\s+", ""))
+
+
+def clock(seconds: Column) -> Column:
+    """m:ss."""
+    whole = F.greatest(F.floor(seconds), F.lit(0)).cast("long")
+    return F.format_string("%d:%02d", F.floor(whole / 60), whole % 60)
+
+
+def phrase(labels: Column) -> Column:
+    """"a, b and c" of an array of labels, without full stops at their ends; blank ones are left out."""
+    spoken = F.filter(F.transform(F.filter(labels, lambda x: x != ""), lambda x: F.regexp_replace(x, r"\.+$", "")), lambda x: x.isNotNull())
+    n = F.size(spoken)
+    several = F.concat(F.array_join(F.slice(spoken, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.get(spoken, n - 1))
+    return F.when(n == 0, "").when(n == 1, F.get(spoken, F.lit(0))).otherwise(several)
+
+
+def first_object(reply: Column) -> Column:
+    """The JSON object of a reply, as text: all of it, or what stands from its first { to its last }; null if neither is an object."""
+    candidates = [F.trim(reply), F.regexp_extract(reply, r"(?s)(\{.*\})", 1)]
+    is_object = lambda x: F.when(x.rlike(r"(?s)^\s*\{") & F.try_parse_json(x).isNotNull(), x)
+    return F.coalesce(*(is_object(x) for x in candidates))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..sources import tables
 
 
 def fused(lists: list[DataFrame], best_first: bool = True) -> DataFrame:
@@ -31,15 +32,25 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def deduped(candidates: DataFrame, threshold: float = K.DEDUPE) -> DataFrame:
-    """candidates (query_id, doc_id, position, text) without those that are nearly like a better one that is kept.
+    """candidates (query_id, position, text and more) without those that are nearly like a better one that is kept; without text.
 
     A query's candidates are few (two lists of 30 at most), so they are folded
-    as one array.
+    as one array. Tokens are compared as 64-bit hashes, and only where the sizes
+    of the sets allow the threshold.
     """
+    payload = [c for c in candidates.columns if c not in ("query_id", "text")]
     if threshold >= 1:
-        return candidates
-    one = F.struct("position", "doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("tokens"))
-    grouped = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+        return candidates.select("query_id", *payload)
+    hashes = F.transform(F.array_distinct(T.tokens(F.col("text"))), lambda t: F.xxhash64(t))
+    rows = tables.spread(candidates).select("query_id", *payload, hashes.alias("__hashes"))
+    one = F.struct("position", "__hashes", *(c for c in payload if c != "position"))
+    grouped = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def alike(x: Column, y: Column) -> Column:
+        a, b = F.size(x["__hashes"]), F.size(y["__hashes"])
+        shared = F.size(F.array_intersect(x["__hashes"], y["__hashes"]))
+        return F.when((F.least(a, b) > 0) & (F.least(a, b) >= threshold * F.greatest(a, b)), shared / (a + b - shared) >= threshold).otherwise(F.lit(False))
+
     none = F.filter("all", lambda x: F.lit(False))
-    kept = F.aggregate("all", none, lambda kept, x: F.when(F.exists(kept, lambda y: jaccard(x["tokens"], y["tokens"]) >= threshold), kept).otherwise(F.concat(kept, F.array(x))))
-    return grouped.select("query_id", F.explode(kept).alias("x")).select("query_id", "x.doc_id", "x.position")
+    kept = F.aggregate("all", none, lambda kept, x: F.when(F.exists(kept, lambda y: alike(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+    return grouped.select("query_id", F.explode(kept).alias("x")).select("query_id", *(f"x.{c}" for c in payload))

@@ -46,3 +46,19 @@ def latest(rows: DataFrame, key: str, by: str, tie: str) -> DataFrame:
     """Upsert: of the rows of each key the newest."""
     order = Window.partitionBy(key).orderBy(F.desc(by), F.desc(tie))
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def dashboard(day: DataFrame, week: DataFrame, costs: DataFrame, errors: DataFrame) -> DataFrame:
+    """Request metrics of a day and of a week, costs and errors as rows of part, name, amount and value."""
+    parts = []
+    for part, metrics in (("api 1 day", day), ("api 7 days", week)):
+        named = [F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias("amount"), F.col(v).alias("value")) for n, v in (("requests", "avg_ms"), ("errors", "error_rate"), ("users", "max_ms"))]
+        parts.append(api_summary(metrics).select(F.lit(part).alias("part"), F.explode(F.array(*named)).alias("x")).select("part", "x.*"))
+    parts.append(cost_summary(costs).select(F.lit("cost 30 days").alias("part"), F.coalesce("service", F.lit("all")).alias("name"), F.col("tokens").cast("long").alias("amount"), F.col("cost").alias("value")))
+    parts.append(error_summary(errors).select(F.lit("errors 1 day").alias("part"), F.col("error_type").alias("name"), F.col("n").alias("amount"), F.col("total").cast("double").alias("value")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def hit_rate(hits: Column, misses: Column) -> Column:
+    """Percentage of a cache's hits with two decimals, N/A if it was never asked."""
+    return F.coalesce(F.concat(F.format_string("%.2f", F.try_divide(100.0 * hits, hits + misses)), F.lit("%")), F.lit("N/A"))

@@ -21,28 +21,52 @@ def gap_groups(rows: DataFrame, by: str, start: str, end: Column, gap: float, ti
     return flagged.withColumn("part", F.sum("__gap").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("__end", "__gap")
 
 
+#: Lines whose lengths are summed up at once: places are found by the sums of whole groups, then inside a group.
+GROUP = 64
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), start (character offset) and text of every line."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    """doc_id, line (from 0), start (character offset), text and of (the document's number of lines) of every line. No shuffle: the places come from the array of lines."""
+    rows = docs.select("doc_id", F.split("text", "\n").alias("lines")).withColumn("sizes", F.transform("lines", lambda x: F.length(x).cast("long") + 1))
+    group = f"aggregate(slice(sizes, g * {GROUP} + 1, {GROUP}), 0L, (a, x) -> a + x)"
+    rows = rows.withColumn("groups", F.expr(f"aggregate(sequence(0, size(sizes) div {GROUP}), array(0L), (heads, g) -> array_append(heads, element_at(heads, -1) + {group}))"))
+    start = f"get(groups, i div {GROUP}) + aggregate(slice(sizes, (i div {GROUP}) * {GROUP} + 1, i % {GROUP}), 0L, (a, x) -> a + x)"
+    rows = rows.select("doc_id", F.size("lines").alias("of"), F.explode_outer(F.expr(f"transform(lines, (x, i) -> struct(i AS line, {start} AS start, x AS text))")).alias("x"))
+    return rows.where("x IS NOT NULL").select("doc_id", "x.line", "x.start", "x.text", "of")
 
 
 def page_of(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """chunks (doc_id, start) with the page (doc_id, page, size) each starts on: the first whose cumulative size (and two) lies beyond, else the last."""
+    """chunks (doc_id, start) with the page (doc_id, page, size) each starts on: the first whose cumulative size (and two) lies beyond, else the last; null without pages.
+
+    Chunks and page ends are put in one order, where a chunk's page is the next end after it.
+    """
     by_page = Window.partitionBy("doc_id").orderBy("page")
-    ends = pages.withColumn("until", F.sum(F.col("size") + 2).over(by_page.rowsBetween(Window.unboundedPreceding, 0)))
-    bounds = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "until"))).alias("pages"))
-    beyond = F.filter("pages", lambda p: p["until"] > F.col("start"))
-    page = F.when(F.size(beyond) > 0, F.element_at(beyond, 1)["page"]).otherwise(F.element_at("pages", -1)["page"])
-    return chunks.join(bounds, "doc_id").withColumn("page", page).drop("pages")
+    ends = pages.select("doc_id", "page", F.sum(F.col("size") + 2).over(by_page.rowsBetween(Window.unboundedPreceding, 0)).alias("__at"))
+    marked = chunks.withColumn("__at", F.col("start")).withColumn("__chunk", F.lit(1))
+    rows = marked.unionByName(ends.withColumnRenamed("page", "__page").withColumn("__chunk", F.lit(0)), allowMissingColumns=True)
+    after = Window.partitionBy("doc_id").orderBy("__at", "__chunk").rowsBetween(0, Window.unboundedFollowing)
+    page = F.coalesce(F.min("__page").over(after), F.max("__page").over(Window.partitionBy("doc_id")))
+    return rows.withColumn("page", page).where("__chunk = 1").select(*chunks.columns, "page")
 
 
 def time_slices(chunks: DataFrame, duration: Column) -> DataFrame:
-    """chunks (doc_id, line) with equal slices of a duration: ts_start and ts_end."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    i = F.row_number().over(Window.partitionBy("doc_id").orderBy("line")) - 1
-    return chunks.withColumn("ts_start", F.round(i * duration / n, 6)).withColumn("ts_end", F.round((i + 1) * duration / n, 6))
+    """chunks (line, and of: their number) with equal slices of a duration: ts_start and ts_end."""
+    i = F.col("line")
+    return chunks.withColumn("ts_start", F.round(i * duration / F.col("of"), 6)).withColumn("ts_end", F.round((i + 1) * duration / F.col("of"), 6))
+
+
+def packed(segments: DataFrame, by: str, order: str, size: int) -> DataFrame:
+    """Segments (by, order, text, start, end) packed in their order: a new part begins where the text would grow over size. by, part, text, start and end.
+
+    How much fits depends on all parts before, so a group's segments are folded as one array.
+    """
+    rows = segments.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "text", "start", "end"))).alias("all"))
+    # Fold: n is what the open part holds so far; a segment is marked where it opens a part.
+    grown = "acc.n + length(x.text) > {0} AND acc.n > 0".format(size)
+    fold = f"aggregate(all, struct(0 AS n, 0 AS part, cast(array() AS array<int>) AS parts), (acc, x) -> struct(if({grown}, 0, acc.n) + length(x.text) + 1 AS n, if({grown}, acc.part + 1, acc.part) AS part, array_append(acc.parts, if({grown}, acc.part + 1, acc.part)) AS parts))"
+    placed = rows.select(by, F.explode(F.arrays_zip("all", F.expr(fold)["parts"].alias("parts"))).alias("x")).select(by, "x.all.*", F.col("x.parts").alias("part"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    return placed.groupBy(by, "part").agg(F.array_join(ordered, " ").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def timeline(scenes: DataFrame, by: str, order: str, seconds: str = "seconds") -> DataFrame:
@@ -51,9 +75,21 @@ def timeline(scenes: DataFrame, by: str, order: str, seconds: str = "seconds") -
     return scenes.withColumn("starts", F.coalesce(F.sum(seconds).over(before), F.lit(0)))
 
 
+#: doc_ids in a run of leaves that one task numbers.
+RUN = 1000
+
+
 def tree_layout(leaves: DataFrame) -> DataFrame:
-    """root, document and leaf nodes (doc_id, leaf) with x and y: 224 apart by depth, 60 by leaf; a parent stands midway between its first and last child."""
-    placed = leaves.withColumn("y", 60.0 * (F.row_number().over(Window.partitionBy("root").orderBy("doc_id", "leaf")) - 1))
+    """root, document and leaf nodes (doc_id, leaf) with x and y: 224 apart by depth, 60 by leaf; a parent stands midway between its first and last child.
+
+    Leaves are numbered in runs of doc_ids, each from where the runs before end, so a root of very many leaves is not one task's.
+    """
+    runs = leaves.withColumn("__run", F.floor(F.col("doc_id") / RUN))
+    counts = runs.groupBy("root", "__run").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("root").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("root", "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    number = F.row_number().over(Window.partitionBy("root", "__run").orderBy("doc_id", "leaf")) - 1
+    placed = runs.withColumn("__number", number).join(counts, ["root", "__run"]).withColumn("y", 60.0 * (F.col("__before") + F.col("__number")))
     mid = lambda c: ((F.min(c) + F.max(c)) / 2).alias("y")
     docs = placed.groupBy("root", "doc_id").agg(mid("y"))
     roots = docs.groupBy("root").agg(mid("y"))

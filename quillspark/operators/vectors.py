@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from .lexical import ranked
 
 #: Questions that one pass over the vectors answers at once (their matrix goes to every task).
@@ -35,52 +35,56 @@ def search(vectors: DataFrame, question: list[float], floor: float | None = None
     return out if floor is None else out.where(F.col("score") >= floor)
 
 
-def batch_search(vectors: DataFrame, questions: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """query_id, id and score of the k best of each Arrow batch for a block of questions: a matrix product in each task.
+def batch_search(vectors: DataFrame, questions: list[tuple[int, list[float]]], k: int | None, floor: float | None = None, measure: str = "dot") -> DataFrame:
+    """query_id, id and score of the k best (all) of each Arrow batch for a block of questions, from a floor on: a matrix product in each task.
 
     The rows left are k for each question and batch; `ranked` takes the k best of all.
     """
     if len(questions) > BLOCK:
         raise ValueError(f"at most {BLOCK} questions in a block")
     ids = np.array([i for i, _ in questions], np.int64)
-    matrix = np.array([v for _, v in questions], np.float64).T
+    matrix = _measured(np.array([v for _, v in questions], np.float64), measure).T
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+            rows = _measured(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64), measure)
             keys = batch.column(0).to_numpy()
             scores = rows @ matrix
             # By score, ties by id: lexsort over each question's column.
             order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -np.round(scores, 6)), axis=0)[:k]
-            best = np.take_along_axis(scores, order, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(order))), pa.array(keys[order].ravel()), pa.array(best.ravel())], names=["query_id", "id", "score"])
+            best = np.take_along_axis(scores, order, axis=0).ravel()
+            keep = best >= (-np.inf if floor is None else floor)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(order))[keep]), pa.array(keys[order].ravel()[keep]), pa.array(best[keep])], names=["query_id", "id", "score"])
 
     return vectors.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
 
 
-def block_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score and rank of the k best for any number of questions (id, vector), a block at a time.
+def _measured(rows: np.ndarray, measure: str) -> np.ndarray:
+    """Rows as they are, or for cosines of length one (a row of zeros stays)."""
+    if measure == "dot" or not rows.size:
+        return rows
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, 1, norms)
+
+
+def block_search(vectors: DataFrame, questions: DataFrame, k: int | None, floor: float | None = None, measure: str = "dot") -> DataFrame:
+    """query_id, id, score and rank of the k best (all) for any number of questions (id, vector), a block at a time.
 
     Of several blocks the best of each are written (to the shared folder) before the next one is read, and ranked again at
-    the end: the driver holds one block, and the plan is that of one table.
+    the end: the driver holds one block, and the plan is that of one table. Without k there is no rank.
     """
     spark = vectors.sparkSession
     rows = ((r["id"], r["vector"]) for r in questions.select("id", "vector").toLocalIterator(prefetchPartitions=True))
     block, path = list(islice(rows, BLOCK)), ""
+    best_of = lambda df: ranked(df, k, "id") if k else df
     while True:
-        best = ranked(batch_search(vectors, block, k), k, "id")
+        best = best_of(batch_search(vectors, block, k, floor, measure)).select("query_id", "id", "score")
         block = list(islice(rows, BLOCK))
         if not block and not path:
-            return best
-        path = path or f"{_shared_dir(spark)}/block-search-{uuid.uuid4().hex}"
-        best.drop("rank").write.mode("append").parquet(path)
+            return best_of(best)
+        path = path or f"{shared_dir(spark)}/block-search-{uuid.uuid4().hex}"
+        best.write.mode("append").parquet(path)
         if not block:
-            return ranked(spark.read.schema(best.drop("rank").schema).parquet(path), k, "id")
-
-
-def _shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/") if path else f"file://{tempfile.mkdtemp(prefix='quill-')}"
+            return best_of(spark.read.schema(best.schema).parquet(path))

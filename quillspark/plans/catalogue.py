@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import chunking, conversation, digest, evaluation, fusion, lexical, monitoring, sequences, vectors
 from ..sources import html, tables
+from .registry import FLAGSHIP, ORACLE_SQL, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "retrieve_flagship"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 def _tok(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:[-_.''][a-z0-9]+)*')"
@@ -52,7 +37,7 @@ def _top(scores: str, k: int, key: str = "doc_id") -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, {key}) AS rank FROM {scores} QUALIFY rank <= {k}"
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
+def _docs(spark, d):
     return tables.table(spark, d, "documents")
 
 
@@ -61,7 +46,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)")
 def tokenize_documents(spark, d):
-    rows = _docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    rows = tables.spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_join(F.slice("t", 1, 5), " ").alias("head"))
 
 
@@ -96,25 +81,27 @@ def heuristic_rerank(spark, d):
 _VECTORS = "vectors AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 
 
-def _first_vector(spark, d):
-    return tables.vectors(spark, d).where("id = 0").first()["vector"]
+_ASKED = "scores AS (SELECT a.id AS query_id, b.id, {0} AS score FROM vectors a, vectors b WHERE a.id % 50 = 0{1})"
 
 
-@query(f"WITH {_VECTORS} SELECT id, round(score, 5) AS score FROM (SELECT b.id, list_dot_product(a.v, b.v) AS score FROM vectors a, vectors b WHERE a.id = 0) ORDER BY round(score, 6) DESC, id LIMIT 10")
+@query(f"WITH {_VECTORS}, {_ASKED.format('list_dot_product(a.v, b.v)', '')} SELECT query_id, id, rank, round(score, 5) AS score FROM ({_top('scores', 10, 'id')})")
 def dense_top_k(spark, d):
-    return vectors.search(tables.vectors(spark, d), _first_vector(spark, d)).orderBy(F.round("score", 6).desc(), "id").limit(10).select("id", F.round("score", 5).alias("score"))
+    found = tables.vectors(spark, d)
+    return vectors.block_search(found, found.where("id % 50 = 0"), 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {_VECTORS} SELECT b.id, round(list_dot_product(a.v, b.v), 5) AS score FROM vectors a, vectors b WHERE a.id = 0 AND b.label < 5 AND list_dot_product(a.v, b.v) >= 0.1")
+@query(f"WITH {_VECTORS}, {_ASKED.format('list_dot_product(a.v, b.v)', ' AND b.label < 5')} SELECT query_id, id, round(score, 5) AS score FROM scores WHERE score >= 0.1")
 def dense_scoped_threshold(spark, d):
-    scope = tables.vectors(spark, d).where("label < 5").select("id")
-    inside = lexical.scoped(tables.vectors(spark, d), scope, "id")
-    return vectors.search(inside, _first_vector(spark, d), floor=0.1).select("id", F.round("score", 5).alias("score"))
+    found = tables.vectors(spark, d)
+    inside = lexical.scoped(found, found.where("label < 5").select("id"), "id")
+    return vectors.block_search(inside, found.where("id % 50 = 0"), None, floor=0.1).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {_VECTORS} SELECT id, round(score, 5) AS score FROM (SELECT b.id, CASE WHEN list_dot_product(b.v, b.v) = 0 THEN 0 ELSE list_cosine_similarity(a.v, b.v) END AS score FROM vectors a, vectors b WHERE a.id = 0) ORDER BY round(score, 6) DESC, id LIMIT 10")
+@query(f"WITH {_VECTORS}, {_ASKED.format('CASE WHEN list_dot_product(b.v, b.v) = 0 THEN 0 ELSE list_cosine_similarity(a.v, b.v) END', '')} SELECT query_id, id, rank, round(score, 5) AS score FROM ({_top('scores', 10, 'id')})")
 def cosine_top_k(spark, d):
-    return vectors.search(tables.vectors(spark, d), _first_vector(spark, d), measure="cosine").orderBy(F.round("score", 6).desc(), "id").limit(10).select("id", F.round("score", 5).alias("score"))
+    found = tables.vectors(spark, d)
+    best = vectors.block_search(found, found.where("id % 50 = 0"), 10, measure="cosine")
+    return best.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {_VECTORS}, scores AS (SELECT a.id AS query_id, b.id, list_dot_product(a.v, b.v) AS score FROM vectors a, vectors b WHERE a.id % 50 = 0) SELECT query_id, id, rank, round(score, 5) AS score FROM ({_top('scores', 5, 'id')})")
@@ -133,10 +120,10 @@ _LISTS = f"""{_bm25()}, lex AS ({_top('scores', 30)}),
 
 
 def _two_lists(spark, d):
-    """BM25's ranking and that of plain term counts."""
-    docs, questions = _docs(spark, d), tables.questions(spark, d)
-    counts = lexical.postings(docs).join(lexical.question_terms(questions), "term").groupBy("query_id", "doc_id").agg(F.sum("tf").cast("double").alias("score"))
-    return [lexical.ranked(lexical.bm25(docs, questions), K.CANDIDATES), lexical.ranked(counts, K.CANDIDATES)]
+    """BM25's ranking and that of plain term counts, from one table of terms."""
+    questions = tables.questions(spark, d)
+    table = lexical.term_table(_docs(spark, d), questions)
+    return [lexical.ranked(x, K.CANDIDATES) for x in (lexical.scores(table, questions), lexical.term_counts(table, questions))]
 
 
 @query(f"WITH {_LISTS} SELECT query_id, doc_id, round(total, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, seen) - 1 AS position FROM fused")
@@ -203,11 +190,11 @@ def _retrieved(spark, d):
     known = found.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     dense = vectors.block_search(known, asked, K.CANDIDATES).withColumnRenamed("id", "doc_id")
     lists = [dense, lexical.ranked(lexical.bm25(docs, questions), K.CANDIDATES)]
-    fused = fusion.fused(lists).join(docs.select("doc_id", "text"), "doc_id")
-    kept = fusion.deduped(fused.select("query_id", "doc_id", "position", "text"))
+    fused = fusion.fused(lists).select("query_id", "doc_id", "position", (F.col("best") + F.col("total")).alias("score"))
+    kept = fusion.deduped(fused.join(docs.select("doc_id", "text"), "doc_id"))
     source = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
-    best = kept.withColumn("source", source).where(F.col("source") <= K.TOP_K).drop("position")
-    return best.join(fused, ["query_id", "doc_id"]).withColumn("score", F.col("best") + F.col("total"))
+    best = kept.withColumn("source", source).where(F.col("source") <= K.TOP_K)
+    return best.join(docs.select("doc_id", "text"), "doc_id")
 
 
 @query(f"WITH RECURSIVE {_FLAG} SELECT query_id, source, doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text_preview, round(score, 6) AS score FROM final")
@@ -281,9 +268,12 @@ def pollution_flags(spark, d):
 _LINES = "blocks AS (SELECT doc_id, i - 1 AS line, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 
 
-@query(f"WITH {_LINES} SELECT count(*) AS chunks, max(length(text)) AS longest, round(avg(CAST(length(text) < 80 AS DOUBLE)), 6) AS tiny, round(avg(CAST(length(text) > 1024 AS DOUBLE)), 6) AS oversized, round(avg(CAST({_any('text', K.BOILERPLATE)} AS DOUBLE)), 6) AS boilerplate, round(avg(CAST({_any('text', K.EVALUATED_MARKS, 2)} AS DOUBLE)), 6) AS citation_like FROM blocks")
+@query(f"WITH {_LINES} SELECT count(*) AS chunks, max(length(text)) AS longest, round(avg(CAST(length(text) < 80 AS DOUBLE)), 6) AS tiny, round(avg(CAST(length(text) > 1024 AS DOUBLE)), 6) AS oversized, round(avg(CAST({_any('text', K.BOILERPLATE)} AS DOUBLE)), 6) AS boilerplate, round(avg(CAST({_any('text', K.EVALUATED_MARKS, 2)} AS DOUBLE)), 6) AS citation_like, round(avg(CAST(line > 0 AND length(first) BETWEEN 1 AND 40 AS DOUBLE)), 6) AS with_heading, max(length(text)) FILTER (place = round_even(0.5 * (n - 1), 0)) AS p50, max(length(text)) FILTER (place = round_even(0.95 * (n - 1), 0)) AS p95 FROM (SELECT *, string_split(full_text, chr(10))[1] AS first, row_number() OVER (ORDER BY length(blocks.text)) - 1 AS place, count(*) OVER () AS n FROM blocks JOIN (SELECT doc_id, text AS full_text FROM documents) USING (doc_id))")
 def index_health(spark, d):
-    return evaluation.health(sequences.lines(_docs(spark, d)).select("text"))
+    """Lines as chunks; a short first line is the heading of those after it."""
+    first = F.when((F.col("line") > 0) & F.length(F.split("full_text", "\n")[0]).between(1, 40), F.split("full_text", "\n")[0])
+    rows = sequences.lines(_docs(spark, d)).join(_docs(spark, d).select("doc_id", F.substring("text", 1, 50).alias("full_text")), "doc_id")
+    return evaluation.health(rows.select("text", first.alias("heading")))
 
 
 @query("SELECT source, count(*) AS docs, max(length(text)) AS longest, count(*) FILTER (contains(text, chr(10))) AS with_lines FROM documents GROUP BY source")
@@ -318,14 +308,19 @@ def export_conversation(spark, d):
     return conversation.as_text(_messages(spark, d))
 
 
-@query("SELECT item_id, sha256(text || '|' || 'any' || '|' || '5') AS cache_key FROM benchmark")
+@query("SELECT item_id, sha256(concat_ws('|', text, 'None', coalesce(array_to_string(list_sort(CASE WHEN item_id % 2 = 0 THEN ['doc-' || item_id, 'doc-0'] END), ','), 'any'), 'p1', '5', '0.7', '512', 'True')) AS cache_key FROM benchmark")
 def query_cache_key(spark, d):
-    return tables.table(spark, d, "benchmark").select("item_id", T.cache_key(F.col("text"), F.lit(None).cast("array<string>"), F.lit("5")).alias("cache_key"))
+    asked = tables.table(spark, d, "benchmark").withColumn("scope", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("doc-"), F.col("item_id"), F.lit(",doc-0"))))
+    return asked.select("item_id", T.cache_key(F.col("text"), F.split("scope", ","), F.lit(None), F.lit("p1"), F.lit(5), F.lit("0.7"), F.lit(512), F.lit("True")).alias("cache_key"))
 
 
-@query("SELECT doc_id, array_to_string(string_split(trim(regexp_extract('Context: ' || text || ' Question: why?', '(?s)Context:(.*?)Question:', 1)), '. ')[1:3], '. ') || '.' AS answer FROM documents")
+@query(f"""WITH asked AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'Context: ' || text || ' Question: why?' ELSE 'Context: [Source 1: doc-' || doc_id || '] ' || text || ' Question: why?' END AS prompt FROM documents),
+  found AS (SELECT *, array_to_string(string_split(trim(regexp_extract(prompt, '(?s)Context:(.*?)Question:', 1)), '. ')[1:3], '. ') || '.' AS answer FROM asked)
+  SELECT doc_id, CASE WHEN NOT (contains(prompt, 'Context:') AND contains(prompt, 'Question:')) THEN '{K.NO_ANSWER.replace("'", "''")}' WHEN contains(answer, '[Source') THEN '{K.ANSWER_HEAD}' || answer || '{K.ANSWER_NOTE}' ELSE answer END AS answer FROM found""")
 def extractive_fallback(spark, d):
-    prompt = F.concat(F.lit("Context: "), "text", F.lit(" Question: why?"))
+    """Prompts without a context, with a plain one, and with one that names its source."""
+    head = F.when(F.col("doc_id") % 3 == 1, F.lit("Context: ")).otherwise(F.concat(F.lit("Context: [Source 1: doc-"), "doc_id", F.lit("] ")))
+    prompt = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(head, "text", F.lit(" Question: why?")))
     return _docs(spark, d).select("doc_id", T.extract_answer(prompt).alias("answer"))
 
 
@@ -404,10 +399,11 @@ def parent_scope_chain(spark, d):
 
 @query("SELECT source, doc_count, recent FROM (SELECT source, count(*) AS doc_count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id DESC) FILTER (n <= 5) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents) GROUP BY source)")
 def export_project(spark, d):
-    """Of each project the number of documents and its five newest."""
-    rows = _docs(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))))
-    newest = F.sort_array(F.collect_list(F.when(F.col("n") <= 5, F.col("doc_id"))), asc=False)
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("doc_count"), F.array_join(newest.cast("array<string>"), ",").alias("recent"))
+    """Of each project the number of documents and its five newest: counted by partial sums, and ranked only as far as five."""
+    docs = _docs(spark, d).select("source", "doc_id")
+    newest = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))).where("n <= 5")
+    recent = newest.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("doc_id"), asc=False).cast("array<string>"), ",").alias("recent"))
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("doc_count")).join(recent, "source")
 
 
 # --- monitoring ---
@@ -436,11 +432,20 @@ def error_summary(spark, d):
     return monitoring.error_summary(tables.table(spark, d, "events").select(F.col("event_type").alias("error_type"), "ts"))
 
 
-@query(f"SELECT '1 day' AS span, {_SUMMARY} FROM {_WHEN.format(24)} UNION ALL SELECT '7 days', {_SUMMARY} FROM {_WHEN.format(168)}")
+def _api_part(part: str, hours: int) -> str:
+    return f"SELECT '{part}' AS part, unnest(['requests', 'errors', 'users']) AS name, unnest([requests, errors, users]) AS amount, unnest([avg_ms, CAST(error_rate AS DOUBLE), max_ms]) AS value FROM (SELECT {_SUMMARY} FROM {_WHEN.format(hours)})"
+
+
+@query(
+    f"""{_api_part('api 1 day', 24)} UNION ALL {_api_part('api 7 days', 168)}
+    UNION ALL SELECT 'cost 30 days', coalesce(event_type, 'all'), CAST(sum(user_id) AS BIGINT), round(sum(value), 4) FROM {_WHEN.format(720)} GROUP BY ROLLUP (event_type)
+    UNION ALL SELECT 'errors 1 day', event_type, count(*), CAST(sum(count(*)) OVER () AS DOUBLE) FROM {_WHEN.format(24)} GROUP BY event_type"""
+)
 def dashboard(spark, d):
+    """Requests of a day and of a week, costs of 30 days and errors of a day: part, name, amount and value."""
     rows = tables.metrics(spark, d)
-    spans = [monitoring.api_summary(monitoring.since(rows, h)).select(F.lit(name).alias("span"), "*") for name, h in (("1 day", 24), ("7 days", 168))]
-    return spans[0].unionByName(spans[1])
+    spans = {name: monitoring.since(rows, hours) for name, hours in (("1 day", 24), ("7 days", 168), ("30 days", 720))}
+    return monitoring.dashboard(spans["1 day"], spans["7 days"], spans["30 days"].select(F.col("endpoint").alias("service"), F.col("user_id").alias("tokens"), F.col("response_time_ms").alias("cost")), spans["1 day"].select(F.col("endpoint").alias("error_type"), "ts"))
 
 
 @query(f"SELECT event_id FROM {_WHEN.format(240)}")
@@ -557,7 +562,16 @@ def transcript_clean(spark, d):
     return _docs(spark, d).select("doc_id", T.transcript_clean(F.col("text")).alias("text"))
 
 
-@query()
+def _spoken() -> str:
+    line = f"regexp_replace(x, '{K.LINE_MARKS}', '')"
+    for _ in range(2):
+        line = f"regexp_replace({line}, '{K.EMPHASIS}', '\\1\\2\\3\\4', 'g')"
+    line = f"trim(regexp_replace(regexp_replace(regexp_replace({line}, '{K.RULE}', ''), '{K.UNSPOKEN}', ' ', 'g'), '[ \\t]+', ' ', 'g'), ' ')"
+    text = f"regexp_replace(regexp_replace(regexp_replace(text, '{K.FENCE}', ' ', 'g'), '{K.CODE}', '\\1', 'g'), '{K.LABELLED}', '\\1', 'g')"
+    return f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({text}, chr(10)), lambda x: {line}), lambda x: x <> ''), chr(10)) AS spoken FROM documents"
+
+
+@query(_spoken())
 def markdown_to_speech(spark, d):
     return _docs(spark, d).select("doc_id", T.speech(F.col("text")).alias("spoken"))
 

@@ -10,6 +10,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A table of fewer partitions than this and than there are cores is dealt out before work on its texts.
+FEW_PARTITIONS = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it is small enough to have come in fewer (as one row group); large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= min(cores, FEW_PARTITIONS) else df
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """query_id, question (the first eight words of an item) and answer (its whole text)."""
     words = F.slice(F.split("text", r"\s+"), 1, 8)

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from quillspark.plans import catalogue
+from quillspark.plans import catalogue, workflows  # noqa: F401
+from quillspark.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,16 +24,16 @@ def _rows(rows, columns):
     return sorted(made, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     found = _rows([tuple(r) for r in df.collect()], df.columns)
-    cursor = duck.execute(catalogue.ORACLE_SQL[name])
+    cursor = duck.execute(ORACLE_SQL[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert found == _rows(cursor.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_has_rows(spark, name):
-    assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
+    assert QUERIES[name](spark, FOLDER).count() > 0
