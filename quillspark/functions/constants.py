@@ -85,3 +85,8 @@ NO_ANSWER = (
     "I understand you're asking about this topic. However, I need an LLM service configured to provide detailed answers. "
     "Please configure an API key for Claude or OpenAI, or run a local model server."
 )
+# Languages of captions, in the order in which they are preferred.
+CAPTION_LANGUAGES = ("en", "zh-TW", "zh-CN", "zh")
+# What a model is told before a context (own wording), with and without the wish for citations.
+ANSWER_RULES = "Answer from the context below. Say so if it does not hold the answer."
+CITING_RULES = " Name the sources you use as [Source n]."

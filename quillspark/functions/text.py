@@ -16,7 +16,7 @@ def sql(text: str) -> str:
 
 def nfkc(text: Column) -> Column:
     """The NFKC form. Only texts with a character that it may change go through Python; for the others that side is null."""
-    return F.coalesce(normal_form(F.when(text.rlike(f"[^{K.NFKC_STABLE}]"), text)), text)
+    return F.coalesce(normal_form(F.when(text.rlike(f"[\\x80-\\x{{10ffff}}&&[^{K.NFKC_STABLE}]]"), text)), text)
 
 
 def tokens(text: Column) -> Column:
@@ -90,6 +90,15 @@ def leading_sentences(text: Column, most: int = K.BULLETS) -> Column:
     return F.transform(F.slice(found, 1, most), lambda s: shortened(s))
 
 
+def sentences(text: Column) -> Column:
+    """CJK terminators end a sentence with the closing marks after them; Latin ones before white space only, abbreviations and single capitals aside."""
+    guarded = F.regexp_replace(text, rf"\b({'|'.join(K.ABBREVIATIONS)})\.|\b([A-Z])\.", "$1$2\x01")
+    closing = "".join("\\" + c if c in "]\"'" else c for c in K.CLOSING_MARKS)
+    marked = F.regexp_replace(guarded, rf"([{K.CJK_TERMINATORS}]+[{closing}]*|[{K.LATIN_TERMINATORS}](?=\s|$))", "$1\x02")
+    parts = F.transform(F.split(marked, "\x02"), lambda s: F.regexp_replace(F.translate(s, "\x01", "."), r"(?U)^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: s != "")
+
+
 def prompt_tokens(text: Column) -> Column:
     """CJK characters, and a quarter of all others, rounded down."""
     text = F.coalesce(text, F.lit(""))
@@ -116,7 +125,7 @@ def token_ceiling(message: Column) -> Column:
 def video_id(url: Column) -> Column:
     """Id of a video address in its usual forms, else null."""
     found = [F.regexp_extract(url, p, 1) for p in (r"(?:v=|/)([0-9A-Za-z_-]{11})(?:[?&/#]|$)", r"youtu\.be/([0-9A-Za-z_-]{11})")]
-    return F.coalesce(*(F.nullif(x, F.lit("")) for x in found), F.try_parse_url(url, F.lit("QUERY"), F.lit("v")))
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in found), F.nullif(F.regexp_extract(url, r"[?&]v=([^&#]+)", 1), F.lit("")))
 
 
 def cache_key(question: Column, scope: Column, *settings: Column) -> Column:

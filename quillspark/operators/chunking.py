@@ -160,3 +160,13 @@ def chunked(docs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OV
             yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}, schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def split_hard(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and parts of texts (doc_id, text): each at most size characters. Where a part ends depends on the one before."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hard_split(t or "", size) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "parts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, parts array<string>")

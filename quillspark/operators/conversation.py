@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLLOW_UP_CHARS, HISTORY = 16, 10
@@ -35,3 +35,35 @@ def as_text(messages: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.upper("role"), F.lit("]\n"), "text")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
     return messages.groupBy("conv_id").agg(F.array_join(ordered, "\n\n").alias("body"))
+
+
+def enhanced_question(messages: DataFrame) -> DataFrame:
+    """conv_id and the last user question of each conversation, with the history before it if there is one."""
+    last = messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"), F.max("turn").alias("asked_at"))
+    before = history(messages.join(last, "conv_id").where("turn < asked_at").select("conv_id", "turn", "role", "text"))
+    with_history = F.concat(F.lit("Previous conversation:\n"), "history", F.lit("\n\nCurrent question: "), "question")
+    return last.join(before, "conv_id", "left").select("conv_id", F.coalesce(with_history, "question").alias("question"))
+
+
+def with_turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role, text) with a user's question and the answer to it (turns: conv_id, question, answer) appended to their conversations."""
+    last = messages.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    said = F.array(F.struct(F.lit(1).alias("step"), F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit(2).alias("step"), F.lit("assistant").alias("role"), F.col("answer").alias("text")))
+    new = turns.join(last, "conv_id", "left").select("conv_id", F.coalesce("last", F.lit(-1)).alias("last"), F.explode(said).alias("x"))
+    return messages.select("conv_id", "turn", "role", "text").unionByName(new.select("conv_id", (F.col("last") + F.col("x.step")).alias("turn"), "x.role", "x.text"))
+
+
+def as_markdown(messages: DataFrame, title: Column) -> DataFrame:
+    """A conversation as Markdown: its title, and a section for each message with its sources (an array of titles), if it has some."""
+    head = F.when(F.col("role") == "user", "## 👤 User").otherwise("## 🤖 Assistant")
+    cited = F.when(F.size("citations") > 0, F.concat(F.lit("**Sources:**\n"), F.array_join(F.transform("citations", lambda c: F.concat(F.lit("- "), F.coalesce(c, F.lit("Unknown")), F.lit("\n"))), ""), F.lit("\n"))).otherwise("")
+    section = F.concat(head, F.lit("\n\n"), "text", F.lit("\n\n"), cited, F.lit("---\n\n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", section.alias("section")))), lambda x: x["section"])
+    body = messages.groupBy("conv_id").agg(F.array_join(ordered, "").alias("body"))
+    return body.select("conv_id", F.concat(F.lit("# "), title, F.lit("\n\n---\n\n"), "body").alias("body"))
+
+
+def as_json(messages: DataFrame) -> DataFrame:
+    """A conversation as a JSON object: its id and its messages in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return messages.groupBy("conv_id").agg(F.to_json(F.struct(F.first("conv_id").alias("id"), ordered.alias("messages"))).alias("body"))

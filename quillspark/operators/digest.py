@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..sources import tables
+from . import sequences
 
 
 def keyword_topics(docs: DataFrame, most: int = K.TOPICS) -> DataFrame:
     """doc_id, position (from 0), topic and n: the most frequent words that aren't stop words, first seen first."""
+    docs = tables.spread(docs.select("doc_id", "text"))
     words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0)), lambda w: F.lower(w))
     rows = docs.select("doc_id", F.posexplode(words).alias("at", "topic")).where(~F.col("topic").isin(*K.STOP_WORDS))
     counted = rows.groupBy("doc_id", "topic").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
@@ -37,3 +40,108 @@ def scene_seconds(text: str = "text") -> Column:
     """Seconds that a narration takes, one at least, rounded half to even."""
     words = F.size(F.filter(F.split(T.collapsed(F.col(text)), " "), lambda w: w != ""))
     return F.bround(F.greatest(F.lit(1.0), words / K.WORDS_PER_SECOND), 0).cast("long")
+
+
+def structural_topics(headings: DataFrame, docs: DataFrame, most: int = K.TOPICS) -> DataFrame:
+    """doc_id, position and topic: from headings, else from keywords."""
+    first = heading_topics(headings, most=most)
+    rest = docs.join(first.select("doc_id").distinct(), "doc_id", "left_anti")
+    return first.unionByName(keyword_topics(rest, most).select("doc_id", "position", "topic"))
+
+
+def chosen_topics(written: DataFrame, structural: DataFrame) -> DataFrame:
+    """A model's topics (doc_id, position, topic) where it gave some, else the structural ones."""
+    return written.unionByName(structural.join(written.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
+def topic_replies(replies: DataFrame, most: int = K.TOPICS) -> DataFrame:
+    """prompt_id, index, position and topic of model replies (prompt_id, reply, documents): entries of an index in range, of equal indexes the last with a topic; trimmed topics, some at most."""
+    objects = replies.withColumn("object", F.from_json(T.first_object(F.col("reply")), "documents array<string>"))
+    entries = objects.select("prompt_id", "documents", F.posexplode("object.documents").alias("at", "entry"))
+    entry = F.from_json("entry", "index string, topics array<string>")
+    topics = F.slice(F.filter(F.transform(entry["topics"], lambda t: F.trim(t)), lambda t: t != ""), 1, most)
+    usable = entries.select("prompt_id", "at", entry["index"].try_cast("int").alias("index"), topics.alias("topics"), "documents").where(F.col("index").between(1, F.col("documents")) & (F.size("topics") > 0))
+    last = usable.groupBy("prompt_id", "index").agg(F.max_by("topics", "at").alias("topics"))
+    return last.select("prompt_id", "index", F.posexplode("topics").alias("position", "topic"))
+
+
+def scene_replies(replies: DataFrame) -> DataFrame:
+    """prompt_id, index, headline, bullets and narration of model replies (prompt_id, reply, documents): entries with narration and a whole-number index in range, of equal indexes the last."""
+    objects = replies.withColumn("object", F.from_json(T.first_object(F.col("reply")), "scenes array<string>"))
+    entries = objects.select("prompt_id", "documents", F.posexplode("object.scenes").alias("at", "entry"))
+    entry = F.from_json("entry", "index string, headline string, bullets array<string>, narration string")
+    rows = entries.select("prompt_id", "documents", "at", entry.alias("e")).withColumn("index", F.col("e.index").try_cast("int"))
+    usable = rows.where(F.col("index").between(1, F.col("documents")) & (F.trim("e.narration") != ""))
+    bullets = F.slice(F.transform(F.filter("e.bullets", lambda b: F.trim(b) != ""), lambda b: T.shortened(b)), 1, K.BULLETS)
+    scene = F.struct(F.when(F.trim("e.headline") != "", T.shortened(F.col("e.headline"))).alias("headline"), F.coalesce(bullets, F.array().cast("array<string>")).alias("bullets"), T.collapsed(F.col("e.narration")).alias("narration"))
+    last = usable.groupBy("prompt_id", "index").agg(F.max_by(scene, "at").alias("scene"))
+    return last.select("prompt_id", "index", "scene.*")
+
+
+def extracted_bullets(headings: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, bullets and origin: a document's headings, else its leading sentences, else its keywords, else none."""
+    ordered = lambda rows: rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "topic"))), lambda x: x["topic"]).alias("found"))
+    by_heading = ordered(heading_topics(headings, most=K.BULLETS)).select("doc_id", F.transform("found", lambda x: T.shortened(x)).alias("headings"))
+    rows = docs.select("doc_id", T.leading_sentences(F.col("text")).alias("sentences")).join(by_heading, "doc_id", "left")
+    wordless = rows.where("headings IS NULL AND size(sentences) = 0").select("doc_id")
+    by_word = ordered(keyword_topics(docs.join(wordless, "doc_id", "left_semi"), K.BULLETS)).withColumnRenamed("found", "keywords")
+    rows = rows.join(by_word, "doc_id", "left")
+    origin = F.when(F.col("headings").isNotNull(), "headings").when(F.size("sentences") > 0, "sentences").when(F.col("keywords").isNotNull(), "keywords").otherwise("none")
+    chosen = F.coalesce("headings", F.when(F.size("sentences") > 0, F.col("sentences")), "keywords", F.array().cast("array<string>"))
+    return rows.select("doc_id", chosen.alias("bullets"), origin.alias("origin"))
+
+
+def scene_script(docs: DataFrame, headings: DataFrame, made_on: Column) -> DataFrame:
+    """The script of each project (docs: project, doc_id, title, text): its title scene (part 0), a scene for each source (1) and the closing one (2).
+
+    project, part, doc_id, kind, headline, bullets and narration. Sources are
+    counted, and four of them ranked; a project's scenes never meet in one row.
+    """
+    n = docs.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    sources = F.concat("n", F.lit(" source"), F.when(F.col("n") == 1, "").otherwise("s"))
+    null = F.lit(None).cast("long").alias("doc_id")
+    title = n.select(
+        "project", F.lit(0).alias("part"), null, F.lit("title").alias("kind"), F.col("project").alias("headline"),
+        F.array(sources, F.concat(F.lit("Generated "), F.date_format(made_on, "d MMMM yyyy"))).alias("bullets"),
+        F.concat(F.lit("This is a video summary of the project "), "project", F.lit(". It covers "), sources, F.lit(".")).alias("narration"),
+    )
+    found = docs.select("project", "doc_id", "title").join(extracted_bullets(headings, docs), "doc_id")
+    head = F.concat(F.lit("This source is "), "title")
+    said = F.when(F.col("origin") == "sentences", F.concat(head, F.lit(". It begins: "), F.array_join("bullets", " ")))
+    said = said.when(F.size("bullets") > 0, F.concat(head, F.lit(". It covers "), T.phrase(F.col("bullets")), F.lit(".")))
+    body = found.select("project", F.lit(1).alias("part"), "doc_id", F.lit("source").alias("kind"), F.col("title").alias("headline"), "bullets", said.otherwise(F.concat(head, F.lit(". Its text has not been extracted yet."))).alias("narration"))
+    first = docs.withColumn("at", F.row_number().over(Window.partitionBy("project").orderBy("doc_id"))).where(F.col("at") <= K.BULLETS)
+    shown = first.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]).alias("bullets"))
+    more = F.when(F.col("n") > F.size("bullets"), F.concat(F.lit(", and "), F.col("n") - F.size("bullets"), F.lit(" more"))).otherwise("")
+    closing = n.join(shown, "project").select(
+        "project", F.lit(2).alias("part"), null, F.lit("closing").alias("kind"), F.lit("What this project covers").alias("headline"), "bullets",
+        F.concat(F.lit("That is "), "project", F.lit(", covering "), sources, F.lit(": "), T.phrase(F.col("bullets")), more, F.lit(".")).alias("narration"),
+    )
+    return title.unionByName(body).unionByName(closing)
+
+
+def scene_sections(scenes: DataFrame) -> DataFrame:
+    """Each scene as a Markdown section: headline, source, bullets and narration. Sections follow each other by project, part and doc_id."""
+    source = F.when(F.col("kind") == "source", F.concat(F.lit("Source: "), "headline", F.lit("\n\n"))).otherwise("")
+    points = F.when(F.size("bullets") > 0, F.concat(F.array_join(F.transform("bullets", lambda b: F.concat(F.lit("- "), b)), "\n"), F.lit("\n\n"))).otherwise("")
+    return scenes.select("project", "part", "doc_id", F.concat(F.lit("## "), "headline", F.lit("\n\n"), source, points, "narration", F.lit("\n")).alias("section"))
+
+
+def tree_lines(docs: DataFrame, topics: DataFrame) -> DataFrame:
+    """A project's topic tree as nested Markdown lists, a document (project, doc_id, title) and its topics each: project, doc_id and list."""
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("position", "topic"))), lambda x: F.concat(F.lit("\n  - "), x["topic"]))
+    under = topics.groupBy("doc_id").agg(F.array_join(labels, "").alias("under"))
+    return docs.join(under, "doc_id", "left").select("project", "doc_id", F.concat(F.lit("- "), "title", F.coalesce("under", F.lit(""))).alias("list"))
+
+
+def node_counts(docs: DataFrame, topics: DataFrame) -> DataFrame:
+    """project and nodes of its tree: itself, its documents and their topics."""
+    n = docs.join(topics.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")), "doc_id", "left")
+    return n.groupBy("project").agg((1 + F.count(F.lit(1)) + F.sum(F.coalesce("k", F.lit(0)))).alias("nodes"))
+
+
+def topic_prompt(docs: DataFrame) -> DataFrame:
+    """The numbered entries of each project's question for topics (project, doc_id, title, text): title and excerpt, or a note that there is none."""
+    excerpt = F.substring(F.regexp_replace("text", r"^\s+|\s+$", ""), 1, K.EXCERPT)
+    rows = sequences.numbered(docs.select("project", "doc_id", "title", F.when(excerpt != "", excerpt).alias("excerpt")), "project", "doc_id")
+    return rows.select("project", "doc_id", F.concat("number", F.lit(". "), "title", F.lit("\n"), F.coalesce("excerpt", F.lit("(no text extracted)"))).alias("entry"))

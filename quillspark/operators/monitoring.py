@@ -60,5 +60,5 @@ def dashboard(day: DataFrame, week: DataFrame, costs: DataFrame, errors: DataFra
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:
-    """Percentage of a cache's hits with two decimals, N/A if it was never asked."""
-    return F.coalesce(F.concat(F.format_string("%.2f", F.try_divide(100.0 * hits, hits + misses)), F.lit("%")), F.lit("N/A"))
+    """Percentage of a cache's hits with one decimal, N/A if it was never asked."""
+    return F.coalesce(F.concat(F.format_string("%.1f", F.try_divide(100.0 * hits, hits + misses)), F.lit("%")), F.lit("N/A"))

@@ -75,21 +75,26 @@ def timeline(scenes: DataFrame, by: str, order: str, seconds: str = "seconds") -
     return scenes.withColumn("starts", F.coalesce(F.sum(seconds).over(before), F.lit(0)))
 
 
-#: doc_ids in a run of leaves that one task numbers.
+#: Keys in a run of rows that one task numbers.
 RUN = 1000
 
 
-def tree_layout(leaves: DataFrame) -> DataFrame:
-    """root, document and leaf nodes (doc_id, leaf) with x and y: 224 apart by depth, 60 by leaf; a parent stands midway between its first and last child.
+def numbered(rows: DataFrame, by: str, key: str, *then: str) -> DataFrame:
+    """rows with their number (from 1) in each group, in order of a whole-number key.
 
-    Leaves are numbered in runs of doc_ids, each from where the runs before end, so a root of very many leaves is not one task's.
+    Rows are numbered in runs of keys, each from where the runs before end, so a group of very many rows is not one task's.
     """
-    runs = leaves.withColumn("__run", F.floor(F.col("doc_id") / RUN))
-    counts = runs.groupBy("root", "__run").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("root").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("root", "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    number = F.row_number().over(Window.partitionBy("root", "__run").orderBy("doc_id", "leaf")) - 1
-    placed = runs.withColumn("__number", number).join(counts, ["root", "__run"]).withColumn("y", 60.0 * (F.col("__before") + F.col("__number")))
+    runs = rows.withColumn("__run", F.floor(F.col(key) / RUN))
+    counts = runs.groupBy(by, "__run").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(by, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by, "__run").orderBy(key, *then))
+    return runs.withColumn("__inside", inside).join(counts, [by, "__run"]).withColumn("number", F.col("__before") + F.col("__inside")).drop("__run", "__inside", "__before")
+
+
+def tree_layout(leaves: DataFrame) -> DataFrame:
+    """root, document and leaf nodes (doc_id, leaf) with x and y: 224 apart by depth, 60 by leaf; a parent stands midway between its first and last child."""
+    placed = numbered(leaves, "root", "doc_id", "leaf").withColumn("y", 60.0 * (F.col("number") - 1))
     mid = lambda c: ((F.min(c) + F.max(c)) / 2).alias("y")
     docs = placed.groupBy("root", "doc_id").agg(mid("y"))
     roots = docs.groupBy("root").agg(mid("y"))

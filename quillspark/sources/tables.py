@@ -39,3 +39,26 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Events as API metrics: endpoint, status_code, response_time_ms, user_id, ts."""
     status = F.when(F.col("event_type") == "error", 500).otherwise(200)
     return table(spark, folder, "events").select("event_id", F.col("event_type").alias("endpoint"), status.alias("status_code"), F.col("value").alias("response_time_ms"), "user_id", "ts")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, project (its source), title, text."""
+    return table(spark, folder, "documents").select("doc_id", F.col("source").alias("project"), F.concat(F.lit("doc-"), "doc_id").alias("title"), "text")
+
+
+def headings(lines: DataFrame) -> DataFrame:
+    """doc_id, at and path: short lines stand for headings."""
+    return lines.where(F.length(F.trim("text")).between(1, 40)).select("doc_id", F.col("line").alias("at"), F.col("text").alias("path"))
+
+
+def with_heading(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """lines with `heading`: a document's first line, if it is short, heads the others."""
+    first = F.split("text", "\n")[0]
+    heads = docs.select("doc_id", F.when(F.length(first).between(1, 40), first).alias("heading"))
+    return lines.join(heads, "doc_id").withColumn("heading", F.when(F.col("line") > 0, F.col("heading")))
+
+
+def segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages as transcript segments: conv_id, at, start and end in seconds, duration, text."""
+    start, duration = F.col("turn") * 7.5, F.length("text") / 16.0
+    return table(spark, folder, "conversations").select("conv_id", F.col("turn").alias("at"), start.alias("start"), (start + duration).alias("end"), duration.alias("duration"), "text")
