@@ -578,17 +578,29 @@ def markdown_to_speech(spark, d):
 
 @query("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages")
 def html_title(spark, d):
-    return html.extracted(tables.table(spark, d, "pages")).select("page_id", "title")
+    return html.metadata(tables.table(spark, d, "pages")).select("page_id", F.coalesce("title", F.lit("")).alias("title"))
 
 
 @query()
+def html_metadata(spark, d):
+    return html.metadata(tables.table(spark, d, "pages"))
+
+
+@query("""WITH a AS (SELECT page_id, url, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?is)<a [^>]*>.*?</a>') AS found FROM pages),
+  l AS (SELECT page_id, url, i - 1 AS position, regexp_extract(found[i], '(?is)\shref="([^"]*)"', 1) AS href, trim(regexp_replace(found[i], '(?is)<[^>]*>', '', 'g')) AS text FROM (SELECT page_id, url, list_filter(found, lambda x: NOT regexp_matches(x, 'href="(#|")')) AS found, unnest(range(1, len(list_filter(found, lambda x: NOT regexp_matches(x, 'href="(#|")'))) + 1)) AS i FROM a))
+  SELECT page_id, position, href, replace(text, '&amp;', '&')[1:100] AS text, regexp_extract(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) IN ('', regexp_extract(url, '//([^/?#]*)', 1)) AS is_internal FROM l WHERE position < 100""")
 def html_links(spark, d):
-    return html.extracted(tables.table(spark, d, "pages")).select("page_id", F.posexplode("links").alias("position", "link")).select("page_id", "position", "link.*")
+    return html.links(tables.table(spark, d, "pages")).withColumn("position", F.col("position").cast("long"))
+
+
+@query()
+def html_headings(spark, d):
+    return html.headings(tables.table(spark, d, "pages"))
 
 
 @query()
 def html_text(spark, d):
-    return html.extracted(tables.table(spark, d, "pages")).select("page_id", T.clean(F.col("text")).alias("text"))
+    return html.texts(tables.table(spark, d, "pages")).select("page_id", T.clean(F.col("text")).alias("text"))
 
 
 @query()
