@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -12,37 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that one step of a vectorised operator holds at once (one longer text is a step of its own).
-SLICE_BYTES = 2 << 20
+from ..sources.shared import discarded, shared_dir, written
 
+__all__ = ["discarded", "shared_dir", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a new local one; a cluster is refused."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        if not re.match(r"local($|\[)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='quill-')}"
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df cut from its lineage: written as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discarded(*tables: DataFrame) -> None:
-    """Deletes tables that `written` made, once all that was derived from them is written too."""
-    for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+#: Text bytes that one step of a vectorised operator holds at once (one longer text is a step of its own).
+SLICE_BYTES = 2 << 20
 
 
 def inner(docs: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quillspark.llm import bpe, common, components, decontaminate, langid, licenses, ngram_join, pii, quality, sharding, token_counts, toxicity
+from quillspark.llm import bpe, common, components, decontaminate, langid, licenses, ngram_join, pii, quality, queries, sharding, token_counts, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 #: Extra columns with names that operators use themselves, or that need quotes.
@@ -298,6 +299,13 @@ def test_ngram_join(spark):
     assert found == _brute_classes(rows)
 
 
+def test_ngram_join_equals_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    found = ngram_join.op5_jaccard_heavy_light(spark, folder)
+    assert sorted(map(tuple, found.collect())) == sorted(duckdb.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLE_SQL['op5_jaccard_heavy_light']})").fetchall())
+
+
 def test_ngram_join_odd(spark, odd):
     out = ngram_join.classes(odd).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in odd.collect())
