@@ -44,7 +44,7 @@ def page_of(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     ends = pages.select("doc_id", "page", F.sum(F.col("size") + 2).over(by_page.rowsBetween(Window.unboundedPreceding, 0)).alias("__at"))
     marked = chunks.withColumn("__at", F.col("start")).withColumn("__chunk", F.lit(1))
     rows = marked.unionByName(ends.withColumnRenamed("page", "__page").withColumn("__chunk", F.lit(0)), allowMissingColumns=True)
-    after = Window.partitionBy("doc_id").orderBy("__at", "__chunk").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("__at"), F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, 0)
     page = F.coalesce(F.min("__page").over(after), F.max("__page").over(Window.partitionBy("doc_id")))
     return rows.withColumn("page", page).where("__chunk = 1").select(*chunks.columns, "page")
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import constants as K
+from .shared import written
 
 META = ("description", "keywords", "author", "og_title", "og_description", "og_image")
 #: Links of a page that are kept, and characters of their text.
@@ -106,11 +107,14 @@ def _any(selectors: tuple[str, ...]) -> Column:
 def tokens(pages: DataFrame) -> DataFrame:
     """page_id, pos, token, tag, kind (open, close, text), the attributes that selectors ask for, and end: where an element's last token is (a number beyond the page if it never ends)."""
     found = F.regexp_extract_all(F.regexp_replace("html", _DROPPED, ""), F.lit(_TOKEN), F.lit(0))
-    # Dealt by page once; all windows below are inside a page and need no other exchange. (posexplode_outer, as for posexplode the planner would make the tokens twice.)
-    rows = pages.select("page_id", "html").repartition("page_id").select("page_id", F.posexplode_outer(found).alias("pos", "token")).where("token IS NOT NULL")
-    tag = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][^\s/>]*)", 1))
+    # posexplode_outer, as for posexplode the planner would make the tokens twice.
+    rows = pages.select("page_id", F.posexplode_outer(found).alias("pos", "token")).where("token IS NOT NULL")
+    # Dealt by page once: all windows below are inside a page and need no other exchange.
+    rows = rows.withColumn("tag", F.lower(F.regexp_extract("token", r"^</?([A-Za-z][^\s/>]*)", 1)))
+    # (By number, as the planner would put a small table into one task.)
+    rows = rows.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
     kind = F.when(F.col("token").rlike("^<[!?]"), "none").when(F.col("tag") == "", "text").when(F.col("token").startswith("</"), "close").otherwise("open")
-    rows = rows.withColumn("tag", tag).withColumn("kind", kind).where("kind <> 'none'")
+    rows = rows.withColumn("kind", kind).where("kind <> 'none'")
     single = F.col("tag").isin(*_VOID) | F.col("token").endswith("/>")
     step = F.when((F.col("kind") == "open") & ~single, 1).when(F.col("kind") == "close", -1).otherwise(0)
     opened = F.col("kind") == "open"
@@ -134,7 +138,7 @@ def tokens(pages: DataFrame) -> DataFrame:
     ordered = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     depth = F.sum(F.when(F.col("own").isNotNull(), 1).when(F.col("closes"), -1).otherwise(0)).over(ordered)
     rows = rows.withColumn("depth", depth + F.when(F.col("closes"), 1).otherwise(0))
-    around = Window.partitionBy("page_id", "depth").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    around = Window.partitionBy("page_id", "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, as frames to the end of a partition are made anew for each row
     outer = F.coalesce(F.min(F.when(F.col("closes"), F.col("pos"))).over(around), F.lit(1 << 30))
     end = F.when(F.col("step") == 1, F.coalesce("own", outer)).when(opened, F.col("pos"))
     return rows.select("page_id", "pos", "token", "tag", "kind", "id", "classes", "role", end.alias("end"))
@@ -180,22 +184,24 @@ def texts(pages: DataFrame) -> DataFrame:
     rows = _content(pages)
     # The container: of the first selector whose first element has text, else the body, else the page.
     opened = F.col("kind") == "open"
-    firsts = rows.where(opened).groupBy("page_id").agg(*(F.min(F.when(_matches(s), F.struct("pos", "end"))).alias(f"c{i}") for i, s in enumerate((*K.CONTAINERS, "body"))))
-    inside = lambda c: (F.col("pos") > F.col(f"{c}.pos")) & (F.col("pos") < F.col(f"{c}.end"))
     names = [f"c{i}" for i in range(len(K.CONTAINERS) + 1)]
     page = Window.partitionBy("page_id")
-    rows = rows.join(firsts, "page_id", "left")
-    filled = lambda c: F.max(F.when(inside(c) & (flat(F.col("text")) != ""), 1)).over(page)
+    for name, selector in zip(names, (*K.CONTAINERS, "body"), strict=True):
+        rows = rows.withColumn(name, F.min(F.when(opened & _matches(selector), F.struct("pos", "end"))).over(page))
+    inside = lambda c: (F.col("pos") > F.col(f"{c}.pos")) & (F.col("pos") < F.col(f"{c}.end"))
+    has_text = rows.withColumn("has", flat(F.col("text")) != "")
+    filled = lambda c: F.max(F.when(F.col("has") & inside(c), 1)).over(page)
     chosen = F.coalesce(*(F.when(filled(c) == 1, F.col(c)) for c in names[:-1]), F.col(names[-1]), F.struct(F.lit(-1).alias("pos"), F.lit(1 << 30).alias("end")))
-    rows = rows.withColumn("c", chosen).drop(*names).where(inside("c"))
+    rows = has_text.withColumn("c", chosen).drop(*names, "has", "id", "classes", "role", "token").where(inside("c"))
 
     before = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_block = opened & F.col("tag").isin(*K.BLOCKS)
-    rows = rows.withColumn("next", F.min(F.when(is_block, F.col("pos"))).over(page.orderBy("pos").rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("next", F.min(F.when(is_block, F.col("pos"))).over(page.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)))
     leaf = F.coalesce(F.col("next") > F.col("end"), F.lit(True))
     rows = rows.withColumn("block", F.last(F.when(is_block, F.struct("pos", "end", "tag", leaf.alias("leaf"))), ignorenulls=True).over(before))
     cell = F.last(F.when(opened & F.col("tag").isin("th", "td"), F.struct("pos", "end")), ignorenulls=True).over(before)
-    rows = rows.withColumn("cell", cell).where("text IS NOT NULL")
+    rows = rows.withColumn("cell", cell).where("text IS NOT NULL").select("page_id", "pos", "text", "block", "cell")
+    rows = written(rows, "page-texts")  # summed up twice below, by blocks and as a whole
     in_block = (F.col("block.end") > F.col("pos")) & F.col("block.leaf")
     in_cell = F.when(F.col("block.tag") == "tr", F.when((F.col("cell.pos") > F.col("block.pos")) & (F.col("cell.end") > F.col("pos")), F.col("cell.pos"))).otherwise(F.lit(-1))
     joined = lambda c, mark: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("x")))), lambda v: v["x"]), mark)
