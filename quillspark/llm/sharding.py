@@ -29,6 +29,8 @@ from .common import documents, written
 SHARDS = 40
 #: Bits of each of the three dimensions; rows that a bucket of a cell has on average at most.
 BITS, BUCKET_ROWS = 4, 100_000
+#: A cell's first buckets are smaller, so that a small table's largest cell is spread too: one for so many rows, up to so many.
+FIRST_ROWS, FIRST_BUCKETS = 500, 255
 
 
 def hilbert_index(point: list[int], bits: int) -> int:
@@ -78,7 +80,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = written(rows, "shard-rows")  # read again below; without texts
     # At most 2 ** (3 * BITS) cells: small enough to broadcast and for one window at every size.
     cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    of = rows.join(F.broadcast(cells.select("cell", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))), "cell")
+    of = rows.join(F.broadcast(cells.select("cell", (F.ceil(F.col("n") / BUCKET_ROWS) + F.least(F.lit(FIRST_BUCKETS), F.floor(F.col("n") / FIRST_ROWS))).alias("buckets"))), "cell")
     rows = of.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("buckets")).cast("int")).drop("buckets")
     counts = rows.groupBy("cell", "bucket").agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(F.lit(0))
