@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,18 @@ class Scanner:
     def __init__(self, phrases: dict[str, str] | None = None, notices: tuple = NOTICES):
         self.phrases = [(f" {p} ", label) for p, label in (phrases or PHRASES).items()]
         # (?e) finds the next match and improves it; (?b) then takes the best one inside its bounds, but would skip to a later one outside them.
-        self.notices = [(n, label, e, parts(n, e), *(regex.compile(rf"(?{f})(?:{regex.escape(n)}){{e<={e}}}") for f in "eb")) for n, label, e in notices]
+        self.notices = [(n, label, e, *(regex.compile(rf"(?{f})(?:{regex.escape(n)}){{e<={e}}}") for f in "eb")) for n, label, e in notices]
+
+        # For each seed, from its last character: where the window of each notice that it is a part of begins and ends.
+        seeds: dict[str, list[tuple[int, int, int]]] = {}
+        for k, (n, _, e) in enumerate(notices):
+            for offset, seed in parts(n, e):
+                start = 1 - len(seed) - offset
+                seeds.setdefault(seed, []).append((k, start - e - 1, start + len(n) + e + 1))
+        self.seeds = ahocorasick.Automaton()
+        for seed, windows in seeds.items():
+            self.seeds.add_word(seed, windows)
+        self.seeds.make_automaton()
 
     def places(self, words: str) -> list[tuple[int, int, str]]:
         """First word, last word and label of each phrase."""
@@ -90,7 +102,7 @@ class Scanner:
 
     def matches(self, words: str, notice: int, windows: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
         """Start, end and errors of a notice's matches inside windows (the whole text), one after the other."""
-        following, best = self.notices[notice][4:]
+        following, best = self.notices[notice][3:]
         out = []
         for a, b in windows or [(0, len(words))]:
             while m := following.search(words, a, b):
@@ -99,16 +111,13 @@ class Scanner:
                 a = max(m.end(), a + 1)
         return out
 
-    def windows(self, words: str, notice: int) -> list[tuple[int, int]]:
-        """Where a notice can stand: around each part of it that stands unchanged."""
-        text, _, errors, seeds = self.notices[notice][:4]
-        spans = []
-        for offset, seed in seeds:
-            at = words.find(seed)
-            while at >= 0:
-                spans.append((max(0, at - offset - errors - 1), at - offset + len(text) + errors + 1))
-                at = words.find(seed, at + 1)
-        return _joined(spans)
+    def windows(self, words: str) -> dict[int, list[tuple[int, int]]]:
+        """Where each notice can stand: around each part of it that stands unchanged. One pass finds the parts of all notices."""
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for last, found in self.seeds.iter(words):
+            for k, start, stop in found:
+                spans.setdefault(k, []).append((max(0, last + start), last + stop))
+        return {k: _joined(x) for k, x in spans.items()}
 
     def fuzzy(self, words: str) -> list[tuple[int, int, str, int, float]]:
         """First word, last word, label, errors and similarity of each notice found with errors or without.
@@ -116,9 +125,9 @@ class Scanner:
         Of overlapping finds of one label the most similar one counts, then the longest, then the first.
         """
         found = []
-        for k, (notice, label, *_) in enumerate(self.notices):
-            if windows := self.windows(words, k):
-                found += [(-(1 - wrong / len(notice)), a - b, a, b, label, wrong) for a, b, wrong in self.matches(words, k, windows)]
+        for k, windows in self.windows(words).items():
+            notice, label = self.notices[k][:2]
+            found += [(-(1 - wrong / len(notice)), a - b, a, b, label, wrong) for a, b, wrong in self.matches(words, k, windows)]
         taken: dict[str, list[tuple[int, int]]] = {}
         out = []
         for score, _, a, b, label, wrong in sorted(found):
