@@ -92,9 +92,9 @@ def leading_sentences(text: Column, most: int = K.BULLETS) -> Column:
 
 def sentences(text: Column) -> Column:
     """CJK terminators end a sentence with the closing marks after them; Latin ones before white space only, abbreviations and single capitals aside."""
-    guarded = F.regexp_replace(text, rf"\b({'|'.join(K.ABBREVIATIONS)})\.|\b([A-Z])\.", "$1$2\x01")
+    guarded = F.regexp_replace(text, rf"(?U)\b({'|'.join(K.ABBREVIATIONS)})\.|\b([A-Z])\.", "$1$2\x01")
     closing = "".join("\\" + c if c in "]\"'" else c for c in K.CLOSING_MARKS)
-    marked = F.regexp_replace(guarded, rf"([{K.CJK_TERMINATORS}]+[{closing}]*|[{K.LATIN_TERMINATORS}](?=\s|$))", "$1\x02")
+    marked = F.regexp_replace(guarded, rf"(?U)([{K.CJK_TERMINATORS}]+[{closing}]*|[{K.LATIN_TERMINATORS}](?=\s|$))", "$1\x02")
     parts = F.transform(F.split(marked, "\x02"), lambda s: F.regexp_replace(F.translate(s, "\x01", "."), r"(?U)^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 

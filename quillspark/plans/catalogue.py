@@ -587,7 +587,7 @@ def html_metadata(spark, d):
 
 
 @query("""WITH a AS (SELECT page_id, url, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?is)<a [^>]*>.*?</a>') AS found FROM pages),
-  l AS (SELECT page_id, url, i - 1 AS position, regexp_extract(found[i], '(?is)\shref="([^"]*)"', 1) AS href, trim(regexp_replace(found[i], '(?is)<[^>]*>', '', 'g')) AS text FROM (SELECT page_id, url, list_filter(found, lambda x: NOT regexp_matches(x, 'href="(#|")')) AS found, unnest(range(1, len(list_filter(found, lambda x: NOT regexp_matches(x, 'href="(#|")'))) + 1)) AS i FROM a))
+  l AS (SELECT page_id, url, i - 1 AS position, regexp_extract(found[i], '(?is)\\shref="([^"]*)"', 1) AS href, trim(regexp_replace(found[i], '(?is)<[^>]*>', '', 'g')) AS text FROM (SELECT page_id, url, list_filter(found, lambda x: NOT regexp_matches(x, 'href="(#|")')) AS found, unnest(range(1, len(list_filter(found, lambda x: NOT regexp_matches(x, 'href="(#|")'))) + 1)) AS i FROM a))
   SELECT page_id, position, href, replace(text, '&amp;', '&')[1:100] AS text, regexp_extract(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) IN ('', regexp_extract(url, '//([^/?#]*)', 1)) AS is_internal FROM l WHERE position < 100""")
 def html_links(spark, d):
     return html.links(tables.table(spark, d, "pages")).withColumn("position", F.col("position").cast("long"))

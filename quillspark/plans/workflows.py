@@ -79,10 +79,11 @@ def source_dispatch(spark, d):
     return upkeep.dispatched(docs, _chunks(spark, d)).withColumn("line", F.col("line").cast("long"))
 
 
-_NO_END = "\\b(" + "|".join(K.ABBREVIATIONS) + ")\\.|\\b([A-Z])\\."
+_NO_END = "(^|[^\\p{L}\\p{N}_])(" + "|".join(K.ABBREVIATIONS) + "|[A-Z])\\."
+_GUARDED = f"regexp_replace(regexp_replace(text, '{_NO_END}', '\\1\\2' || chr(1), 'g'), '{_NO_END}', '\\1\\2' || chr(1), 'g')"  # twice, as a mark ends one and begins the next
 
 
-@query(f"SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '{_NO_END}', '\\1\\2' || chr(1), 'g'), '([.!?])(\\s|$)', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'), ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS sentences FROM documents")
+@query(f"SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_GUARDED}, '([.!?])(\\s|$)', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'), ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS sentences FROM documents")
 def sentence_split(spark, d):
     return tables.spread(_docs(spark, d)).select("doc_id", T.sentences(F.col("text")).alias("sentences"))
 
