@@ -576,7 +576,17 @@ def markdown_to_speech(spark, d):
     return _docs(spark, d).select("doc_id", T.speech(F.col("text")).alias("spoken"))
 
 
-@query("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages")
+def _read(text: str) -> str:
+    """SQL: the character references of the pages replaced; as in HTML their last semicolon may be missing."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{char}', 'g')"
+    return text
+
+
+_TITLE = _read("regexp_extract(html, '<title>(.*?)</title>', 1)")
+
+
+@query(f"SELECT page_id, trim({_TITLE}) AS title FROM pages")
 def html_title(spark, d):
     return html.metadata(tables.table(spark, d, "pages")).select("page_id", F.coalesce("title", F.lit("")).alias("title"))
 
@@ -584,7 +594,7 @@ def html_title(spark, d):
 _META = ", ".join(f"""nullif(regexp_extract(html, '(?is)<meta[^>]*\\s(?:name|property)="{n.replace("_", ":")}"[^>]*\\scontent="([^"]*)"', 1), '') AS {n}""" for n in html.META)
 
 
-@query(f"""SELECT page_id, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')), '') AS title, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS domain, {_META} FROM pages""")
+@query(f"""SELECT page_id, nullif(trim({_TITLE}), '') AS title, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS domain, {_META} FROM pages""")
 def html_metadata(spark, d):
     return html.metadata(tables.table(spark, d, "pages"))
 
@@ -603,7 +613,7 @@ _TAGS = "|".join(t for t in K.PRUNED if t.isalpha())
   tok AS (SELECT page_id, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM cut),
   placed AS (SELECT *, sum(CASE WHEN regexp_matches(token, '^<({_TAGS})[ >]') THEN 1 WHEN regexp_matches(token, '^</({_TAGS})>') THEN -1 ELSE 0 END) OVER w AS pruned, last_value(CASE WHEN regexp_matches(token, '^</?h[1-6][ >]') THEN pos END IGNORE NULLS) OVER w AS mark FROM tok WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
   heads AS (SELECT p.page_id, p.mark AS pos, h.token[3]::INT AS level, 'h' || h.token[3] AS tag, trim(regexp_replace(string_agg(p.token, '' ORDER BY p.pos), '\\s+', ' ', 'g')) AS text FROM placed p JOIN tok h ON h.page_id = p.page_id AND h.pos = p.mark WHERE p.pruned = 0 AND p.token[1] <> '<' AND h.token[2] = 'h' GROUP BY ALL)
-  SELECT page_id, CAST(pos AS INT) AS pos, level, tag, replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS text FROM heads WHERE text <> ''""")
+  SELECT page_id, CAST(pos AS INT) AS pos, level, tag, {_read('text')} AS text FROM heads WHERE text <> ''""")
 def html_headings(spark, d):
     return html.headings(tables.table(spark, d, "pages"))
 
