@@ -44,14 +44,18 @@ def sentences(text: str) -> list[str]:
 
 def hard_split(text: str, size: int) -> list[str]:
     """Parts of at most size characters, cut at the last space or comma of each if that lies in its second half."""
-    out = []
-    while len(text) > size:
-        head = text[:size]
+    out, at, end = [], 0, len(text)
+    while end - at > size:  # by places, as copies of the rest would take the square of a long line
+        head = text[at : at + size]
         cut = max(head.rfind(c) for c in " ，,")
         cut = size if cut < size // 2 else cut
-        out.append(text[:cut].strip())
-        text = text[cut:].strip()
-    return [x for x in [*out, text] if x]
+        out.append(head[:cut].strip())
+        at += cut
+        while at < end and text[at].isspace():
+            at += 1
+        while end > at and text[end - 1].isspace():
+            end -= 1
+    return [x for x in [*out, text[at:end]] if x]
 
 
 def blocks(text: str) -> Iterator[Piece]:
