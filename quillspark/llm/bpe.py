@@ -127,12 +127,10 @@ class MonoidBpe:
             ids = known[data] = self.join(self.piece(data[:half], known), self.piece(data[half:], known))
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
+    def _encoded(self, text: str | None) -> Iterator[list[int]]:
+        """The encodings of a text's pieces."""
         pieces = self.pieces
-        for x in self.pattern.findall(text):
+        for x in self.pattern.findall(text) if text else ():
             ids = pieces.get(x)
             if ids is None:
                 ids = self.older.get(x) or self.piece(x.encode())
@@ -140,9 +138,17 @@ class MonoidBpe:
                     if len(pieces) >= CACHE_PIECES:
                         self.older, self.pieces = pieces, (pieces := {})
                     pieces[x] = ids
+            yield ids
+
+    def encode(self, text: str | None) -> list[int]:
+        out: list[int] = []
+        for ids in self._encoded(text):
             out += ids
         return out
 
+    def count(self, text: str | None) -> int:
+        return sum(map(len, self._encoded(text)))
+
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4096:
             return b"".join([self.token[i] for i in ids])

@@ -3,8 +3,10 @@
 A notice with at most `errors` wrong characters, split into errors + 1 parts,
 keeps one part unchanged (pigeonhole). So exact finds of the parts give every
 candidate place; around a place the regex library's bounded-error matching
-decides, and reports the span and the number of errors. Exact phrases are
-reported as they stand, by word number.
+decides, and reports the span and the number of errors. It is asked only where
+the window's edit distance (bit-parallel; windows that repeat are looked up)
+allows a match, and not inside notices of the same label that stand exactly: those are
+found as they are, and win. Exact phrases are reported as they stand, by word number.
 
 Texts are scanned whole, lower-cased (A-Z) and with words joined by one space.
 Defined results: a null or empty text has no words, no places and score 0;
@@ -14,6 +16,7 @@ are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -70,6 +73,37 @@ def words_of(text: str | None) -> list[str]:
     return text.encode().translate(_TO_WORDS).decode().split(" ") if text else []
 
 
+#: Windows whose answers a scanner keeps.
+CACHE_WINDOWS = 100_000
+
+
+class Near:
+    """Whether a text holds a notice with at most so many errors, by Myers' bit-parallel edit distance."""
+
+    def __init__(self, notice: str, errors: int):
+        self.length, self.errors = len(notice), errors
+        self.at: dict[str, int] = {}
+        for i, c in enumerate(notice):
+            self.at[c] = self.at.get(c, 0) | 1 << i
+
+    def __call__(self, text: str) -> bool:
+        every, last = (1 << self.length) - 1, 1 << self.length - 1
+        up, down, distance = every, 0, self.length
+        for c in text:
+            same = self.at.get(c, 0)
+            across = ((same & up) + up ^ up) | same
+            right, left = down | ~(across | up) & every, up & across
+            if right & last:
+                distance += 1
+            elif left & last:
+                distance -= 1
+                if distance <= self.errors:
+                    return True
+            right <<= 1
+            up, down = (left << 1 | ~(same | down | right)) & every, right & (same | down) & every
+        return False
+
+
 class Scanner:
     """Finds phrases and notices in words joined by one space, with one more before and after; windows, spans and errors are in characters."""
 
@@ -78,6 +112,8 @@ class Scanner:
         # (?e) finds the next match and improves it; (?b) then takes the best one inside its bounds, but would skip to a later one outside them.
         self.notices = [(n, label, e, *(regex.compile(rf"(?{f})(?:{regex.escape(n)}){{e<={e}}}") for f in "eb")) for n, label, e in notices]
 
+        self.near = [Near(n, e) for n, _, e in notices]
+        self.seen: list[dict[str, bool]] = [{} for _ in notices]
         # For each seed, from its last character: where the window of each notice that it is a part of begins and ends.
         seeds: dict[str, list[tuple[int, int, int]]] = {}
         for k, (n, _, e) in enumerate(notices):
@@ -91,14 +127,9 @@ class Scanner:
 
     def places(self, words: str) -> list[tuple[int, int, str]]:
         """First word, last word and label of each phrase."""
-        out = []
-        for phrase, label in self.phrases:
-            at = words.find(phrase)
-            while at >= 0:
-                first = words.count(" ", 0, at)
-                out.append((first, first + phrase.count(" ") - 2, label))
-                at = words.find(phrase, at + 1)
-        return sorted(out)
+        found = [(at, phrase.count(" ") - 2, label) for phrase, label in self.phrases for at in _finds(words, phrase, 1)]
+        spaces = _spaces(words) if found else []
+        return sorted(((first := bisect_left(spaces, at)), first + more, label) for at, more, label in found)
 
     def matches(self, words: str, notice: int, windows: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
         """Start, end and errors of a notice's matches inside windows (the whole text), one after the other."""
@@ -112,11 +143,18 @@ class Scanner:
         return out
 
     def windows(self, words: str) -> dict[int, list[tuple[int, int]]]:
-        """Where each notice can stand: around each part of it that stands unchanged. One pass finds the parts of all notices."""
+        """Where each notice stands: around each part of it that stands unchanged, where the distance allows it. One pass finds the parts of all notices."""
         spans: dict[int, list[tuple[int, int]]] = {}
         for last, found in self.seeds.iter(words):
             for k, start, stop in found:
-                spans.setdefault(k, []).append((max(0, last + start), last + stop))
+                a, b = max(0, last + start), last + stop
+                window, seen = words[a:b], self.seen[k]
+                if (hit := seen.get(window)) is None:
+                    if len(seen) >= CACHE_WINDOWS // len(self.near):
+                        seen.clear()
+                    hit = seen[window] = self.near[k](window)
+                if hit:
+                    spans.setdefault(k, []).append((a, b))
         return {k: _joined(x) for k, x in spans.items()}
 
     def fuzzy(self, words: str) -> list[tuple[int, int, str, int, float]]:
@@ -124,21 +162,56 @@ class Scanner:
 
         Of overlapping finds of one label the most similar one counts, then the longest, then the first.
         """
-        found = []
-        for k, windows in self.windows(words).items():
+        windows = self.windows(words)
+        found, exact = [], {}
+        for k in windows:
             notice, label = self.notices[k][:2]
-            found += [(-(1 - wrong / len(notice)), a - b, a, b, label, wrong) for a, b, wrong in self.matches(words, k, windows)]
+            spans = [(at, at + len(notice)) for at in _finds(words, notice, len(notice))]
+            exact.setdefault(label, []).extend(spans)
+            found += [(-1.0, a - b, a, b, label, 0) for a, b in spans]
+        exact = {label: _joined(spans) for label, spans in exact.items()}
+        for k, spans in windows.items():
+            notice, label, errors = self.notices[k][:3]
+            free = [(a, b) for a, b in _without(spans, exact[label]) if b - a >= len(notice) - errors]
+            found += [(-(1 - wrong / len(notice)), a - b, a, b, label, wrong) for a, b, wrong in self.matches(words, k, free)] if free else []
+        spaces = _spaces(words) if found else []
         taken: dict[str, list[tuple[int, int]]] = {}
         out = []
         for score, _, a, b, label, wrong in sorted(found):
             spans = taken.setdefault(label, [])
-            if all(b <= x or a >= y for x, y in spans):
-                spans.append((a, b))
-                first = max(0, words.count(" ", 0, a + 1) - 1 + (words[a] == " ") * (a > 0))
+            at = bisect_left(spans, (a, b))
+            if (at == 0 or spans[at - 1][1] <= a) and (at == len(spans) or spans[at][0] >= b):
+                spans.insert(at, (a, b))
+                first = max(0, bisect_left(spaces, a + 1) - 1 + (words[a] == " ") * (a > 0))
                 out.append((first, first + words[a:b].strip().count(" "), label, wrong, -score))
         return sorted(out)
 
 
+def _finds(text: str, what: str, step: int) -> Iterator[int]:
+    at = text.find(what)
+    while at >= 0:
+        yield at
+        at = text.find(what, at + step)
+
+
+def _spaces(words: str) -> list[int]:
+    return [m.start() for m in regex.finditer(" ", words)]
+
+
+def _without(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of spans without those taken (both joined, in order)."""
+    for a, b in spans:
+        k = max(0, bisect_right(taken, (a, a)) - 1)
+        while k < len(taken) and taken[k][0] < b:
+            if taken[k][1] > a:
+                if taken[k][0] > a:
+                    yield a, taken[k][0]
+                a = taken[k][1]
+            k += 1
+        if a < b:
+            yield a, b
+
+
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(set(spans)):

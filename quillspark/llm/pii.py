@@ -43,15 +43,18 @@ from .common import documents, inner, slices
 #: Key of the registered queries; a real one comes from a secret store.
 KEY = b"quillspark registered queries"
 ROUNDS = 8
+#: Digits and letters that are permuted together at most.
+MOST_PLACES = 96
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FIRST, _LAST = date(1900, 1, 1), date(2099, 12, 31)
 
-#: What is looked for. A match is replaced only if its kind's check accepts it.
+#: Mail addresses, each run of characters before an @ read once (a search from every place of a run would take its length squared).
+_EMAIL = regex.compile(r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: What else is looked for. A match is replaced only if its kind's check accepts it.
 PATTERN = regex.compile(
     r"""
-    (?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-    |(?P<secret>(?<=password=)[^\s"']+|\bAKIA[0-9A-Z]{16}\b|\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}\b)
+    (?P<secret>(?<=password=)[^\s"']+|\bAKIA[0-9A-Z]{16}\b|\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}\b)
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
     |(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))
     |(?P<date>(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]))
@@ -91,6 +94,9 @@ def permuted(key: bytes, tweak: str, value: int, size: int, back: bool = False)
 def _replaced(key: bytes, kind: str, text: str, back: bool, keep: Callable[[int], bool] = lambda i: False) -> str:
     """Each digit and ASCII letter (but the kept places) permuted together, in its own class; the rest stays."""
     places = [(i, a) for i, c in enumerate(text) if not keep(i) for a in ("0123456789", _LOWER, _UPPER) if c in a]
+    if len(places) > MOST_PLACES:  # parts of a long value are permuted one by one, each in its own way
+        cuts = [0, *(i for i, _ in places[MOST_PLACES::MOST_PLACES]), len(text)]
+        return "".join(_replaced(key, f"{kind}:{k}", text[a:b], back, lambda i, a=a: keep(a + i)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
     value, size = 0, 1
     for i, a in places:
         value, size = value * len(a) + a.index(text[i]), size * len(a)
@@ -249,10 +255,27 @@ def _tried(text: str, m: regex.Match) -> Iterator[tuple[str, int]]:
     yield from (("card", e) for e in cut if _GROUPS.fullmatch(text, start, e))
 
 
+def _mail(text: str, at: int) -> tuple[int, int, int] | None:
+    """Start, place of the @ and end of the next mail address."""
+    m = _EMAIL.search(text, at)
+    return m and (m.start(), text.index("@", m.start()), m.end())
+
+
 def _values(text: str, key: bytes, back: bool) -> list[tuple[int, int, str, str]]:
-    """Start, end, kind and pseudonym of the values, by start."""
+    """Start, end, kind and pseudonym of the values, by start. A mail address is the first kind; one whose beginning is used up begins behind that."""
     out, left, at = [], [], 0
-    while m := PATTERN.search(text, at):
+    mail, m = _mail(text, 0), PATTERN.search(text)
+    while mail or m:
+        if m and m.start() < at:
+            m = PATTERN.search(text, at)
+        if mail and mail[1] <= at:  # its part before the @ is used up
+            mail = _mail(text, at)
+        if mail and (not m or max(at, mail[0]) <= m.start()):
+            start, at = max(at, mail[0]), mail[2]
+            out.append((start, at, "email", _email(key, text[start:at], back)))
+            continue
+        if not m:
+            break
         start = m.start()
         for kind, end in _tried(text, m):
             if (new := KINDS[kind](key, text[start:end], back)) is not None:
