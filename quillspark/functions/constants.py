@@ -73,8 +73,8 @@ NFKC_STABLE = (
     "\\x00-\\x9f\\xa1-\\xa7\\xa9\\xab-\\xae\\xb0\\xb1\\xb6\\xb7\\xbb\\xbf-\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u0391-\\u03a1\\u03a3-\\u03c1\\u03c3-\\u03c9"
     "\\u0400-\\u0481\\u048a-\\u04ff\\u2013-\\u2015\\u2018-\\u2022\\u20ac\\u3001-\\u3003\\u3008-\\u3011\\u3041-\\u3096\\u30a1-\\u30fa\\u30fc\\u4e00-\\u9fff\\uac00-\\ud7a3"
 )
-# Markdown that isn't spoken: fenced and inline code, links and images, marks at the start of a line (heading, quote, list), emphasis, rules, pipes and addresses.
-FENCE, CODE, LABELLED = r"(?s)```.*?```", "`([^`]*)`", r"!?\[([^\]]*)\]\([^)]*\)"
+# Markdown that isn't spoken: fenced and inline code, links and images, marks at the start of a line (heading, quote, list), emphasis, rules, pipes and addresses.
+FENCE, CODE, LABELLED = r"(?s)```.*?```", "`([^`]*)`", r"!?\[([^\[\]]*)\]\([^)]*\)"
 LINE_MARKS = r"^(?:\s{0,3}#{1,6}\s*)?(?:\s{0,3}>\s?)?(?:\s*[-*+]\s+)?"
 EMPHASIS = r"\*\*(.*?)\*\*|__(.*?)__|\*(.*?)\*|_(.*?)_"
 RULE, UNSPOKEN = r"^\s*(?:[-*_]\s*){3,}$", r"\||https?://\S+"

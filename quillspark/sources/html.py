@@ -25,7 +25,8 @@ META = ("description", "keywords", "author", "og_title", "og_description", "og_i
 #: Links of a page that are kept, and characters of their text.
 MOST_LINKS, LINK_TEXT = 100, 100
 
-_DROPPED = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+#: What never ends goes on to the end of the page.
+_DROPPED = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
 _INSIDE = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = rf"(?is)</?[a-z]{_INSIDE}>|<[!?][^>]*>|[^<]+|<"
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
