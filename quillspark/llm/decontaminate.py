@@ -1,28 +1,35 @@
 """Benchmark decontamination under edit distance.
 
 Texts and benchmark items are sequences of words (letters and digits, A-Z as
-a-z). A CGK random walk maps a sequence to a longer one: at step j it writes
-the word it stands on and moves on by a random bit of (j, word). So equal
-sequences have equal walks, and a walk of j steps has read j words at most.
-
-An item with at most e edits, cut into e + 1 pieces, keeps one piece unchanged
-(pigeonhole). A walk starts at each piece of an item, wherever it lies in the
-item, and goes on until it leaves the piece: by then it has read all its words.
-A place of the text where the walk agrees with a piece's makes the item a
-candidate, with its start moved back by the piece's offset. So no item within
-its edits is missed, at whichever end or places they are. Every candidate is
-verified: the item must be within `MOST_EDITS` of its words (edit distance) of
-some window of the text.
-
-All places of a slice of texts walk at once in numpy, and a place leaves as
-soon as its next step agrees with no piece, so few walk far.
+a-z). A CGK random walk embeds a sequence in a longer one: at step j it writes
+the word it stands on and moves on by a random bit of (j, word). Two sequences
+of small edit distance have walks of small Hamming distance: behind an edit
+the two walks drift by a random step or none until they stand on the same word
+again, and then write the same words up to the next edit.
+
+Hamming distance is searched by bit sampling: `WALKS` walks go over an item and
+over every window of the text that could hold it, and of each walk `SAMPLES` keys
+are taken, each a hash of the words that the walk writes at `BITS` steps. Steps are
+sampled within random stretches of the walk, so that some keys lie before an edit,
+some behind it, wherever the edits are. A window and an item that agree in a key
+are a candidate. Items are embedded by classes of like length, whose walks end
+where the shortest of them may end; a window begins at any word, and goes on behind
+the item's length (padding: what stands there is not sampled). The figures are chosen
+for a recall of 0.99 at the most edits allowed, wherever they are (measured in
+tests/llm). Every candidate is verified: the item must be within `MOST_EDITS` of its
+words (edit distance) of some window of the text.
+
+Most windows hold no item: an item with e edits keeps all but 2 e of its pairs of
+neighbouring words, so only windows with that many pairs of the benchmark are
+walked over. The pairs are counted by sums over the whole text; none is missed.
 
 The benchmark is small beside the corpus; it is read in blocks of `BLOCK_ITEMS`
 items, each of which goes over the corpus in the closure of the tasks.
 
 Defined results: null and empty texts, and items without a word, match nothing;
-items of fewer than `SHORTEST` words must occur exactly; equal items all match;
-repeated rows match each; other columns of docs are kept by `clean` and not read.
+items of fewer than `SHORTEST` words must occur exactly (and are all found, as
+equal windows have equal walks); equal items all match; repeated rows match each;
+other columns of docs are kept by `clean` and not read.
 """
 
 from __future__ import annotations
@@ -40,29 +47,125 @@ from .common import documents, hashed_words, inner, mixed, shared_dir, slices, t
 
 #: Share of an item's words that may be edited (inserted, deleted or replaced).
 MOST_EDITS = 0.2
-#: Steps of a walk at most; a walk that still stands in its piece then stops there. A step's bit is one of 64.
-STEPS = 48
 #: Items shorter than this many words get no edits.
 SHORTEST = 8
-BLOCK_ITEMS = 5_000
+#: Walks, keys of each, and steps of a key.
+WALKS, SAMPLES, BITS = 6, 16, 3
+#: Lengths of a class differ by this factor at most; a walk moves on every second step, and is sampled while an item of the class is sure to last.
+CLASS, STEPS_PER_WORD = 1.15, 1.7
+#: Places of the table of word pairs for each pair in it (a power of two at most twice as large), and places at most.
+PAIR_PLACES, MOST_PLACES = 64, 1 << 24
+#: Windows that are walked over at a time.
+STEP_WINDOWS = 1 << 16
+BLOCK_ITEMS = 10_000
 #: Ids of documents with a find up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 _IS_WORD = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
 
-def _bits(words: np.ndarray) -> np.ndarray:
-    """For each word its random bits, one for each step of a walk."""
-    return mixed(words ^ np.uint64(0xA24BAED4963EE407))
-
-
-def _moved(bits: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """Where walks stand after `step`."""
-    return at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(at.dtype)
+def most_edits(length: int) -> int:
+    return int(MOST_EDITS * length) if length >= SHORTEST else 0
+
+
+def class_of(length: int) -> int:
+    """The least length of the class that a length belongs to."""
+    least = min(length, SHORTEST)
+    while length >= SHORTEST and (longer := max(least + 1, int(CLASS * least))) <= length:
+        least = longer
+    return least
+
+
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next one."""
+    return mixed(words[:-1] * np.uint64(3) + mixed(words[1:]))
+
+
+class Embedding:
+    """CGK walks over sequences of a class of lengths, and the keys sampled from them."""
+
+    def __init__(self, shortest: int):
+        self.steps = max(1, int(STEPS_PER_WORD * shortest))
+        chance = np.random.default_rng(shortest)
+        self.seeds = mixed(np.arange(1, WALKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        # For each walk and key the sampled steps, drawn from a random stretch of the walk.
+        self.sampled = np.zeros((WALKS, SAMPLES, BITS), np.int64)
+        for key in self.sampled.reshape(-1, BITS):
+            length = int(chance.integers(min(BITS, self.steps), self.steps, endpoint=True))
+            start = int(chance.integers(0, self.steps - length, endpoint=True))
+            key[:] = np.sort(chance.choice(length, BITS, replace=length < BITS)) + start
+
+    def walks(self, words: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """For each walk the words it writes (steps x starts); words must go on behind the last start for as many steps."""
+        for seed in self.seeds:
+            at, written_words = starts.copy(), np.empty((self.steps, len(starts)), np.uint64)
+            for step in range(self.steps):
+                written_words[step] = words[at]
+                if step % 64 == 0:  # each word's bits for the next 64 steps
+                    bits = mixed(words ^ (seed + np.uint64(step)))
+                at += ((bits[at] >> np.uint64(step % 64)) & np.uint64(1)).astype(at.dtype)
+            yield written_words
+
+    def keys(self, words: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """For each walk and sample the keys of all starts; keys of different samples differ."""
+        number = 0
+        for walk, written_words in enumerate(self.walks(words, starts)):
+            for steps in self.sampled[walk]:
+                number += 1
+                key = np.full(len(starts), number, np.uint64)
+                for step in steps:
+                    key = mixed(key * np.uint64(5) + written_words[step])
+                yield key
+
+
+def _gathered(words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the windows of a length from these starts (ascending) on, overlapping windows joined, and where they start there."""
+    first = np.flatnonzero(np.diff(starts, prepend=starts[0] - length - 1) > length)
+    begins, ends = starts[first], np.append(starts[first[1:] - 1], starts[-1]) + length
+    moved = np.concatenate(([0], np.cumsum(ends - begins)[:-1])) - begins
+    return np.concatenate([words[a:b] for a, b in zip(begins, ends, strict=True)]), starts + np.repeat(moved, np.diff(np.append(first, len(starts))))
+
+
+class LengthClass:
+    """Items of like length: the keys of their walks, and what a window needs to be walked over."""
+
+    def __init__(self, numbers: list[int], items: list[np.ndarray], shortest: int):
+        self.numbers = np.array(numbers)
+        self.embedding = Embedding(shortest)
+        self.window = max(len(items[k]) + most_edits(len(items[k])) for k in numbers) - 1  # pairs of the longest window
+        self.pairs = min(len(items[k]) - 1 - 2 * most_edits(len(items[k])) for k in numbers)
+        self.first = np.unique([items[k][0] for k in numbers]) if len(items[numbers[0]]) < SHORTEST else None
+        ends = np.cumsum([len(items[k]) for k in numbers])
+        flat = np.concatenate([*(items[k] for k in numbers), np.zeros(self.embedding.steps + 1, np.uint64)])
+        made = np.stack(list(self.embedding.keys(flat, np.concatenate(([0], ends[:-1])))))
+        order = np.argsort(made, axis=None, kind="stable")
+        self.sorted_keys, self.owner = made.ravel()[order], (order % len(numbers)).astype(np.int32)
+
+    def windows(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Where windows begin that hold as many pairs of the benchmark as an item keeps (pairs: how many stand before each word)."""
+        last = np.minimum(np.arange(len(words)) + self.window, len(pairs) - 1)
+        found = pairs[last] - pairs[: len(words)] >= self.pairs
+        if self.first is not None:  # no edits: the first word stands as it is
+            found &= np.isin(words, self.first)
+        return np.flatnonzero(found)
+
+    def candidates(self, padded: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
+        """(start, item) of the windows that agree with an item in a key."""
+        out: set[tuple[int, int]] = set()
+        for k in range(0, len(starts), STEP_WINDOWS):
+            some = starts[k : k + STEP_WINDOWS]
+            for key in self.embedding.keys(*_gathered(padded, some, self.embedding.steps + 1)):
+                low = np.searchsorted(self.sorted_keys, key)
+                hit = np.flatnonzero(self.sorted_keys[np.minimum(low, len(self.sorted_keys) - 1)] == key)
+                if len(hit):
+                    high = np.searchsorted(self.sorted_keys, key[hit], side="right")
+                    for start, a, b in zip(some[hit].tolist(), low[hit].tolist(), high.tolist(), strict=True):
+                        out.update((start, n) for n in self.numbers[self.owner[a:b]].tolist())
+        return out
 
 
 class Items:
-    """A block of benchmark items with the tables of their pieces' walks."""
+    """A block of benchmark items with the keys of their walks."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         column = pa.array([t for _, t in rows], pa.string())
@@ -72,52 +175,29 @@ class Items:
             if firsts[k + 1] > firsts[k]:
                 self.ids.append(item)
                 self.words.append(words[firsts[k] : firsts[k + 1]])
-        self.edits = [int(MOST_EDITS * len(w)) if len(w) >= SHORTEST else 0 for w in self.words]
+        self.edits = [most_edits(len(w)) for w in self.words]
         self.kinds = [np.unique(w) for w in self.words]
-        # Pieces: item, offset in it, and first and last place (exclusive) among the words of all items.
-        pieces, base = [], 0
+        classes: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
-            cuts = [len(w) * j // (self.edits[k] + 1) for j in range(self.edits[k] + 2)]
-            pieces += [(k, c, base + c, base + d) for c, d in zip(cuts, cuts[1:], strict=False)]
-            base += len(w)
-        # For each step: the signatures so far of all pieces, and (item, offset) by signature where a walk ends.
-        self.tables: list[tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = []
-        if not pieces:
-            return
-        flat = np.concatenate([*self.words, np.zeros(1, np.uint64)])
-        bits, alive = _bits(flat), np.arange(len(pieces))
-        at, end = np.array([x[2] for x in pieces]), np.array([x[3] for x in pieces])
-        key = np.zeros(len(pieces), np.uint64)
-        for step in range(STEPS):
-            key = mixed(key + flat[at])
-            after = _moved(bits, at, step)
-            inside = (after < end) & (step < STEPS - 1)
-            found: dict[int, list[tuple[int, int]]] = {}
-            for k, x in zip(alive[~inside].tolist(), key[~inside].tolist(), strict=True):
-                found.setdefault(x, []).append(pieces[k][:2])
-            self.tables.append((np.unique(key), found))
-            alive, at, end, key = alive[inside], after[inside], end[inside], key[inside]
-            if not len(alive):
-                break
-
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int, int]]:
-        """(place of a piece, item, start of the item) where a walk agrees with a piece's. A walk may leave its text; verification doesn't."""
-        out: set[tuple[int, int, int]] = set()
-        padded = np.concatenate((words, np.zeros(STEPS + 1, np.uint64)))
-        bits = _bits(padded)
-        starts = at = np.arange(len(words), dtype=np.int32)
-        key = np.zeros(len(words), np.uint64)
-        for step, (table, found) in enumerate(self.tables):
-            key = mixed(key + padded[at])
-            keep = table[np.minimum(np.searchsorted(table, key), len(table) - 1)] == key
-            starts, key, at = starts[keep], key[keep], at[keep]
-            if found and len(starts):
-                here = np.isin(key, np.array(list(found), np.uint64))
-                for s, x in zip(starts[here].tolist(), key[here].tolist(), strict=True):
-                    out.update((s, k, s - offset) for k, offset in found[x])
-            if not len(starts):
-                break
-            at = _moved(bits, at, step)
+            classes.setdefault(class_of(len(w)), []).append(k)
+        self.classes = [LengthClass(numbers, self.words, shortest) for shortest, numbers in classes.items()]
+        pairs = np.concatenate([pair_hashes(w) for w in self.words]) if self.words else np.zeros(0, np.uint64)
+        self.has_pair = np.zeros(min(MOST_PLACES, 1 << (PAIR_PLACES * len(pairs) + 1).bit_length()), bool)
+        self.has_pair[pairs & np.uint64(len(self.has_pair) - 1)] = True
+        self.padding = max((c.embedding.steps for c in self.classes), default=0) + 1
+
+    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
+        """(start, item) where a window of the words may hold an item. A walk may leave its text; verification doesn't."""
+        out: set[tuple[int, int]] = set()
+        if not len(words):
+            return out
+        before = np.zeros(len(words), np.int64)
+        np.cumsum(self.has_pair[pair_hashes(words) & np.uint64(len(self.has_pair) - 1)], out=before[1:])
+        padded = np.concatenate((words, np.zeros(self.padding, np.uint64)))
+        for c in self.classes:
+            starts = c.windows(words, before)
+            if len(starts):
+                out |= c.candidates(padded, starts)
         return out
 
     def _near(self, words: np.ndarray, a: int, b: int, item: int) -> bool:
@@ -196,8 +276,8 @@ def _leaks(docs: DataFrame, items: Items) -> DataFrame:
             if not len(words) or not items.ids:
                 continue
             starts: dict[tuple[int, int], set[int]] = {}
-            for place, item, start in items.candidates(words):
-                row = int(np.searchsorted(firsts, place, side="right")) - 1
+            for start, item in items.candidates(words):
+                row = int(np.searchsorted(firsts, start, side="right")) - 1
                 starts.setdefault((row, item), set()).add(start)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for (row, item), x in starts.items():

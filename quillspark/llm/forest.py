@@ -54,7 +54,7 @@ LEVELS = 2 + DEEPER
 #: Depths at which a region may end.
 DEPTHS = (2, 4, 6, 8, 10)
 #: A region is cut further while it has more pairs of different components than so many times its nodes.
-CROWDED = 16
+CROWDED = 4
 #: Probability to miss a partner of similarity 0.8 that a node's regions may have.
 MISSED = 1e-5
 #: Shingles that are hashed at a time.
@@ -212,7 +212,7 @@ def classes(docs: DataFrame) -> DataFrame:
     while True:
         table = written(_trees(planted), "trees")
         for step in ("first", "all", "regions"):
-            if step == "first" and forest:
+            if step != "regions" and forest:  # few nodes are left
                 continue
             if step == "first":
                 pairs = _neighbours(_placed(table.where(F.col("tree") < FIRST_TREES), None))
@@ -235,11 +235,11 @@ def classes(docs: DataFrame) -> DataFrame:
             bounds = bounds.join(again.withColumnRenamed("bound", "before"), "node").select("node", (F.col("bound") + F.col("before")).alias("bound"))
         again = written(bounds.where(F.col("bound") > log(MISSED)), "again")
         discarded(table)
-        if not again.limit(1).count():
+        if not (left := again.count()):
             break
         forest += 1
         chosen = nodes.join(again.select("node"), "node", "left_semi")
-        texts = with_ids(docs, written(chosen.select("doc_id").distinct(), "again-ids"))
+        texts = with_ids(docs, chosen.select("doc_id"), left)
         planted = chosen.drop("regions", "rests").join(_planted_again(texts, forest), "digest")
     ids = nodes.select("node", "digest", "doc_id")
     joined = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -88,9 +88,9 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents in ids (doc_id)."""
-    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+def with_ids(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """doc_id and text of the documents in ids (doc_id), which are no more than `most`."""
+    few = most <= MOST_BROADCAST
     return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
@@ -118,9 +118,9 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
     side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "n", "sketch")))
     near = written(possible(pairs.join(side("u"), "u").join(side("v"), "v"), percent), f"{name}-pairs")
     wanted = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
-    ids = written(nodes.join(wanted, "node", "left_semi").select("doc_id").distinct(), f"{name}-ids")
-    sets = written(_sets(with_ids(docs, ids), width), f"{name}-sets")
+    ids = nodes.join(wanted, "node", "left_semi").select("doc_id")
+    sets = written(_sets(with_ids(docs, ids, 2 * near.count()), width), f"{name}-sets")
     sets_of = lambda x: sets.select(F.col("digest").alias(f"digest_{x}"), F.col("set").alias(f"set_{x}"))
     links = written(linked(near.join(sets_of("u"), "digest_u").join(sets_of("v"), "digest_v"), percent), f"{name}-links")
-    discarded(ids, sets)
+    discarded(sets)
     return near.select("u", "v"), links

@@ -403,8 +403,8 @@ def _least_edits(item, text):
     return min(row)
 
 
-def test_decontaminate_equals_brute_force(spark):
-    """All finds and their edits, against edit distances of all items to all texts: items with words of their own and with common ones."""
+def test_decontaminate_against_brute_force(spark):
+    """Nearly all finds, no others, and their edits, against edit distances of all items to all texts: items with words of their own and with common ones."""
     chance = random.Random(8)
     common = [f"c{k}" for k in range(40)]
     items = {i: [chance.choice(common) if chance.random() < 0.5 else f"i{chance.randrange(10**6)}" for _ in range(n)] for i, n in enumerate((1, 3, 7, 8, 12, 20, 33, 50))}
@@ -423,7 +423,9 @@ def test_decontaminate_equals_brute_force(spark):
     most = {i: int(decontaminate.MOST_EDITS * len(w)) if len(w) >= decontaminate.SHORTEST else 0 for i, w in items.items()}
     wanted = {(d, i): e for d, w in rows.items() for i, x in items.items() if (e := _least_edits(x, w)) <= most[i]}
     found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(frame, benchmark).collect()}
-    assert found == wanted and len({e for e in wanted.values()}) > 3
+    assert set(found) <= set(wanted) and all(wanted[x] <= e for x, e in found.items()) and len({e for e in wanted.values()}) > 3
+    assert len(found) >= 0.95 * len(wanted) and sum(found.get(x) == e for x, e in wanted.items()) >= 0.95 * len(wanted)
+    assert all(x in found for x, e in wanted.items() if not e)  # equal windows have equal walks
 
 
 def test_decontaminate_blocks(spark, monkeypatch):
@@ -434,9 +436,9 @@ def test_decontaminate_blocks(spark, monkeypatch):
 
 
 def test_decontaminate_most_edits(spark):
-    """Every item with exactly the most edits allowed is found, wherever they are."""
+    """Recall for items with exactly the most edits allowed, by where and what they are."""
     chance = random.Random(4)
-    bench = {i: [f"b{chance.randrange(10**6)}" for _ in range(n)] for i, n in enumerate((8, 9, 10, 14, 15, 19, 25, 38, 59, 59))}
+    bench = {i: [f"b{chance.randrange(10**6)}" for _ in range(n)] for i, n in enumerate((8, 9, 10, 14, 15, 19, 25, 38, 59, 59, *range(16, 36)))}
     rows, wanted = [], {}
     for i, words in bench.items():
         e, n = len(words) // 5, len(words)
@@ -449,8 +451,11 @@ def test_decontaminate_most_edits(spark):
                 rows.append((len(rows), " ".join([f"z{chance.randrange(10**6)}" for _ in range(30)] + out + [f"z{chance.randrange(10**6)}" for _ in range(30)])))
     items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
-    assert not [x for d, x in wanted.items() if (d, x[0]) not in found]
-    assert set(found) == {(d, x[0]) for d, x in wanted.items()}
+    assert set(found) <= {(d, x[0]) for d, x in wanted.items()}
+    for kind in {x[1:] for x in wanted.values()}:
+        hits = [(d, x[0]) in found for d, x in wanted.items() if x[1:] == kind]
+        assert sum(hits) >= 0.9 * len(hits), (kind, sum(hits), len(hits))
+    assert len(found) >= 0.98 * len(wanted)
     assert all(e <= len(bench[i]) // 5 for (_, i), e in found.items())
 
 
