@@ -34,25 +34,25 @@ def passage(title: Column, heading: Column, text: Column) -> Column:
     return F.concat_ws("\n\n", some(F.concat_ws(" > ", some(title), some(heading))), text)
 
 
-def encoded(texts: DataFrame, encoder: Callable[[Column], Column], role: str = "passage", known: DataFrame | None = None) -> DataFrame:
+def encoded(texts: DataFrame, encoder: Callable[[DataFrame], DataFrame], role: str = "passage", known: DataFrame | None = None) -> DataFrame:
     """id, key and vector (of length one) of texts (id, text) under a role's prefix; texts whose key is known (key, vector) are not encoded again.
 
-    encoder: a column of arrays of doubles from a column of texts, such as a vectorised UDF of a model.
+    encoder: from rows of key and text rows of key and raw (arrays of doubles), such as a model applied to Arrow batches.
     """
     rows = texts.select("id", F.concat(F.lit(f"{role}: "), "text").alias("text"))
     rows = rows.withColumn("key", F.sha2(F.concat("text", F.lit("True")), 256))
     fresh = rows.select("key", "text").dropDuplicates(["key"])
     if known is not None:
         fresh = fresh.join(known.select("key"), "key", "left_anti")
-    raw = fresh.select("key", encoder(F.col("text")).alias("raw"))
+    raw = encoder(fresh)
     norm = F.sqrt(dot(F.col("raw"), F.col("raw")))
     made = raw.select("key", F.when(norm == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / norm)).alias("vector"))
     return rows.select("id", "key").join(made if known is None else made.unionByName(known.select("key", "vector")), "key")
 
 
-def letter_counts(letters: str) -> Callable[[Column], Column]:
+def letter_counts(letters: str) -> Callable[[DataFrame], DataFrame]:
     """An encoder that stands where there is no model: how often each letter stands in a text."""
-    return lambda text: F.array(*(F.regexp_count(text, F.lit(c)).cast("double") for c in letters))
+    return lambda rows: rows.select("key", F.array(*(F.regexp_count("text", F.lit(c)).cast("double") for c in letters)).alias("raw"))
 
 
 def dispatched(docs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -621,8 +621,3 @@ def html_headings(spark, d):
 @query()
 def html_text(spark, d):
     return html.texts(tables.table(spark, d, "pages")).select("page_id", T.clean(F.col("text")).alias("text"))
-
-
-@query()
-def chunk_documents(spark, d):
-    return chunking.chunked(_docs(spark, d))
