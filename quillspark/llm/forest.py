@@ -54,7 +54,7 @@ LEVELS = 2 + DEEPER
 #: Depths at which a region may end.
 DEPTHS = (2, 4, 6, 8, 10)
 #: A region is cut further while it has more pairs of different components than so many times its nodes.
-CROWDED = 4
+CROWDED = 1.5
 #: Probability to miss a partner of similarity 0.8 that a node's regions may have.
 MISSED = 1e-5
 #: Shingles that are hashed at a time.
