@@ -48,6 +48,12 @@ def latest(rows: DataFrame, key: str, by: str, tie: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def newest(rows: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """latest for keys that may hold many rows: sums before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("__newest")).select(*keys, "__newest.*")
+
+
 def dashboard(day: DataFrame, week: DataFrame, costs: DataFrame, errors: DataFrame) -> DataFrame:
     """Request metrics of a day and of a week, costs and errors as rows of part, name, amount and value."""
     parts = []
@@ -61,4 +67,9 @@ def dashboard(day: DataFrame, week: DataFrame, costs: DataFrame, errors: DataFra
 
 def hit_rate(hits: Column, misses: Column) -> Column:
     """Percentage of a cache's hits with one decimal, N/A if it was never asked."""
-    return F.coalesce(F.concat(F.format_string("%.1f", F.try_divide(100.0 * hits, hits + misses)), F.lit("%")), F.lit("N/A"))
+    return F.coalesce(percentage(hits, hits + misses), F.lit("N/A"))
+
+
+def percentage(part: Column, whole: Column) -> Column:
+    """With one decimal (a half goes to the even digit); null of nothing."""
+    return F.concat(F.call_function("format_number", F.try_divide(100.0 * part, whole), F.lit("0.0")), F.lit("%"))

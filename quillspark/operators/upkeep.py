@@ -34,19 +34,28 @@ def passage(title: Column, heading: Column, text: Column) -> Column:
     return F.concat_ws("\n\n", some(F.concat_ws(" > ", some(title), some(heading))), text)
 
 
+def keyed(texts: DataFrame, role: str) -> DataFrame:
+    """id, text under a role's prefix, and key of texts (id, text)."""
+    rows = texts.select("id", F.concat(F.lit(f"{role}: "), "text").alias("text"))
+    return rows.withColumn("key", F.sha2(F.concat("text", F.lit("True")), 256))
+
+
+def normalised(raw: DataFrame) -> DataFrame:
+    """key and vector (of length one; zeros stay) of rows of key and raw."""
+    norm = F.sqrt(dot(F.col("raw"), F.col("raw")))
+    return raw.select("key", F.when(norm == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / norm)).alias("vector"))
+
+
 def encoded(texts: DataFrame, encoder: Callable[[DataFrame], DataFrame], role: str = "passage", known: DataFrame | None = None) -> DataFrame:
     """id, key and vector (of length one) of texts (id, text) under a role's prefix; texts whose key is known (key, vector) are not encoded again.
 
     encoder: from rows of key and text rows of key and raw (arrays of doubles), such as a model applied to Arrow batches.
     """
-    rows = texts.select("id", F.concat(F.lit(f"{role}: "), "text").alias("text"))
-    rows = rows.withColumn("key", F.sha2(F.concat("text", F.lit("True")), 256))
+    rows = keyed(texts, role)
     fresh = rows.select("key", "text").dropDuplicates(["key"])
     if known is not None:
         fresh = fresh.join(known.select("key"), "key", "left_anti")
-    raw = encoder(fresh)
-    norm = F.sqrt(dot(F.col("raw"), F.col("raw")))
-    made = raw.select("key", F.when(norm == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / norm)).alias("vector"))
+    made = normalised(encoder(fresh))
     return rows.select("id", "key").join(made if known is None else made.unionByName(known.select("key", "vector")), "key")
 
 
