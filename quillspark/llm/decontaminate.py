@@ -61,6 +61,7 @@ BLOCK_ITEMS = 10_000
 #: Ids of documents with a find up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
+_FACTORS = mixed(np.arange(1, BITS + 1, dtype=np.uint64)) | np.uint64(1)
 _IS_WORD = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
 
@@ -111,10 +112,10 @@ class Embedding:
         number = 0
         for walk, written_words in enumerate(self.walks(words, starts)):
             for steps in self.sampled[walk]:
-                number += 1
-                key = np.full(len(starts), number, np.uint64)
-                for step in steps:
-                    key = mixed(key * np.uint64(5) + written_words[step])
+                number += 1  # words are hashes, so a sum with odd factors is one too
+                key = written_words[steps[0]] + np.uint64(number)
+                for k, step in enumerate(steps[1:], 1):
+                    key += written_words[step] * _FACTORS[k]
                 yield key
 
 
@@ -142,9 +143,8 @@ class LengthClass:
         self.sorted_keys, self.owner = made.ravel()[order], (order % len(numbers)).astype(np.int32)
 
     def windows(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Where windows begin that hold as many pairs of the benchmark as an item keeps (pairs: how many stand before each word)."""
-        last = np.minimum(np.arange(len(words)) + self.window, len(pairs) - 1)
-        found = pairs[last] - pairs[: len(words)] >= self.pairs
+        """Where windows begin that hold as many pairs of the benchmark as an item keeps (pairs: how many stand before each word, and on behind the text)."""
+        found = pairs[self.window : self.window + len(words)] - pairs[: len(words)] >= self.pairs
         if self.first is not None:  # no edits: the first word stands as it is
             found &= np.isin(words, self.first)
         return np.flatnonzero(found)
@@ -191,8 +191,10 @@ class Items:
         out: set[tuple[int, int]] = set()
         if not len(words):
             return out
-        before = np.zeros(len(words), np.int64)
-        np.cumsum(self.has_pair[pair_hashes(words) & np.uint64(len(self.has_pair) - 1)], out=before[1:])
+        longest = max(c.window for c in self.classes) if self.classes else 0
+        before = np.zeros(len(words) + longest, np.int32)
+        np.cumsum(self.has_pair[pair_hashes(words) & np.uint64(len(self.has_pair) - 1)], out=before[1 : len(words)])
+        before[len(words) :] = before[len(words) - 1]
         padded = np.concatenate((words, np.zeros(self.padding, np.uint64)))
         for c in self.classes:
             starts = c.windows(words, before)
@@ -212,14 +214,13 @@ class Items:
         """Edits, first and last word of the item's best window near candidates (ascending starts), if within bounds; the text is words[first:last]."""
         n, most = len(self.words[item]), self.edits[item]
         ranges: list[list[int]] = []
-        for start in starts:
+        for start in starts:  # windows of starts close to each other are looked at as one
             a, b = max(first, start - most), min(last, start + n + most)
-            if a < b and self._near(words, a, b, item):
-                if ranges and a <= ranges[-1][1]:
-                    ranges[-1][1] = max(ranges[-1][1], b)
-                else:
-                    ranges.append([a, b])
-        best = min((self._best(words, a, b, item) for a, b in ranges), default=(most + 1, 0, 0))
+            if ranges and start <= ranges[-1][2] + most + 1:
+                ranges[-1][1:] = [b, start]
+            else:
+                ranges.append([a, b, start])
+        best = min((self._best(words, a, b, item) for a, b, _ in ranges if a < b and self._near(words, a, b, item)), default=(most + 1, 0, 0))
         return best if best[0] <= most else None
 
     def _best(self, words: np.ndarray, a: int, b: int, item: int) -> tuple[int, int, int]:
