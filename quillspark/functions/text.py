@@ -114,6 +114,13 @@ def extract_answer(prompt: Column) -> Column:
     return F.when(F.contains(prompt, F.lit("Context:")) & F.contains(prompt, F.lit("Question:")), announced).otherwise(F.lit(K.NO_ANSWER))
 
 
+def output_budget(asked: Column, most: Column, floor: Column, ceiling: Column, prompt: Column) -> Column:
+    """Output tokens of a call: what it asks for (null: the model's most), no less than the floor, and no more than a ceiling (null: none) leaves beside the prompt; null where that is no more than the floor."""
+    budget = F.greatest(F.coalesce(asked, most), floor, F.lit(1))
+    room = ceiling - prompt
+    return F.when(ceiling.isNull(), budget).when(room > floor, F.least(budget, room)).cast("long")
+
+
 def token_ceiling(message: Column) -> Column:
     """The limit that a provider's refusal names, if it counts tokens and not requests; else null."""
     low = F.lower(message)

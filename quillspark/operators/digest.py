@@ -91,8 +91,8 @@ def extracted_bullets(headings: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", chosen.alias("bullets"), origin.alias("origin"))
 
 
-def scene_script(docs: DataFrame, headings: DataFrame, made_on: Column) -> DataFrame:
-    """The script of each project (docs: project, doc_id, title, text): its title scene (part 0), a scene for each source (1) and the closing one (2).
+def scene_script(docs: DataFrame, headings: DataFrame, made: DataFrame) -> DataFrame:
+    """The script of each project (docs: project, doc_id, title, text; made: one row with the date it is made on): its title scene (part 0), a scene for each source (1) and the closing one (2).
 
     project, part, doc_id, kind, headline, bullets and narration. Sources are
     counted, and four of them ranked; a project's scenes never meet in one row.
@@ -100,9 +100,9 @@ def scene_script(docs: DataFrame, headings: DataFrame, made_on: Column) -> DataF
     n = docs.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
     sources = F.concat("n", F.lit(" source"), F.when(F.col("n") == 1, "").otherwise("s"))
     null = F.lit(None).cast("long").alias("doc_id")
-    title = n.select(
+    title = n.join(F.broadcast(made)).select(
         "project", F.lit(0).alias("part"), null, F.lit("title").alias("kind"), F.col("project").alias("headline"),
-        F.array(sources, F.concat(F.lit("Generated "), F.date_format(made_on, "d MMMM yyyy"))).alias("bullets"),
+        F.array(sources, F.concat(F.lit("Generated "), F.date_format("made", "d MMMM yyyy"))).alias("bullets"),
         F.concat(F.lit("This is a video summary of the project "), "project", F.lit(". It covers "), sources, F.lit(".")).alias("narration"),
     )
     found = docs.select("project", "doc_id", "title").join(extracted_bullets(headings, docs), "doc_id")

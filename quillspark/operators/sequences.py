@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def budget_prefix(rows: DataFrame, by: str, order: str, size: Column, budget: int, joint: int = 2) -> DataFrame:
     """The first row of each group, and the following ones as long as all sizes (with a joint between) fit."""
@@ -25,14 +27,15 @@ def gap_groups(rows: DataFrame, by: str, start: str, end: Column, gap: float, ti
 GROUP = 64
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), start (character offset), text and of (the document's number of lines) of every line. No shuffle: the places come from the array of lines."""
+def lines(docs: DataFrame, head: bool = False) -> DataFrame:
+    """doc_id, line (from 0), start (character offset), text and of (the document's number of lines) of every line, and head (the document's first line) if asked for. No shuffle: the places come from the array of lines."""
     rows = docs.select("doc_id", F.split("text", "\n").alias("lines")).withColumn("sizes", F.transform("lines", lambda x: F.length(x).cast("long") + 1))
     group = f"aggregate(slice(sizes, g * {GROUP} + 1, {GROUP}), 0L, (a, x) -> a + x)"
     rows = rows.withColumn("groups", F.expr(f"aggregate(sequence(0, size(sizes) div {GROUP}), array(0L), (heads, g) -> array_append(heads, element_at(heads, -1) + {group}))"))
     start = f"get(groups, i div {GROUP}) + aggregate(slice(sizes, (i div {GROUP}) * {GROUP} + 1, i % {GROUP}), 0L, (a, x) -> a + x)"
-    rows = rows.select("doc_id", F.size("lines").alias("of"), F.explode_outer(F.expr(f"transform(lines, (x, i) -> struct(i AS line, {start} AS start, x AS text))")).alias("x"))
-    return rows.where("x IS NOT NULL").select("doc_id", "x.line", "x.start", "x.text", "of")
+    first = [F.get("lines", F.lit(0)).alias("head")] * head
+    rows = rows.select("doc_id", *first, F.size("lines").alias("of"), F.explode_outer(F.expr(f"transform(lines, (x, i) -> struct(i AS line, {start} AS start, x AS text))")).alias("x"))
+    return rows.where("x IS NOT NULL").select("doc_id", "x.line", "x.start", "x.text", "of", *["head"] * head)
 
 
 def page_of(chunks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -75,16 +78,15 @@ def timeline(scenes: DataFrame, by: str, order: str, seconds: str = "seconds") -
     return scenes.withColumn("starts", F.coalesce(F.sum(seconds).over(before), F.lit(0)))
 
 
-#: Keys in a run of rows that one task numbers.
-RUN = 1000
-
-
 def numbered(rows: DataFrame, by: str, key: str, *then: str) -> DataFrame:
-    """rows with their number (from 1) in each group, in order of a whole-number key.
+    """rows with their number (from 1) in each group, in order of the keys.
 
-    Rows are numbered in runs of keys, each from where the runs before end, so a group of very many rows is not one task's.
+    Rows are numbered in runs, each from where the runs before end: ranges of
+    the whole order, of equal size whatever the keys are, so a group of very many
+    rows is not one task's. The runs are written, as ranges drawn again may differ.
     """
-    runs = rows.withColumn("__run", F.floor(F.col(key) / RUN))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = written(rows.repartitionByRange(partitions, by, key, *then).withColumn("__run", F.spark_partition_id()), "runs")
     counts = runs.groupBy(by, "__run").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(by, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -191,16 +191,15 @@ def _retrieved(spark, d):
     dense = vectors.block_search(known, asked, K.CANDIDATES).withColumnRenamed("id", "doc_id")
     lists = [dense, lexical.ranked(lexical.bm25(docs, questions), K.CANDIDATES)]
     fused = fusion.fused(lists).select("query_id", "doc_id", "position", (F.col("best") + F.col("total")).alias("score"))
-    kept = fusion.deduped(fused.join(docs.select("doc_id", "text"), "doc_id"))
+    preview = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
+    kept = fusion.deduped(fused.join(docs.select("doc_id", "text", preview.alias("text_preview")), "doc_id"))
     source = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
-    best = kept.withColumn("source", source).where(F.col("source") <= K.TOP_K)
-    return best.join(docs.select("doc_id", "text"), "doc_id")
+    return kept.withColumn("source", source).where(F.col("source") <= K.TOP_K)
 
 
 @query(f"WITH RECURSIVE {_FLAG} SELECT query_id, source, doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text_preview, round(score, 6) AS score FROM final")
 def retrieve_flagship(spark, d):
-    preview = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
-    return _retrieved(spark, d).select("query_id", F.col("source").cast("long").alias("source"), "doc_id", preview.alias("text_preview"), F.round("score", 6).alias("score"))
+    return _retrieved(spark, d).select("query_id", F.col("source").cast("long").alias("source"), "doc_id", "text_preview", F.round("score", 6).alias("score"))
 
 
 _ENTRY = "'[Source ' || rank || ': doc-' || doc_id || ']' || chr(10) || text"
@@ -271,9 +270,7 @@ _LINES = "blocks AS (SELECT doc_id, i - 1 AS line, l[i] AS text FROM (SELECT doc
 @query(f"WITH {_LINES} SELECT count(*) AS chunks, max(length(text)) AS longest, round(avg(CAST(length(text) < 80 AS DOUBLE)), 6) AS tiny, round(avg(CAST(length(text) > 1024 AS DOUBLE)), 6) AS oversized, round(avg(CAST({_any('text', K.BOILERPLATE)} AS DOUBLE)), 6) AS boilerplate, round(avg(CAST({_any('text', K.EVALUATED_MARKS, 2)} AS DOUBLE)), 6) AS citation_like, round(avg(CAST(line > 0 AND length(first) BETWEEN 1 AND 40 AS DOUBLE)), 6) AS with_heading, max(length(text)) FILTER (place = round_even(0.5 * (n - 1), 0)) AS p50, max(length(text)) FILTER (place = round_even(0.95 * (n - 1), 0)) AS p95 FROM (SELECT *, string_split(full_text, chr(10))[1] AS first, row_number() OVER (ORDER BY length(blocks.text)) - 1 AS place, count(*) OVER () AS n FROM blocks JOIN (SELECT doc_id, text AS full_text FROM documents) USING (doc_id))")
 def index_health(spark, d):
     """Lines as chunks; a short first line is the heading of those after it."""
-    first = F.when((F.col("line") > 0) & F.length(F.split("full_text", "\n")[0]).between(1, 40), F.split("full_text", "\n")[0])
-    rows = sequences.lines(_docs(spark, d)).join(_docs(spark, d).select("doc_id", F.substring("text", 1, 50).alias("full_text")), "doc_id")
-    return evaluation.health(rows.select("text", first.alias("heading")))
+    return evaluation.health(tables.with_heading(sequences.lines(_docs(spark, d), head=True)).select("text", "heading"))
 
 
 @query("SELECT source, count(*) AS docs, max(length(text)) AS longest, count(*) FILTER (contains(text, chr(10))) AS with_lines FROM documents GROUP BY source")
@@ -332,7 +329,32 @@ def prompt_token_estimate(spark, d):
 @query("SELECT conv_id, CASE WHEN 8000 - tokens <= 256 THEN NULL ELSE least(8000 - tokens, 4096) END AS room FROM (SELECT conv_id, CAST(sum(length(text) // 4) + 1 AS BIGINT) AS tokens FROM conversations GROUP BY conv_id)")
 def output_budget(spark, d):
     """Output tokens under a ceiling of 8000, 4096 asked for, 256 at least; null where that can't be had."""
-    return prompt_token_estimate(spark, d).select("conv_id", F.when(8000 - F.col("tokens") > 256, F.least(8000 - F.col("tokens"), F.lit(4096))).cast("long").alias("room"))
+    return prompt_token_estimate(spark, d).select("conv_id", T.output_budget(F.lit(4096), F.lit(16384), F.lit(256), F.lit(8000), F.col("tokens")).alias("room"))
+
+
+@query("SELECT conv_id, CASE WHEN ceiling IS NULL THEN budget WHEN ceiling - tokens <= 256 THEN NULL ELSE least(budget, ceiling - tokens) END AS room FROM (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 400 END AS ceiling, greatest(coalesce(CASE WHEN conv_id % 3 = 0 THEN 100 WHEN conv_id % 3 = 1 THEN 300 END, 16384), 256) AS budget, CAST(sum(length(text) // 4) + 1 AS BIGINT) AS tokens FROM conversations GROUP BY conv_id)")
+def output_budgets(spark, d):
+    """The same with no ceiling or one of 400, and for calls that ask for little, for more, or for what the model allows."""
+    asked = F.when(F.col("conv_id") % 3 == 0, 100).when(F.col("conv_id") % 3 == 1, 300)
+    ceiling = F.when(F.col("conv_id") % 2 == 0, 400)
+    return prompt_token_estimate(spark, d).select("conv_id", T.output_budget(asked, F.lit(16384), F.lit(256), ceiling, F.col("tokens")).alias("room"))
+
+
+_REFUSAL = "CASE doc_id % 5 WHEN 0 THEN 'Request too large: Limit ' || n_chars || ', Requested 9999' WHEN 1 THEN 'Rate limit reached on requests per day (RPD): Limit: ' || n_chars WHEN 2 THEN 'rate_limit_exceeded on tokens per minute: LIMIT ' || n_chars || ' used' WHEN 3 THEN 'tokens: no number here' ELSE text END"
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(lower(message), 'token|too large|rate_limit|rate limit') AND NOT regexp_matches(lower(message), 'requests per|request per|\\(rpm\\)|\\(rpd\\)') THEN CAST(nullif(regexp_extract(message, '(?i)\\bLimit[\\s:]+(\\d{{3,}})', 1), '') AS BIGINT) END AS ceiling FROM (SELECT doc_id, {_REFUSAL} AS message FROM documents)")
+def token_ceilings(spark, d):
+    """What providers' refusals say of a token limit: by size, by requests (no token limit), by rate, without a number; and ordinary texts."""
+    n = F.col("doc_id") % 5
+    message = (
+        F.when(n == 0, F.concat(F.lit("Request too large: Limit "), "n_chars", F.lit(", Requested 9999")))
+        .when(n == 1, F.concat(F.lit("Rate limit reached on requests per day (RPD): Limit: "), "n_chars"))
+        .when(n == 2, F.concat(F.lit("rate_limit_exceeded on tokens per minute: LIMIT "), "n_chars", F.lit(" used")))
+        .when(n == 3, "tokens: no number here")
+        .otherwise(F.col("text"))
+    )
+    return _docs(spark, d).select("doc_id", T.token_ceiling(message).alias("ceiling"))
 
 
 @query("SELECT o_orderkey, CASE WHEN days <= 0 THEN 'Today' WHEN days = 1 THEN 'Yesterday' WHEN days < 7 THEN 'This Week' WHEN CAST(o_orderdate AS DATE) > CAST(newest - INTERVAL 1 MONTH AS DATE) THEN 'This Month' ELSE 'Older' END AS bucket FROM (SELECT *, date_diff('day', CAST(o_orderdate AS DATE), CAST(newest AS DATE)) AS days FROM orders, (SELECT max(o_orderdate) AS newest FROM orders))")
@@ -359,9 +381,11 @@ def project_counts(spark, d):
     return docs.join(talks, "project", "left").withColumn("conversations", F.coalesce("conversations", F.lit(0)))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%1_7%' OR p_brand ILIKE '%#12%'")
+@query("SELECT p_partkey, p_name FROM (SELECT *, nullif(p_brand, 'Brand#12') AS description FROM part) WHERE p_name ILIKE '%1_7%' OR description ILIKE '%#1%'")
 def project_search(spark, d):
-    return tables.table(spark, d, "part").where(F.ilike("p_name", F.lit("%1_7%")) | F.ilike("p_brand", F.lit("%#12%"))).select("p_partkey", "p_name")
+    """By name or description; some have no description, which is no match and no error."""
+    rows = tables.table(spark, d, "part").withColumn("description", F.nullif("p_brand", F.lit("Brand#12")))
+    return rows.where(F.ilike("p_name", F.lit("%1_7%")) | F.ilike("description", F.lit("%#1%"))).select("p_partkey", "p_name")
 
 
 @query("SELECT source, count(*) AS docs, count(l.doc_id) AS labelled, round(100.0 * count(l.doc_id) / count(*), 1) AS percent FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")

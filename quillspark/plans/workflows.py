@@ -21,7 +21,7 @@ def _lines(spark, d):
 
 
 def _chunks(spark, d):
-    return tables.with_heading(_lines(spark, d), _docs(spark, d))
+    return tables.with_heading(sequences.lines(tables.spread(_docs(spark, d).select("doc_id", "text")), head=True))
 
 
 def _headings(spark, d):
@@ -233,10 +233,10 @@ def project_documents_stable(spark, d):
     return sequences.numbered(rows.withColumn("all", F.lit(0)), "all", "added_at", "title").select("doc_id", "title", F.col("number").cast("long").alias("position"))
 
 
-@query(f"WITH {_LINES}, placed AS (SELECT doc_id, line, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, text FROM blocks) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, start, md5(text) AS text FROM placed WHERE doc_id % 20 = 0")
+@query(f"WITH {_LINES}, placed AS (SELECT doc_id, line, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, text FROM blocks) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, start, md5(text) AS text FROM placed")
 def chunks_in_order(spark, d):
-    """The chunks of some documents, in the order in which they stand."""
-    rows = _lines(spark, d).where("doc_id % 20 = 0").orderBy("doc_id", "start")
+    """The chunks of documents, in the order in which they stand."""
+    rows = _lines(spark, d).orderBy("doc_id", "start")
     return rows.select("doc_id", F.col("line").cast("long").alias("chunk_index"), F.col("of").cast("long").alias("total_chunks"), "start", F.md5("text").alias("text"))
 
 
@@ -403,8 +403,8 @@ _SCRIPT = f"""{_LINES}, {_HEADINGS}, {_TOPICS}, made AS (SELECT max(o_orderdate)
 
 
 def _script(spark, d):
-    made = tables.table(spark, d, "orders").agg(F.max("o_orderdate")).first()[0]
-    return digest.scene_script(tables.documents(spark, d), _headings(spark, d), F.lit(made))
+    made = tables.table(spark, d, "orders").agg(F.max("o_orderdate").alias("made"))  # one row
+    return digest.scene_script(tables.documents(spark, d), _headings(spark, d), made)
 
 
 @query(f"WITH {_SCRIPT} SELECT project, part, doc_id, kind, headline, array_to_string(bullets, '|') AS bullets, narration FROM script")

@@ -28,6 +28,8 @@ MOST_LINKS, LINK_TEXT = 100, 100
 #: What never ends goes on to the end of the page.
 _DROPPED = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
 _INSIDE = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
+#: "<" before anything but a name or a mark is text; it goes through the cutting as a private character.
+_BARE, _HELD = r"<(?![a-zA-Z/!?])", "\ue000"
 _TOKEN = rf"(?is)</?[a-z]{_INSIDE}>|<[!?][^>]*>|[^<]+|<"
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
@@ -107,9 +109,9 @@ def _any(selectors: tuple[str, ...]) -> Column:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """page_id, pos, token, tag, kind (open, close, text), the attributes that selectors ask for, and end: where an element's last token is (a number beyond the page if it never ends)."""
-    found = F.regexp_extract_all(F.regexp_replace("html", _DROPPED, ""), F.lit(_TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_replace(F.regexp_replace("html", _DROPPED, ""), _BARE, _HELD), F.lit(_TOKEN), F.lit(0))
     # posexplode_outer, as for posexplode the planner would make the tokens twice.
-    rows = pages.select("page_id", F.posexplode_outer(found).alias("pos", "token")).where("token IS NOT NULL")
+    rows = pages.select("page_id", F.posexplode_outer(found).alias("pos", "token")).where("token IS NOT NULL").withColumn("token", F.translate("token", _HELD, "<"))
     # Dealt by page once: all windows below are inside a page and need no other exchange.
     rows = rows.withColumn("tag", F.lower(F.regexp_extract("token", r"^</?([A-Za-z][^\s/>]*)", 1)))
     # (By number, as the planner would put a small table into one task.)

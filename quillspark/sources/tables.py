@@ -51,11 +51,9 @@ def headings(lines: DataFrame) -> DataFrame:
     return lines.where(F.length(F.trim("text")).between(1, 40)).select("doc_id", F.col("line").alias("at"), F.col("text").alias("path"))
 
 
-def with_heading(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """lines with `heading`: a document's first line, if it is short, heads the others."""
-    first = F.split("text", "\n")[0]
-    heads = docs.select("doc_id", F.when(F.length(first).between(1, 40), first).alias("heading"))
-    return lines.join(heads, "doc_id").withColumn("heading", F.when(F.col("line") > 0, F.col("heading")))
+def with_heading(lines: DataFrame) -> DataFrame:
+    """lines (with head) with `heading`: a document's first line, if it is short, heads the others."""
+    return lines.withColumn("heading", F.when((F.col("line") > 0) & F.length("head").between(1, 40), F.col("head"))).drop("head")
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,7 +33,8 @@ class Node:
             yield node
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def text(self) -> str:
+    def strings(self) -> list[str]:
+        """Its text nodes, in the order of the page."""
         out: list[str] = []
         todo: list[Node | str] = [self]
         while todo:
@@ -42,7 +43,10 @@ class Node:
                 out.append(x)
             else:
                 todo += reversed(x.children)
-        return "".join(out)
+        return out
+
+    def text(self) -> str:
+        return "".join(self.strings())
 
     def matches(self, selector: str) -> bool:
         if selector[0] == "[":
@@ -76,7 +80,10 @@ class _Tree(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        if self.at.children and isinstance(self.at.children[-1], str):  # a bare "<" comes by itself, but is part of the text around it
+            self.at.children[-1] += data
+        else:
+            self.at.children.append(data)
 
 
 def parsed(html: str) -> Node:
@@ -146,7 +153,7 @@ def block_text(node: Node) -> str:
     out = "\n".join(lines)
     whole = _flat(node.text())
     if len(_flat(out)) < K.COVERAGE * len(whole):
-        pieces = (c for n in node.walk() for c in n.children if isinstance(c, str))
+        pieces = node.strings()
         out = "\n".join(filter(None, map(_flat, pieces)))
     return out
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillspark.plans import catalogue, workflows  # noqa: F401
+from quillspark.plans import catalogue, chunks, stored, workflows  # noqa: F401
 from quillspark.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"

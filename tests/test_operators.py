@@ -106,6 +106,7 @@ PAGES = (
     "<main><section role='search'><p>find</p></section><h1>A &lt; B</h1><blockquote><p>deep</p> shallow</blockquote><tr><th>k</th><td> </td><td>v</td></tr>bare</main></p></div>",
     "<main>mostly text outside of any block at all, a good deal of it<p>x</p></main>",
     "<p title='a>b' class=\"x toc\">cut</p><p>kept<br/>on</p><!-- <p>no</p> --><script>var a='<p>';</script><img src=x><a href=''>e</a><a href='#t'>t</a><a href='http://h/q'>in <b>bold</b></a>",
+    "<main>1 < 2 and <b>bold</b> text, 3 <4 all of it outside of any block<p>x</p></main>",
     "<meta name='description' content='First'><meta name='description' content='second'><meta property=\"og:title\" content=\"O &quot;x&quot;\"><p>1 < 2 & 3</p>",
     "",
 )
@@ -138,6 +139,19 @@ def test_html(spark):
     assert "Oolong | 90 degrees" in texts[0] and "## Brewing" in texts[0] and "gone" not in texts[0]
 
 
+def test_html_that_never_ends(spark):
+    """A comment or script that is not closed goes on to the end of the page, and a page of many takes time in proportion."""
+    import time
+
+    pages = ["<main><p>before</p><!-- never closed <p>no</p></main>", "<p>a</p><script>var x = '<p>no</p>'", "<!-- " * 200_000, "<script>" * 100_000]
+    frame = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    began = time.time()
+    assert [r["text"] for r in html.texts(frame).orderBy("page_id").collect()] == ["before", "a", "", ""]
+    assert all(r["title"] is None for r in html.metadata(frame).collect()) and html.links(frame).count() == 0
+    spoken = spark.createDataFrame([("[" * 500_000,), ("[a](b) [c",)], "text string").select(T.speech(F.col("text")).alias("s")).collect()
+    assert spoken[1]["s"] == "a [c" and time.time() - began < 60
+
+
 def test_html_of_all_pages(spark):
     import slow_html as slow
 
