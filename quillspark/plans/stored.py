@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import chunking, monitoring, retrieval, udtf, upkeep
-from ..sources import stores, tables
+from ..sources import snapshots, stores, tables
 from ..sources.shared import shared_dir, written
 from ..streaming import replays
 from .catalogue import _docs
@@ -121,3 +121,15 @@ def session_stream(spark, d):
     replays.replayed(found, _new(spark, "session-log"), replays.stored(path))
     plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")]
     return spark.read.parquet(path).where("user_id IS NOT NULL").select("user_id", *plain, "events")
+
+
+@query("SELECT page_id, url, md5(html) AS html, page_id % 3 = 0 AS fetched FROM pages")
+def page_snapshots(spark, d):
+    """Pages from a folder of snapshots, and those that it has not from the table, as a crawler would fetch them."""
+    snapshots.register(spark)
+    pages, path = tables.table(spark, d, "pages").select("page_id", "url", "html"), _new(spark, "snapshots")
+    pages.where("page_id % 3 <> 0").write.json(path)
+    stored = spark.read.format("page_snapshots").load(path)
+    fetched = pages.join(stored.select("page_id"), "page_id", "left_anti")
+    rows = stored.withColumn("fetched", F.lit(False)).unionByName(fetched.withColumn("fetched", F.lit(True)))
+    return rows.withColumn("html", F.md5("html"))

@@ -147,3 +147,17 @@ def test_retrieval_in_scope(spark):
     assert len({best.get((3, k)) for k in range(1, 6)} & {1, 2}) == 1  # of equal texts one stays
     assert 3 not in found(chunks.where("id <> 3")).values()
     assert found(chunks.where("false")) == {}
+
+
+def test_page_snapshots(spark, tmp_path):
+    from quillspark.sources import snapshots
+
+    snapshots.register(spark)
+    lines = ['{"page_id": 1, "url": "http://h/ü", "html": "<p>é</p>"}', "", '{"page_id": 2, "html": null}', '{"page_id": 3, "url": "u", "html": "x", "more": 1}']
+    (tmp_path / "a.json").write_text("\n".join(lines[:3]))
+    (tmp_path / "b.json").write_text(lines[3] + "\n")
+    (tmp_path / "c.txt").write_text("no snapshot")
+    pages = spark.read.format("page_snapshots").load(f"file://{tmp_path}")
+    assert sorted(tuple(r) for r in pages.collect()) == [(1, "http://h/ü", "<p>é</p>"), (2, None, None), (3, "u", "x")]
+    assert pages.rdd.getNumPartitions() == 2
+    assert [r["page_id"] for r in pages.where("page_id IN (2, 3) AND url IS NOT NULL").collect()] == [3]
