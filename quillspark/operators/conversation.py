@@ -46,11 +46,16 @@ def enhanced_question(messages: DataFrame) -> DataFrame:
 
 
 def with_turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
-    """messages (conv_id, turn, role, text) with a user's question and the answer to it (turns: conv_id, question, answer) appended to their conversations."""
+    """messages (conv_id, turn, role, text) with a user's question and the answer to it (turns: conv_id, question, answer) appended to their conversations.
+
+    Further columns of turns (such as citations, model, tokens) are those of the answer; all other messages have null there.
+    """
+    more = [c for c in turns.columns if c not in ("conv_id", "question", "answer")]
     last = messages.groupBy("conv_id").agg(F.max("turn").alias("last"))
     said = F.array(F.struct(F.lit(1).alias("step"), F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit(2).alias("step"), F.lit("assistant").alias("role"), F.col("answer").alias("text")))
-    new = turns.join(last, "conv_id", "left").select("conv_id", F.coalesce("last", F.lit(-1)).alias("last"), F.explode(said).alias("x"))
-    return messages.select("conv_id", "turn", "role", "text").unionByName(new.select("conv_id", (F.col("last") + F.col("x.step")).alias("turn"), "x.role", "x.text"))
+    new = turns.join(last, "conv_id", "left").select("conv_id", F.coalesce("last", F.lit(-1)).alias("last"), F.explode(said).alias("x"), *more)
+    answers = [F.when(F.col("x.role") == "assistant", F.col(c)).alias(c) for c in more]
+    return messages.select("conv_id", "turn", "role", "text").unionByName(new.select("conv_id", (F.col("last") + F.col("x.step")).alias("turn"), "x.role", "x.text", *answers), allowMissingColumns=True)
 
 
 def as_markdown(messages: DataFrame, title: Column) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import chunking, evaluation, headings, retrieval, upkeep
+from ..operators import chunking, conversation, evaluation, exports, headings, lexical, retrieval, upkeep
 from ..sources import tables
 from ..sources.shared import written
-from .catalogue import _any, _bm25, _docs, _top
+from ..functions import text as T
+from .catalogue import _QUESTIONS, _any, _bm25, _docs, _messages, _top
 from .chunks_sql import MARKED, blocks, chunks
 from .registry import query
 
@@ -104,3 +105,34 @@ def retrieve_chunks(spark, d):
 @query(f"WITH RECURSIVE {chunks(MARKED)} SELECT count(*) AS chunks, max(length(text)) AS longest, round(avg(CAST(length(text) < 80 AS DOUBLE)), 6) AS tiny, round(avg(CAST(length(text) > 1024 AS DOUBLE)), 6) AS oversized, round(avg(CAST({_any('text', K.BOILERPLATE)} AS DOUBLE)), 6) AS boilerplate, round(avg(CAST({_any('text', K.EVALUATED_MARKS, 2)} AS DOUBLE)), 6) AS citation_like, round(avg(CAST(heading_path IS NOT NULL AS DOUBLE)), 6) AS with_heading, max(length(text)) FILTER (place = round_even(0.5 * (n - 1), 0)) AS p50, max(length(text)) FILTER (place = round_even(0.95 * (n - 1), 0)) AS p95 FROM (SELECT *, row_number() OVER (ORDER BY length(text)) - 1 AS place, count(*) OVER () AS n FROM chunks)")
 def chunk_health(spark, d):
     return evaluation.health(chunking.chunked(marked(spark, d)).select("text", F.col("heading_path").alias("heading")))
+
+
+_ASKED = "questions AS (SELECT conv_id AS query_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id)"
+
+
+@query(f"""WITH {_bm25().replace(_QUESTIONS, _ASKED)}, top AS ({_top('scores', 3)}), cited AS (SELECT query_id, list('doc-' || doc_id ORDER BY rank) AS citations FROM top GROUP BY query_id), ends AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id)
+  SELECT conv_id, turn, role, text, NULL AS citations, NULL AS model, CAST(NULL AS BIGINT) AS tokens FROM conversations UNION ALL SELECT conv_id, last + 1, 'user', question, NULL, NULL, NULL FROM ends JOIN questions ON query_id = conv_id
+  UNION ALL SELECT conv_id, last + 2, 'assistant', 'See ' || coalesce(array_to_string(citations, ', '), 'nothing') || '.', coalesce(array_to_string(citations, '|'), ''), 'extractive', length(question) // 4 FROM ends JOIN questions q ON q.query_id = conv_id LEFT JOIN cited c ON c.query_id = conv_id""")
+def persist_cited_turn(spark, d):
+    """The last question of each conversation asked again, and an answer with the documents it cites, its model and the prompt's tokens."""
+    messages = _messages(spark, d)
+    asked = messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
+    top = lexical.ranked(lexical.bm25(_docs(spark, d), asked.withColumnRenamed("conv_id", "query_id")), 3)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: F.concat(F.lit("doc-"), x["doc_id"]))
+    turns = asked.join(top.groupBy(F.col("query_id").alias("conv_id")).agg(ordered.alias("citations")), "conv_id", "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<string>")))
+    answer = F.concat(F.lit("See "), F.coalesce(F.nullif(F.array_join("citations", ", "), F.lit("")), F.lit("nothing")), F.lit("."))
+    turns = turns.select("conv_id", "question", answer.alias("answer"), F.array_join("citations", "|").alias("citations"), F.lit("extractive").alias("model"), T.prompt_tokens(F.col("question")).alias("tokens"))
+    return conversation.with_turn(messages, turns)
+
+
+@query(f"""WITH RECURSIVE {chunks('documents')}, counts AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id), talks AS (SELECT 'src' || conv_id % 40 AS project, conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user'), '')[1:100] AS title, count(*) AS n FROM conversations GROUP BY ALL),
+  docs AS (SELECT source AS project, doc_id, 'doc-' || doc_id AS title, lang AS kind, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) > 0 THEN 'ready' ELSE 'error' END AS status FROM documents LEFT JOIN counts USING (doc_id))
+  SELECT project, 0 AS part, CAST(0 AS BIGINT) AS id, '{{"name":"' || project || '"}}' AS json, '# ' || project || chr(10) || chr(10) AS markdown FROM (SELECT project FROM docs UNION SELECT project FROM talks)
+  UNION ALL SELECT project, 1, doc_id, '{{"id":' || doc_id || ',"title":"' || title || '","source_type":"' || kind || '","status":"' || status || '","chunk_count":' || n || '}}', '### ' || title || chr(10) || '- Type: ' || kind || chr(10) || '- Status: ' || status || chr(10) || '- Chunks: ' || n || chr(10) || chr(10) FROM docs
+  UNION ALL SELECT project, 2, conv_id, '{{"id":' || conv_id || ',"title":' || to_json(title) || ',"message_count":' || n || '}}', '### ' || coalesce(nullif(title, ''), 'Untitled') || chr(10) || '- Messages: ' || n || chr(10) || chr(10) FROM talks""")
+def project_export(spark, d):
+    """Every project as the rows of its JSON and Markdown files: documents with their chunks, and conversations."""
+    counts = chunking.chunked(_docs(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    docs = _docs(spark, d).select(F.col("source").alias("project"), "doc_id", F.concat(F.lit("doc-"), "doc_id").alias("title"), F.col("lang").alias("source_type")).join(counts, "doc_id", "left")
+    talks = conversation.listing(_messages(spark, d)).select(F.concat(F.lit("src"), F.col("conv_id") % 40).alias("project"), "conv_id", "title", F.col("message_count").alias("messages"))
+    return exports.project_rows(docs, talks)
