@@ -34,7 +34,7 @@ LEAF_BYTES = 16
 #: Bytes up to which a window's pairs are searched one after the other; longer ones are kept in a heap.
 WINDOW_BYTES = 256
 #: Encoded pieces in each of the two generations that a task keeps: a full young one becomes the old one.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 60_000
 
 
 class MonoidBpe:
@@ -46,7 +46,7 @@ class MonoidBpe:
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
-        self.stable = lru_cache(200_000)(self._stable)
+        self.stable = lru_cache(30_000)(self._stable)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> MonoidBpe:
