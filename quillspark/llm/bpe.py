@@ -34,7 +34,7 @@ LEAF_BYTES = 16
 #: Bytes up to which a window's pairs are searched one after the other; longer ones are kept in a heap.
 WINDOW_BYTES = 256
 #: Encoded pieces in each of the two generations that a task keeps: a full young one becomes the old one.
-CACHE_PIECES = 60_000
+CACHE_PIECES = 100_000
 
 
 class MonoidBpe:
