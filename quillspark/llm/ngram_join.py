@@ -3,7 +3,8 @@
 A document's set is its distinct five-word shingles (hashed to 64 bits). Two
 documents link when the Jaccard similarity of their sets is at least 0.75.
 
-1. Equal sets are one node (128-bit digest), so copies cost one row each.
+1. Equal sets are one node, told by a 128-bit digest (lists carry its first 64 bits as
+   the node's number), so copies cost one row each.
 2. Under any fixed order of shingles, two linked sets share at least c of their
    first n - ceil(0.75 n) + c (the c-prefix). Small sets enumerate all 2-subsets
    of their 2-prefix as keys; large sets, and small ones that a large one can
@@ -31,7 +32,6 @@ and kept by `one_of_each`.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -40,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discarded, documents, hashed_words, inner, mixed, slices, text_bytes, written
+from .common import discarded, documents, inner, mixed, slices, written
 from .components import components
+from .sets import MOST_BROADCAST, confirmed, digest, shingle_sets, sketch
 
 SHINGLE, PERCENT = 5, 75
 #: One of so many documents (by digest) is counted for the order of shingles; a shingle found in so many of them counts
@@ -49,35 +50,9 @@ SHINGLE, PERCENT = 5, 75
 SAMPLE, HEAVY, MOST_HEAVY = 16, 4, 250_000
 #: Rounds of leaders.
 ROUNDS = 2
-#: Least bits of the parity sketch; one of a set of n has the least power of two that is no less than n.
-LEAST_SKETCH = 256
-#: Ids up to this many are broadcast (16 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 #: Largest size that may count as small.
 MOST_SMALL = 64
 
-_IS_WORD = np.array([b not in (32, 9, 10, 11, 12, 13) for b in range(256)])
-
-
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """For each text its distinct shingles as sorted 64-bit hashes."""
-    words, firsts = hashed_words(*text_bytes(column), _IS_WORD)
-    if len(words) >= SHINGLE:
-        n = len(words) - SHINGLE + 1
-        grams = np.full(n, SHINGLE, np.uint64)
-        for k in range(SHINGLE):
-            grams = mixed(grams + words[k : k + n] * np.uint64(2 * k + 3))
-    for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            yield np.unique(grams[a : b - SHINGLE + 1])
-        elif b > a:
-            h = np.full(1, b - a, np.uint64)
-            for w in words[a:b]:
-                h = mixed(h * np.uint64(5) + w)
-            yield h
-        else:
-            yield np.zeros(0, np.uint64)
-
 
 def needed(n: int) -> int:
     """The least overlap of a linked partner with a set of size n."""
@@ -88,31 +63,13 @@ def prefix(n: int, c: int) -> int:
     return min(n, n - needed(n) + c)
 
 
-def digest(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-
-
-def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the set's members in hash buckets: two sketches differ in no more bits than the sets in members."""
-    bits = max(LEAST_SKETCH, 1 << (len(shingles) - 1).bit_length())
-    return np.packbits(np.bincount((mixed(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
-
-
-def differing(a: bytes, b: bytes) -> int:
-    """Bits in which two sketches differ, the longer one folded to the length of the shorter."""
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    if len(y) > len(x):
-        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def _nodes(docs: DataFrame) -> DataFrame:
     """doc_id, n and, for sets that aren't empty, digest, key (its first 64 bits), sketch and, for sampled ones, the shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             n, digests, keys, sketches, sampled = [], [], [], [], []
-            for s in shingle_sets(batch.column(1)):
+            for s in shingle_sets(batch.column(1), SHINGLE):
                 n.append(len(s))
                 d = digest(s) if len(s) else None
                 digests.append(d)
@@ -146,7 +103,7 @@ def _postings(docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
         seen = set()  # a task posts equal sets once
         for batch in slices(batches, "text"):
             lists, keys, sizes, places, hot = [], [], [], [], []
-            for s in shingle_sets(batch.column(0)):
+            for s in shingle_sets(batch.column(0), SHINGLE):
                 n = len(s)
                 if n < 2:  # a set of one links with its equals only, and those are one node
                     continue
@@ -180,66 +137,6 @@ def _postings(docs: DataFrame, heavy: np.ndarray, small: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "list long, key long, n int, at int, hot boolean")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """key, digest and set (bytes) of the documents in ids (doc_id)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = list(shingle_sets(batch.column(0)))
-            digests = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"]
-            )
-
-    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return rows.select("text").mapInArrow(run, "key long, set binary")
-
-
-def _linked(pairs: DataFrame) -> DataFrame:
-    """u and v of pairs (u, v, set_u, set_v) whose sets link."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")  # merges two sorted runs
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
-
-
-def _possible(pairs: DataFrame) -> DataFrame:
-    """u, v, doc_u and doc_v of pairs (with n_u, n_v, sketch_u, sketch_v) whose sketches allow a link."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|) for linked sets, and the sketches differ in no more bits than that.
-            n, m, x, y = (batch.column(k).to_pylist() for k in range(4, 8))
-            keep = [differing(p, q) * (100 + PERCENT) <= (100 - PERCENT) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("u", "v", "doc_u", "doc_v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long, doc_u long, doc_v long")
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of the pairs u, v of keys those that could link and were compared, and those that link."""
-    side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("doc_id").alias(f"doc_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    possible = written(_possible(pairs.join(side("u"), "u").join(side("v"), "v")), f"{name}-pairs")
-    ids = written(possible.select(F.col("doc_u").alias("doc_id")).unionByName(possible.select(F.col("doc_v").alias("doc_id"))).distinct(), f"{name}-ids")
-    sets = written(_sets(docs, ids), f"{name}-sets")
-    sets_of = lambda x: sets.select(F.col("key").alias(x), F.col("set").alias(f"set_{x}"))
-    links = written(_linked(possible.select("u", "v").join(sets_of("u"), "u").join(sets_of("v"), "v")), f"{name}-links")
-    discarded(ids, sets)
-    return possible.select("u", "v"), links
-
-
 #: SQL: sizes n and m allow a link, and so do the places at which two sets meet. If it is their first common shingle, the
 #: overlap is no more than what either set has from there on; and linked sets do meet in the list of their first one.
 _MEET = f"100 * least(n, m) >= {PERCENT} * greatest(n, m) AND {100 + PERCENT} * least(n - at, m - met) >= {PERCENT} * (n + m)"
@@ -249,7 +146,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id: one row for each row of docs."""
     docs = inner(docs)[0].select("doc_id", "text")
     rows = written(_nodes(docs), "rows")
-    nodes = written(rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     counted = rows.where("sampled IS NOT NULL").dropDuplicates(["key"]).select(F.explode("sampled").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("k"))
     counted = written(counted.where("k > 1"), "shared")
     heavy = np.array([r["shingle"] for r in counted.where(f"k >= {HEAVY}").orderBy(F.desc("k"), "shingle").limit(MOST_HEAVY).collect()], np.int64).view(np.uint64)
@@ -279,7 +176,7 @@ def classes(docs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
-        tried, new = _verified(docs, nodes, pairs, f"round-{k}")
+        tried, new = confirmed(docs, nodes.withColumnRenamed("key", "node"), pairs, SHINGLE, PERCENT, f"round-{k}")
         compared, links = (tried, new) if compared is None else (compared.unionByName(tried), links.unionByName(new))
         found = components(links)
         if k < ROUNDS:
@@ -290,11 +187,11 @@ def classes(docs: DataFrame) -> DataFrame:
             placed = table
             discarded(old)
 
-    ids = nodes.select("key", "doc_id")
+    ids = nodes.select("key", "digest", "doc_id")
     joined = ids.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(least, "component").select("key", "component_id")
-    out = rows.select("doc_id", "n", "key").join(named, "key", "left")
+    named = joined.join(least, "component").select("digest", "component_id")
+    out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

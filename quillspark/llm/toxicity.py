@@ -9,7 +9,9 @@ score is a logistic function, calibrated on labelled texts, of how many windows
 save at least 1, 2, ... bytes.
 
 Learning takes a bounded sample of labelled rows (`MOST_TOXIC`, `MOST_ORDINARY`
-texts of at most `MOST_BYTES` bytes, chosen by a hash of doc_id); scoring takes
+texts of at most `MOST_BYTES` bytes, chosen by a hash of doc_id), of which one of
+each group that shares its least word triple is kept, so that groups of copies
+don't decide what is telling; scoring takes
 every text whole. Only texts and labels.toxic are used to learn; the score sees
 the text alone.
 
