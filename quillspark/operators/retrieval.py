@@ -64,7 +64,7 @@ def hybrid(chunks: DataFrame, known: DataFrame, questions: DataFrame, asked: Dat
     """
     dense = vectors.block_search(known, asked, K.CANDIDATES).withColumnRenamed("id", "doc_id")
     searched = chunks.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "heading_path", "text").alias("text"))
-    lists = [dense, lexical.ranked(lexical.bm25(searched, questions), K.CANDIDATES)]
+    lists = [dense, lexical.best(searched, questions, K.CANDIDATES)]
     fused = fusion.fused(lists).select("query_id", "doc_id", "position", (F.col("best") + F.col("total")).alias("score"))
     found = fused.join(chunks.select(F.col("id").alias("doc_id"), "text", F.col("text").alias("whole")), "doc_id")
     kept = fusion.deduped(found)

@@ -57,13 +57,13 @@ def document_frequency(spark, d):
 
 @query(f"WITH {_bm25()} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({_top('scores', 5)})")
 def bm25_top_k(spark, d):
-    return lexical.ranked(lexical.bm25(_docs(spark, d), tables.questions(spark, d)), K.TOP_K).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return lexical.best(_docs(spark, d), tables.questions(spark, d), K.TOP_K).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25(f'(SELECT * FROM documents WHERE doc_id IN {_TRUSTED})')} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({_top('scores', 5)})")
 def bm25_scoped(spark, d):
-    hits = lexical.bm25(_docs(spark, d), tables.questions(spark, d), tables.trusted(spark, d))
-    return lexical.ranked(hits, K.TOP_K).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    hits = lexical.best(_docs(spark, d), tables.questions(spark, d), K.TOP_K, tables.trusted(spark, d))
+    return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_bm25()}, top AS ({_top('scores', 30)}),
@@ -71,7 +71,7 @@ def bm25_scoped(spark, d):
   SELECT query_id, doc_id, round({K.ALPHA} * round(score, 6) + {K.BETA} * len(list_intersect(q, t)) / len(q) + {K.GAMMA} * CASE WHEN n < 100 THEN 0.5 WHEN n > 1000 THEN 0.8 ELSE 1.0 END, 4) AS rerank_score FROM hits""")
 def heuristic_rerank(spark, d):
     questions = tables.questions(spark, d)
-    top = lexical.ranked(lexical.bm25(_docs(spark, d), questions), K.CANDIDATES).withColumn("score", F.round("score", 6))
+    top = lexical.best(_docs(spark, d), questions, K.CANDIDATES).withColumn("score", F.round("score", 6))
     hits = top.join(questions, "query_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id")
     return lexical.rerank(hits).select("query_id", "doc_id", F.round("rerank_score", 4).alias("rerank_score"))
 
@@ -122,8 +122,7 @@ _LISTS = f"""{_bm25()}, lex AS ({_top('scores', 30)}),
 def _two_lists(spark, d):
     """BM25's ranking and that of plain term counts, from one table of terms."""
     questions = tables.questions(spark, d)
-    table = lexical.term_table(_docs(spark, d), questions)
-    return [lexical.ranked(x, K.CANDIDATES) for x in (lexical.scores(table, questions), lexical.term_counts(table, questions))]
+    return [lexical.ranked(x, K.CANDIDATES) for x in lexical.scores(_docs(spark, d), questions, K.CANDIDATES, names=("bm25", "count"))]
 
 
 @query(f"WITH {_LISTS} SELECT query_id, doc_id, round(total, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, seen) - 1 AS position FROM fused")
@@ -148,7 +147,7 @@ _CANDIDATES = f"{_bm25()}, top AS ({_top('scores', 30)}), cand AS (SELECT query_
 
 
 def _candidates(spark, d):
-    top = lexical.ranked(lexical.bm25(_docs(spark, d), tables.questions(spark, d)), K.CANDIDATES)
+    top = lexical.best(_docs(spark, d), tables.questions(spark, d), K.CANDIDATES)
     return top.select("query_id", "doc_id", F.col("rank").alias("position")).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
 
 
@@ -189,7 +188,7 @@ def _retrieved(spark, d):
     asked = found.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi")
     known = found.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     dense = vectors.block_search(known, asked, K.CANDIDATES).withColumnRenamed("id", "doc_id")
-    lists = [dense, lexical.ranked(lexical.bm25(docs, questions), K.CANDIDATES)]
+    lists = [dense, lexical.best(docs, questions, K.CANDIDATES)]
     fused = fusion.fused(lists).select("query_id", "doc_id", "position", (F.col("best") + F.col("total")).alias("score"))
     preview = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
     kept = fusion.deduped(fused.join(docs.select("doc_id", "text", preview.alias("text_preview")), "doc_id"))
@@ -207,7 +206,7 @@ _ENTRY = "'[Source ' || rank || ': doc-' || doc_id || ']' || chr(10) || text"
 
 @query(f"WITH {_bm25()}, top AS ({_top('scores', 5)}), entries AS (SELECT query_id, rank, {_ENTRY} AS entry FROM top JOIN documents USING (doc_id)), used AS (SELECT *, sum(length(entry) + 2) OVER (PARTITION BY query_id ORDER BY rank) - 2 AS used FROM entries) SELECT query_id, CAST(count(*) AS BIGINT) AS sources, CAST(sum(length(entry)) AS BIGINT) AS chars, md5(string_agg(entry, chr(10) || chr(10) ORDER BY rank)) AS context FROM used WHERE used <= {K.CONTEXT_CHARS} OR rank = 1 GROUP BY query_id")
 def context_budget(spark, d):
-    top = lexical.ranked(lexical.bm25(_docs(spark, d), tables.questions(spark, d)), K.TOP_K).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    top = lexical.best(_docs(spark, d), tables.questions(spark, d), K.TOP_K).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
     entry = F.concat(F.lit("[Source "), "rank", F.lit(": doc-"), "doc_id", F.lit("]\n"), "text")
     kept = sequences.budget_prefix(top.select("query_id", "rank", entry.alias("entry")), "query_id", "rank", F.length("entry"), K.CONTEXT_CHARS)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda x: x["entry"])
@@ -216,7 +215,7 @@ def context_budget(spark, d):
 
 @query(f"WITH {_bm25()} SELECT query_id, rank AS source, doc_id, 'doc-' || doc_id AS title, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text_preview, round(score, 6) AS score FROM ({_top('scores', 5)}) JOIN documents USING (doc_id)")
 def source_citations(spark, d):
-    top = lexical.ranked(lexical.bm25(_docs(spark, d), tables.questions(spark, d)), K.TOP_K).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    top = lexical.best(_docs(spark, d), tables.questions(spark, d), K.TOP_K).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
     preview = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
     return top.select("query_id", F.col("rank").cast("long").alias("source"), "doc_id", F.concat(F.lit("doc-"), "doc_id").alias("title"), preview.alias("text_preview"), F.round("score", 6).alias("score"))
 
@@ -230,7 +229,7 @@ _MEANS = "count(*) AS queries, round(avg(h1), 6) AS recall_1, round(avg(h3), 6)
 
 def _judged(spark, d):
     questions = tables.questions(spark, d)
-    top = lexical.ranked(lexical.bm25(_docs(spark, d), questions), 10)
+    top = lexical.best(_docs(spark, d), questions, 10)
     return evaluation.judged(top.join(_docs(spark, d).select("doc_id", "text"), "doc_id").join(questions, "query_id"))
 
 

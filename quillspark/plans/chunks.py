@@ -117,7 +117,7 @@ def persist_cited_turn(spark, d):
     """The last question of each conversation asked again, and an answer with the documents it cites, its model and the prompt's tokens."""
     messages = _messages(spark, d)
     asked = messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
-    top = lexical.ranked(lexical.bm25(_docs(spark, d), asked.withColumnRenamed("conv_id", "query_id")), 3)
+    top = lexical.best(_docs(spark, d), asked.withColumnRenamed("conv_id", "query_id"), 3)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: F.concat(F.lit("doc-"), x["doc_id"]))
     turns = asked.join(top.groupBy(F.col("query_id").alias("conv_id")).agg(ordered.alias("citations")), "conv_id", "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<string>")))
     answer = F.concat(F.lit("See "), F.coalesce(F.nullif(F.array_join("citations", ", "), F.lit("")), F.lit("nothing")), F.lit("."))

@@ -247,8 +247,8 @@ _INSIDE = "(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels W
 def bm25_project_scope(spark, d):
     """Inside what a project holds and the caller may see."""
     scope = lexical.scoped(_docs(spark, d).where("lang = 'en'").select("doc_id"), tables.trusted(spark, d))
-    hits = lexical.bm25(_docs(spark, d), tables.questions(spark, d), scope)
-    return lexical.ranked(hits, K.TOP_K).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    hits = lexical.best(_docs(spark, d), tables.questions(spark, d), K.TOP_K, scope)
+    return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 _PASSAGES = f"(WITH {_CHUNKS} SELECT doc_id * 1000000 + line AS doc_id, concat_ws(' ', heading, text) AS text FROM chunks)"
@@ -258,7 +258,7 @@ _PASSAGES = f"(WITH {_CHUNKS} SELECT doc_id * 1000000 + line AS doc_id, concat_w
 def passage_candidates(spark, d):
     """BM25 over chunks with the heading that they stand under."""
     chunks = _chunks(spark, d).select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("doc_id"), F.concat_ws(" ", "heading", "text").alias("text"))
-    best = lexical.ranked(lexical.bm25(chunks, tables.questions(spark, d)), K.CANDIDATES)
+    best = lexical.best(chunks, tables.questions(spark, d), K.CANDIDATES)
     return best.select("query_id", F.col("doc_id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -269,7 +269,7 @@ _HEADS = "heads AS (SELECT doc_id, CASE WHEN length(string_split(text, chr(10))[
 
 
 def _entries(spark, d):
-    top = lexical.ranked(lexical.bm25(_docs(spark, d), tables.questions(spark, d)), K.TOP_K)
+    top = lexical.best(_docs(spark, d), tables.questions(spark, d), K.TOP_K)
     first = F.split("text", "\n")[0]
     rows = top.select("query_id", "doc_id", "rank").join(tables.documents(spark, d), "doc_id").withColumn("heading", F.when(F.length(first).between(1, 40), first))
     head = upkeep.source_head(F.col("rank"), F.col("title"), F.col("doc_id") % 4, (F.col("doc_id") % 3) * F.lit(12.34), F.coalesce("heading", F.lit("")))
