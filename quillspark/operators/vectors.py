@@ -11,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import Best
 from ..sources.shared import shared_dir
 from .lexical import ranked
 
 #: Questions that one pass over the vectors answers at once (their matrix goes to every task).
 BLOCK = 1024
+#: Scores that a task holds at once.
+HELD = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,31 +39,45 @@ def search(vectors: DataFrame, question: list[float], floor: float | None = None
 
 
 def batch_search(vectors: DataFrame, questions: list[tuple[int, list[float]]], k: int | None, floor: float | None = None, measure: str = "dot") -> DataFrame:
-    """query_id, id and score of the k best (all) of each Arrow batch for a block of questions, from a floor on: a matrix product in each task.
+    """query_id, id and score of the k best (all) of each task for a block of questions, from a floor on: a matrix product of some vectors at a time.
 
-    The rows left are k for each question and batch; `ranked` takes the k best of all.
+    The rows left are k for each question and task; `ranked` takes the k best of all.
     """
     if len(questions) > BLOCK:
         raise ValueError(f"at most {BLOCK} questions in a block")
     ids = np.array([i for i, _ in questions], np.int64)
     matrix = _measured(np.array([v for _, v in questions], np.float64), measure).T
 
+    def rows(query: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(keys), pa.array(scores)], names=["query_id", "id", "score"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
+        if not len(ids):
+            return
+        least = -np.inf if floor is None else floor
+        best = Best(len(ids), k, least) if k is not None else None
+        step = max(16, HELD // len(ids))
+        for batch in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
+            keys, scores = batch.column(0).to_numpy(), _measured(_matrix(batch.column(1)), measure) @ matrix
+            if best is not None:
+                best.add(keys, scores)
                 continue
-            rows = _measured(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64), measure)
-            keys = batch.column(0).to_numpy()
-            scores = rows @ matrix
-            # By score, ties by id: lexsort over each question's column.
-            order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -np.round(scores, 6)), axis=0)[:k]
-            best = np.take_along_axis(scores, order, axis=0).ravel()
-            keep = best >= (-np.inf if floor is None else floor)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(order))[keep]), pa.array(keys[order].ravel()[keep]), pa.array(best[keep])], names=["query_id", "id", "score"])
+            at, query = np.nonzero(scores >= least)
+            yield rows(query, keys[at], scores[at, query])
+        if best is not None:
+            yield rows(*best.found)
 
     return vectors.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and (lists.null_count or np.any(sizes != sizes[0])):
+        raise ValueError("vectors of different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+
+
 def _measured(rows: np.ndarray, measure: str) -> np.ndarray:
     """Rows as they are, or for cosines of length one (a row of zeros stays)."""
     if measure == "dot" or not rows.size:
