@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -83,9 +84,10 @@ def chunk_coverage(spark, d):
 @query(f"WITH RECURSIVE {chunks('(SELECT doc_id, CASE WHEN doc_id % 40 <> 0 THEN text END AS text FROM documents)')} SELECT doc_id, CASE WHEN count(chunk_index) > 0 THEN 'ready' ELSE 'error' END AS status, count(chunk_index) AS chunks, CAST(2 AS BIGINT) AS states FROM documents LEFT JOIN chunks USING (doc_id) GROUP BY doc_id")
 def ingest_states(spark, d):
     """Documents that come in as a stream of files: every document's last state, and how many it went through. Some come without a text."""
-    docs = written(_docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 40 != 0, F.col("text")).alias("text")).repartition(4), "incoming")
+    docs = written(tables.spread(_docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 40 != 0, F.col("text")).alias("text"))), "incoming")
     path, log = _new(spark, "states"), _new(spark, "ingest-log")
-    replays.ingest(replays.stream(spark, docs._written_to, docs.schema), chunking.chunked, path, log)
+    files = math.ceil(len(docs.inputFiles()) / 4)  # four batches, of as many files as there are
+    replays.ingest(replays.stream(spark, docs._written_to, docs.schema, max(1, files)), chunking.chunked, path, log)
     states = spark.read.parquet(path)
     last = F.max_by(F.struct("status", "chunks"), "step").alias("last")
     return states.groupBy("doc_id").agg(last, F.count(F.lit(1)).alias("states")).select("doc_id", "last.status", "last.chunks", "states")
