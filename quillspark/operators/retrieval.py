@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -11,28 +13,32 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..functions.arrow import pieces
 from . import fusion, lexical, sequences, vectors
 
 #: Numbers of a hashed vector.
 DIMENSIONS = 64
 #: Chunks of a document have ids from its id times this on.
 CHUNK_IDS = 1_000_000
+#: Tokens whose places a task keeps.
+CACHED = 1 << 16
 
 
 def hashed_features(rows: DataFrame) -> DataFrame:
     """An encoder (key, text to key, raw): every token adds one to a place that its hash gives, or takes one away."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        place = lru_cache(CACHED)(lambda t: int(md5(t.encode()).hexdigest()[:4], 16) % (2 * DIMENSIONS))
+        for batch in pieces(batches):
             lists, n = batch.column(1), batch.num_rows
-            flat = lists.flatten().to_numpy().astype(np.int64)
+            tokens = lists.flatten().dictionary_encode()
+            flat = np.array([place(t) for t in tokens.dictionary.to_pylist()], np.int64)[tokens.indices.to_numpy()]
             owner = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
             out = np.bincount(owner * DIMENSIONS + flat % DIMENSIONS, np.where(flat < DIMENSIONS, 1.0, -1.0), n * DIMENSIONS)
             vectors_made = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * DIMENSIONS, pa.int32()), pa.array(out))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors_made], names=["key", "raw"])
 
-    places = F.transform(T.tokens(F.col("text")), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % (2 * DIMENSIONS))
-    return rows.select("key", places.alias("places")).mapInArrow(run, "key string, raw array<double>")
+    return rows.select("key", T.tokens(F.col("text")).alias("tokens")).mapInArrow(run, "key string, raw array<double>")
 
 
 def chunk_id(chunks: DataFrame) -> Column:

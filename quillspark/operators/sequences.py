@@ -27,14 +27,18 @@ def gap_groups(rows: DataFrame, by: str, start: str, end: Column, gap: float, ti
 GROUP = 64
 
 
-def lines(docs: DataFrame, head: bool = False) -> DataFrame:
-    """doc_id, line (from 0), start (character offset), text and of (the document's number of lines) of every line, and head (the document's first line) if asked for. No shuffle: the places come from the array of lines."""
+def lines(docs: DataFrame, head: bool = False, start: bool = True) -> DataFrame:
+    """doc_id, line (from 0), start (character offset; it takes most of the time, so it may be left out), text and of (the document's number of lines) of every line, and head (the document's first line) if asked for. No shuffle: the places come from the array of lines."""
+    if not start:
+        rows = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+        rows = rows.select("doc_id", *[F.get("lines", F.lit(0)).alias("head")] * head, F.size("lines").alias("of"), F.posexplode_outer("lines").alias("line", "text"))
+        return rows.where("line IS NOT NULL").select("doc_id", "line", "text", "of", *["head"] * head)
     rows = docs.select("doc_id", F.split("text", "\n").alias("lines")).withColumn("sizes", F.transform("lines", lambda x: F.length(x).cast("long") + 1))
     group = f"aggregate(slice(sizes, g * {GROUP} + 1, {GROUP}), 0L, (a, x) -> a + x)"
     rows = rows.withColumn("groups", F.expr(f"aggregate(sequence(0, size(sizes) div {GROUP}), array(0L), (heads, g) -> array_append(heads, element_at(heads, -1) + {group}))"))
-    start = f"get(groups, i div {GROUP}) + aggregate(slice(sizes, (i div {GROUP}) * {GROUP} + 1, i % {GROUP}), 0L, (a, x) -> a + x)"
+    place = f"get(groups, i div {GROUP}) + aggregate(slice(sizes, (i div {GROUP}) * {GROUP} + 1, i % {GROUP}), 0L, (a, x) -> a + x)"
     first = [F.get("lines", F.lit(0)).alias("head")] * head
-    rows = rows.select("doc_id", *first, F.size("lines").alias("of"), F.explode_outer(F.expr(f"transform(lines, (x, i) -> struct(i AS line, {start} AS start, x AS text))")).alias("x"))
+    rows = rows.select("doc_id", *first, F.size("lines").alias("of"), F.explode_outer(F.expr(f"transform(lines, (x, i) -> struct(i AS line, {place} AS start, x AS text))")).alias("x"))
     return rows.where("x IS NOT NULL").select("doc_id", "x.line", "x.start", "x.text", "of", *["head"] * head)
 
 

@@ -42,8 +42,9 @@ def keyed(texts: DataFrame, role: str) -> DataFrame:
 
 def normalised(raw: DataFrame) -> DataFrame:
     """key and vector (of length one; zeros stay) of rows of key and raw."""
-    norm = F.sqrt(dot(F.col("raw"), F.col("raw")))
-    return raw.select("key", F.when(norm == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / norm)).alias("vector"))
+    # The norm is a column of its own, as inside the transform it would be summed up again for every number.
+    rows = raw.select("key", "raw", F.sqrt(dot(F.col("raw"), F.col("raw"))).alias("norm"))
+    return rows.select("key", F.when(F.col("norm") == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / F.col("norm"))).alias("vector"))
 
 
 def encoded(texts: DataFrame, encoder: Callable[[DataFrame], DataFrame], role: str = "passage", known: DataFrame | None = None) -> DataFrame:

@@ -269,7 +269,7 @@ _LINES = "blocks AS (SELECT doc_id, i - 1 AS line, l[i] AS text FROM (SELECT doc
 @query(f"WITH {_LINES} SELECT count(*) AS chunks, max(length(text)) AS longest, round(avg(CAST(length(text) < 80 AS DOUBLE)), 6) AS tiny, round(avg(CAST(length(text) > 1024 AS DOUBLE)), 6) AS oversized, round(avg(CAST({_any('text', K.BOILERPLATE)} AS DOUBLE)), 6) AS boilerplate, round(avg(CAST({_any('text', K.EVALUATED_MARKS, 2)} AS DOUBLE)), 6) AS citation_like, round(avg(CAST(line > 0 AND length(first) BETWEEN 1 AND 40 AS DOUBLE)), 6) AS with_heading, max(length(text)) FILTER (place = round_even(0.5 * (n - 1), 0)) AS p50, max(length(text)) FILTER (place = round_even(0.95 * (n - 1), 0)) AS p95 FROM (SELECT *, string_split(full_text, chr(10))[1] AS first, row_number() OVER (ORDER BY length(blocks.text)) - 1 AS place, count(*) OVER () AS n FROM blocks JOIN (SELECT doc_id, text AS full_text FROM documents) USING (doc_id))")
 def index_health(spark, d):
     """Lines as chunks; a short first line is the heading of those after it."""
-    return evaluation.health(tables.with_heading(sequences.lines(_docs(spark, d), head=True)).select("text", "heading"))
+    return evaluation.health(tables.with_heading(sequences.lines(_docs(spark, d), head=True, start=False)).select("text", "heading"))
 
 
 @query("SELECT source, count(*) AS docs, max(length(text)) AS longest, count(*) FILTER (contains(text, chr(10))) AS with_lines FROM documents GROUP BY source")
@@ -556,7 +556,7 @@ def page_attribution(spark, d):
 
 @query(f"WITH {_LINES} SELECT doc_id, line, round((row_number() OVER w - 1) * 600.0::DOUBLE / count(*) OVER (PARTITION BY doc_id), 6) AS ts_start, round((row_number() OVER w) * 600.0::DOUBLE / count(*) OVER (PARTITION BY doc_id), 6) AS ts_end FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY line)")
 def time_slices(spark, d):
-    return sequences.time_slices(sequences.lines(_docs(spark, d)), F.lit(600.0)).select("doc_id", F.col("line").cast("long").alias("line"), "ts_start", "ts_end")
+    return sequences.time_slices(sequences.lines(_docs(spark, d), start=False), F.lit(600.0)).select("doc_id", F.col("line").cast("long").alias("line"), "ts_start", "ts_end")
 
 
 @query("WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS s FROM events), f AS (SELECT *, CASE WHEN s - lag(s) OVER w > 3600000000 THEN 1 ELSE 0 END AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)) SELECT event_id, user_id, CAST(sum(gap) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part FROM f")
@@ -572,7 +572,7 @@ _NOISE = "regexp_matches(x, '(?i)" + "|".join(f"(?:{p})" for p in K.NOISE_LINES)
 
 @query(f"WITH {_LINES} SELECT doc_id, line, {_NOISE.replace('x,', 'text,')} OR {_any('text', K.CITATION_MARKS, 2)} AS noise FROM blocks")
 def noise_lines(spark, d):
-    return sequences.lines(_docs(spark, d)).select("doc_id", F.col("line").cast("long").alias("line"), T.is_noise(F.col("text")).alias("noise"))
+    return sequences.lines(_docs(spark, d), start=False).select("doc_id", F.col("line").cast("long").alias("line"), T.is_noise(F.col("text")).alias("noise"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: NOT (regexp_matches(x, '(?i)^page\\s+\\d+(\\s+of\\s+\\d+)?$') OR (regexp_matches(x, '^[\\d\\s\\-–—.·|/()\\[\\]]+$') AND regexp_matches(x, '\\d')))), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS text FROM documents")

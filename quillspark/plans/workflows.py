@@ -16,12 +16,12 @@ _HEADINGS = "headings AS (SELECT doc_id, topic, row_number() OVER (PARTITION BY
 _FIRST_SENTENCES = "list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '[.!?]$') AND len(string_split(s, ' ')) >= 3)[1:4]"
 
 
-def _lines(spark, d):
-    return sequences.lines(tables.spread(_docs(spark, d).select("doc_id", "text")))
+def _lines(spark, d, start=False):
+    return sequences.lines(tables.spread(_docs(spark, d).select("doc_id", "text")), start=start)
 
 
 def _chunks(spark, d):
-    return tables.with_heading(sequences.lines(tables.spread(_docs(spark, d).select("doc_id", "text")), head=True))
+    return tables.with_heading(sequences.lines(tables.spread(_docs(spark, d).select("doc_id", "text")), head=True, start=False))
 
 
 def _headings(spark, d):
@@ -236,7 +236,7 @@ def project_documents_stable(spark, d):
 @query(f"WITH {_LINES}, placed AS (SELECT doc_id, line, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, text FROM blocks) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, start, md5(text) AS text FROM placed")
 def chunks_in_order(spark, d):
     """The chunks of documents, in the order in which they stand."""
-    rows = _lines(spark, d).orderBy("doc_id", "start")
+    rows = _lines(spark, d, start=True).orderBy("doc_id", "start")
     return rows.select("doc_id", F.col("line").cast("long").alias("chunk_index"), F.col("of").cast("long").alias("total_chunks"), "start", F.md5("text").alias("text"))
 
 
