@@ -52,9 +52,9 @@ def dispatched(chunks: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFram
     heading stands above (the section stays null), a video's equal shares of its
     time; other kinds are plain.
     """
-    rows = chunks.join(docs, "doc_id")
-    paged = sequences.page_of(rows.where("kind = 'pdf'").withColumn("start", F.col("start_char")), pages.join(docs.where("kind = 'pdf'"), "doc_id", "left_semi"))
-    rows = paged.drop("start").unionByName(rows.where("kind <> 'pdf'").withColumn("page", F.lit(None).cast("long")))
+    # All kinds in one, as two halves would make the chunks twice; a document without pages has none.
+    rows = chunks.join(docs, "doc_id").withColumn("start", F.col("start_char"))
+    rows = sequences.page_of(rows, pages.join(docs.where("kind = 'pdf'"), "doc_id", "left_semi")).drop("start")
     slot = lambda n: F.when(F.col("kind") == "youtube", F.round(F.col("seconds") * n / F.col("total_chunks"), 6))
     heading = F.when(F.col("kind") == "url", F.coalesce(F.nullif("heading_path", F.lit("")), F.nullif("title", F.lit("")))).otherwise(F.col("heading_path"))
     return rows.select(*(c for c in chunks.columns if c != "heading_path"), heading.alias("heading_path"), "page", slot(F.col("chunk_index")).alias("ts_start"), slot(F.col("chunk_index") + 1).alias("ts_end"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from .vectors import dot
 
 
 def replaced(rows: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -42,9 +44,19 @@ def keyed(texts: DataFrame, role: str) -> DataFrame:
 
 def normalised(raw: DataFrame) -> DataFrame:
     """key and vector (of length one; zeros stay) of rows of key and raw."""
-    # The norm is a column of its own, as inside the transform it would be summed up again for every number.
-    rows = raw.select("key", "raw", F.sqrt(dot(F.col("raw"), F.col("raw"))).alias("norm"))
-    return rows.select("key", F.when(F.col("norm") == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / F.col("norm"))).alias("vector"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            norms = np.sqrt(np.bincount(owner, flat * flat, len(sizes)))
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            made = pa.ListArray.from_arrays(ends, pa.array(flat / np.where(norms == 0, 1, norms)[owner]), mask=lists.is_null())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["key", "vector"])
+
+    return raw.select("key", "raw").mapInArrow(run, "key string, vector array<double>")
 
 
 def encoded(texts: DataFrame, encoder: Callable[[DataFrame], DataFrame], role: str = "passage", known: DataFrame | None = None) -> DataFrame:
@@ -62,7 +74,14 @@ def encoded(texts: DataFrame, encoder: Callable[[DataFrame], DataFrame], role: s
 
 def letter_counts(letters: str) -> Callable[[DataFrame], DataFrame]:
     """An encoder that stands where there is no model: how often each letter stands in a text."""
-    return lambda rows: rows.select("key", F.array(*(F.regexp_count("text", F.lit(c)).cast("double") for c in letters)).alias("raw"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.stack([pc.fill_null(pc.count_substring(batch.column(1), c), 0).to_numpy(zero_copy_only=False) for c in letters], axis=1)
+            ends = pa.array(np.arange(batch.num_rows + 1) * len(letters), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(counts.ravel().astype(np.float64)))], names=["key", "raw"])
+
+    return lambda rows: rows.select("key", "text").mapInArrow(run, "key string, raw array<double>")
 
 
 def dispatched(docs: DataFrame, lines: DataFrame) -> DataFrame:
