@@ -1,8 +1,11 @@
 """What operators shuffle, hold and read at once does not grow with the square of a table, a partition or a batch."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspark.operators import lexical
+from quillspark.functions import arrow
+from quillspark.operators import chunking, digest, lexical, retrieval, upkeep, vectors
 
 
 def _asked(spark):
@@ -38,3 +41,62 @@ def test_best_counts_documents_without_id(spark):
     more = docs.withColumn("doc_id", F.when(F.col("doc_id") != 63, F.col("doc_id")))
     scores = lambda df: {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in lexical.best(df, questions, 70).collect()}
     assert {k: v for k, v in scores(docs).items() if k[1] != 63} == scores(more)
+
+
+def test_pieces_and_best():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["aaaa", None, "bbb", "c" * 20])], names=["doc_id", "text"])
+    assert [p.num_rows for p in arrow.pieces([batch], most=7)] == [3, 1] and [p.num_rows for p in arrow.pieces([batch], most=1)] == [1, 1, 1, 1]
+    rng = np.random.default_rng(1)
+    scores, keys = np.round(rng.random((90, 7)), 1), rng.permutation(90)
+    best = arrow.Best(7, 4, 0.2)
+    for a in range(0, 90, 11):
+        best.add(keys[a : a + 11], scores[a : a + 11])
+    want = {(q, k) for q in range(7) for _, k in sorted((-s, k) for s, k in zip(scores[:, q], keys, strict=True) if s >= 0.2)[:4]}
+    assert set(zip(best.found[0].tolist(), best.found[1].tolist(), strict=True)) == {(q, int(k)) for q, k in want}
+
+
+def test_chunker_takes_a_batch_in_pieces(spark):
+    texts = {i: f"# Head {i}\n" + f"some words of {i} stand here. " * 2000 for i in range(12)}
+    assert sum(map(len, texts.values())) > arrow.PIECE  # one batch, several pieces
+    found = chunking.chunked(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()
+    want = [(i, k, c.text) for i, t in texts.items() for k, c in enumerate(chunking.chunks_of(t))]
+    assert sorted((r["doc_id"], r["chunk_index"], r["text"]) for r in found) == sorted(want)
+
+
+def test_topics_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "Geese and geese, boats. It's it's Boats boats"), (2, None), (3, ""), (4, "the and of")], "doc_id long, text string").repartition(8)
+    found = digest.keyword_topics(docs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == docs._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert [(r["doc_id"], r["position"], r["topic"], r["n"]) for r in found.collect()] == [(1, 0, "boats", 3), (1, 1, "geese", 2), (1, 2, "it's", 2)]
+
+
+def test_texts_without_headings_are_not_joined(spark):
+    docs = spark.createDataFrame([(1, "x"), (2, "geese geese")], "doc_id long, text string")
+    heads = spark.createDataFrame([(1, 0, "Top")], "doc_id long, at int, path string")
+    found = digest.structural_topics(heads, docs)
+    assert sorted((r["doc_id"], r["topic"]) for r in found.collect()) == [(1, "Top"), (2, "geese")]
+
+
+def test_a_task_leaves_its_best_vectors(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "id long, vector array<double>").coalesce(1)
+    asked = [(0, [1.0, 0.0]), (1, [-1.0, 0.5])]
+    monkeypatch.setattr(vectors, "HELD", 64)
+    assert vectors.batch_search(rows, asked, 3).count() == 6
+    best = {q: [r["id"] for r in lexical.ranked(vectors.batch_search(rows, asked, 3), 3, "id").where(F.col("query_id") == q).orderBy("rank").collect()] for q in (0, 1)}
+    assert best == {0: [6, 13, 20], 1: [0, 7, 14]}
+    assert vectors.batch_search(rows, asked, None, floor=5.0).count() == sum(i % 7 >= 5 for i in range(200))
+
+
+def test_normalised_keeps_zeros_and_nothing(spark):
+    raw = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", []), ("d", None)], "key string, raw array<double>")
+    assert {r["key"]: r["vector"] for r in upkeep.normalised(raw).collect()} == {"a": [0.6, 0.8], "b": [0.0, 0.0], "c": [], "d": None}
+    assert "transform(" not in upkeep.normalised(raw)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "pdf", "a", 1.0), (2, "url", "b", 1.0)], "doc_id long, kind string, title string, seconds double")
+    texts = spark.createDataFrame([(1, "one\ntwo"), (2, "three")], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, 1, 5), (2, 1, 5)], "doc_id long, page long, size long")
+    found = retrieval.dispatched(chunking.chunked(texts), docs, pages)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: r["page"] for r in found.collect()} == {1: 1, 2: None}
