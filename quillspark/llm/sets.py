@@ -110,6 +110,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, set binary")
 
 
+def distinct_sets(docs: DataFrame, width: int) -> DataFrame:
+    """digest and set (bytes) of docs' sets, each once."""
+    return _sets(docs, width).dropDuplicates(["digest"])
+
+
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Of the pairs u, v of nodes (node, digest, doc_id, n, sketch) those that could link and were compared, and those that link.
 

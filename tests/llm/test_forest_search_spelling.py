@@ -85,6 +85,17 @@ def test_forest_adapts_and_grows(spark, templates, monkeypatch):
     assert planted
 
 
+def test_forest_of_a_swarm(spark):
+    """Texts of one template just below the similarity that links: no link is lost where one of them is linked with many."""
+    chance = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    texts = [_edited(base, chance, chance.randrange(3, 6)) for _ in range(200)]
+    texts += [_edited(t, chance, 1) for t in texts[:40]] + [base, _edited(base, chance, 1)]
+    rows = list(enumerate(map(" ".join, texts)))
+    chance.shuffle(rows)
+    assert _found(spark.createDataFrame(rows, "doc_id long, text string")) == _classes(rows)
+
+
 def test_signature_agrees_like_the_sets():
     chance = np.random.default_rng(0)
     both, x, y = (np.unique(chance.integers(0, 2**63, n).astype(np.uint64)) for n in (800, 100, 100))
