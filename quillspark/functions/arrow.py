@@ -42,9 +42,13 @@ class Best:
         if n > self.k:  # a score below the k-th of these is none of the k best
             floor = np.maximum(floor, np.partition(scores, n - self.k, axis=0)[n - self.k] - 1e-6)
         at, query = np.nonzero(scores >= floor)
-        if not len(at):
+        self.merge(query, keys[at], scores[at, query])
+
+    def merge(self, query: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
+        """Takes in single scores."""
+        if not len(query):
             return
-        found = [np.concatenate(x) for x in zip(self.found, (query, keys[at], scores[at, query]), strict=True)]
+        found = [np.concatenate(x) for x in zip(self.found, (query, keys, scores), strict=True)]
         rounded = np.round(found[2], 6)
         order = np.lexsort((found[1], -rounded, found[0]))
         place = places(found[0][order])

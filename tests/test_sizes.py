@@ -36,6 +36,68 @@ def test_best_in_batches_and_with_dense_terms(spark, monkeypatch):
     assert key(lexical.scores(docs, questions, 3, names=("bm25", "count"))) == whole
 
 
+def test_many_questions_take_one_pass(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 50} w{i % 7} common") for i in range(300)], "doc_id long, text string")
+    questions = spark.range(8500).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.col("id") % 60, F.lit(" common")).alias("question"))
+    names = []
+    monkeypatch.setattr(lexical, "written", lambda df, name, real=lexical.written: names.append(name) or real(df, name))
+    assert lexical.best(docs, questions, 1).count() == 8500
+    assert names == ["terms"]  # before: tokens, and terms and scores of each 8,192 questions
+
+
+def _in_process(docs, questions, k, part, monkeypatch):
+    """What `_scored` finds of documents (lists of counts by term) in this process, and how many exact scores it makes."""
+    asked = lexical._Asked((q, [str(t) for t in terms]) for q, terms in enumerate(questions))
+    number = {int(t): i for i, t in enumerate(asked.words)}
+    rows = [sorted((number[t], n) for t, n in d.items() if t in number) for d in docs]
+    lists = lambda i: pa.array([[x[i] for x in r] for r in rows], pa.list_(pa.int32()))
+    ids = list(range(len(docs)))[::-1]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([sum(d.values()) for d in docs], pa.int64()), lists(0), lists(1)], names=["doc_id", "n", "terms", "counts"])
+    share = np.bincount([t for r in rows for t, _ in r], minlength=len(number)) / len(docs)
+
+    class Frame:
+        sparkSession = type("Session", (), {"sparkContext": type("Context", (), {"defaultParallelism": 1})})
+        rdd = type("Rdd", (), {"getNumPartitions": staticmethod(lambda: 1)})
+        where = lambda self, _: self
+        mapInArrow = lambda self, run, _: run
+
+    made = []
+    monkeypatch.setattr(lexical._Block, "exact", lambda self, asked, q, d, real=lexical._Block.exact: made.append(len(q)) or real(self, asked, q, d))
+    worth = lambda term, tf, n: part(np.array([int(w) for w in words])[term], tf, n)
+    words = list(asked.words)
+    found = pa.Table.from_batches(lexical._scored(Frame(), asked, share, worth, k)([batch])).to_pydict()
+    every = np.zeros((len(questions), len(docs)))  # by doc_id
+    for i, d in enumerate(docs):
+        term, tf = np.array(list(d)), np.array(list(d.values()))
+        adds = np.zeros(500)
+        adds[term] = part(term, tf, np.full(len(term), sum(d.values())))
+        every[:, ids[i]] = [adds[terms].sum() for terms in questions]
+    return {(q, d): s for q, d, s in zip(found["query_id"], found["doc_id"], found["score"], strict=True)}, every, sum(made)
+
+
+def _best_of(every, k):
+    order = np.argsort(-np.round(every, 6), axis=1, kind="stable")[:, :k]
+    return {(q, int(d)) for q, ds in enumerate(order) for d in ds if every[q, d] > 0}
+
+
+def test_bounds_leave_out_most_documents_and_none_of_the_best(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = lambda n: np.minimum(rng.zipf(1.4, n), 400).tolist()
+    docs = [{t: x.count(t) for t in set(x)} for x in (words(int(n)) for n in rng.integers(1, 60, 3000))]
+    docs[7:27] = [docs[7]] * 20  # ties
+    questions = [words(int(n)) for n in rng.integers(1, 25, 40)] + [list(docs[7]), [401], [1], words(3000)]
+    part = lambda term, tf, n: np.log1p(term) * tf * 2.2 / (tf + 0.3 + n / 30)
+    for patched in ({}, {"FIRST": 64, "DOCUMENTS": 500}, {"FIRST": 100, "HELD": 900, "DENSE_SHARE": 2.0, "LOOKED_UP": 50}, {"DENSE_SHARE": 0.0}):
+        for name, value in patched.items():
+            monkeypatch.setattr(lexical, name, value)
+        found, every, exact = _in_process(docs, questions, 3, part, monkeypatch)
+        assert set(found) == _best_of(every, 3) and all(abs(s - every[x]) < 1e-8 for x, s in found.items())
+        assert exact < 0.05 * len(docs) * len(questions)
+        monkeypatch.undo()
+    found, every, _ = _in_process(docs[:300], questions, None, part, monkeypatch)
+    assert set(found) == set(zip(*(x.tolist() for x in np.nonzero(every)), strict=True))
+
+
 def test_best_counts_documents_without_id(spark):
     docs, questions = _asked(spark)
     more = docs.withColumn("doc_id", F.when(F.col("doc_id") != 63, F.col("doc_id")))
